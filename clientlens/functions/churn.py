@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientlens.functions import catalog
-from clientlens.functions.expressions import bounded, first_match
+from clientlens.functions.expressions import bounded, first_match, rounded
 
 
 def average_order_value(spend: Column, orders: Column) -> Column:
-    return F.round(spend / F.when(orders == 0, 1).otherwise(orders), 2)
+    return rounded(spend / F.when(orders == 0, 1).otherwise(orders), 2)
 
 
 def churn_from_rfm(
@@ -31,7 +31,7 @@ def churn_from_rfm(
 
 def churn_rfm() -> Column:
     """PRJ-2, the default of a customer table without its own churn column."""
-    return F.round(
+    return rounded(
         churn_from_rfm(
             F.col("Recency_Days"), F.col("Frequency_Orders"),
             F.col("Engagement_Score"), F.col("Support_Tickets"),
@@ -57,17 +57,17 @@ def _behaviour_mix(weights: tuple[float, float, float, float], tickets_at: float
 
 def churn_generated() -> Column:
     """PRJ-3, the formula of the synthetic source."""
-    return F.round(_behaviour_mix((0.45, 0.25, 0.15, 0.15), 15.0, 0.40), 4)
+    return rounded(_behaviour_mix((0.45, 0.25, 0.15, 0.15), 15.0, 0.40), 4)
 
 
 def churn_single() -> Column:
     """PRJ-4, used when new records without a churn column enter the feature matrix."""
-    return F.round(_behaviour_mix((0.50, 0.25, 0.15, 0.10), 12.0, 0.30), 4)
+    return rounded(_behaviour_mix((0.50, 0.25, 0.15, 0.10), 12.0, 0.30), 4)
 
 
 def churn_predicted() -> Column:
     """PRJ-5, the churn score returned with a prediction: every factor capped at 1."""
-    return F.round(_behaviour_mix((0.45, 0.25, 0.15, 0.15), 15.0, 0.40, capped=True), 3)
+    return rounded(_behaviour_mix((0.45, 0.25, 0.15, 0.15), 15.0, 0.40, capped=True), 3)
 
 
 def churn_label(df: DataFrame) -> Column:
@@ -123,13 +123,13 @@ def churn_drivers(df: DataFrame) -> Column:
         raw = (value - base) / base * weight
         drivers.append(
             F.struct(
-                (-F.abs(F.round(raw, 4))).alias("order_key"),
+                (-F.abs(rounded(raw, 4))).alias("order_key"),
                 F.lit(position).alias("position"),
                 F.lit(feature).alias("feature"),
                 F.lit(feature.replace("_", " ")).alias("display_name"),
-                F.round(value, 2).alias("value"),
+                rounded(value, 2).alias("value"),
                 F.lit(base).alias("baseline"),
-                F.round(raw, 4).alias("impact"),
+                rounded(raw, 4).alias("impact"),
                 F.when(raw > 0, "increases_churn").otherwise("reduces_churn").alias("direction"),
             )
         )
@@ -139,7 +139,7 @@ def churn_drivers(df: DataFrame) -> Column:
 def with_churn_drivers(df: DataFrame, churn: Column) -> DataFrame:
     """Add ``drivers`` (with importance shares), the two top-3 lists and a sentence."""
     total = F.aggregate(F.col("_d"), F.lit(0.0), lambda acc, d: acc + F.abs(d["impact"]))
-    share = lambda d: F.round(F.abs(d["impact"]) / F.col("_t") * 100.0, 1)
+    share = lambda d: rounded(F.abs(d["impact"]) / F.col("_t") * 100.0, 1)
     out = (
         df.withColumn("_d", churn_drivers(df))
         .withColumn("_t", total)
@@ -159,7 +159,7 @@ def with_churn_drivers(df: DataFrame, churn: Column) -> DataFrame:
     )
     top = lambda direction: F.slice(F.filter("drivers", lambda d: d["direction"] == direction), 1, 3)
     out = (
-        out.withColumn("overall_churn_risk", F.round(churn, 3))
+        out.withColumn("overall_churn_risk", rounded(churn, 3))
         .withColumn("top_risk_drivers", top("increases_churn"))
         .withColumn("top_retention_drivers", top("reduces_churn"))
     )

@@ -29,6 +29,15 @@ def exact_avg(value: Column, scale: int = MONEY_SCALE) -> Column:
     return exact_sum(value, scale) / F.count(value)
 
 
+def rounded(value: Column | str, digits: int) -> Column:
+    """Half-to-even rounding in binary, as numeric libraries do it.
+
+    ``round`` goes through decimal text per value; this stays in generated code.
+    """
+    number = F.col(value) if isinstance(value, str) else value
+    return F.rint(number * 10.0**digits) / 10.0**digits
+
+
 def with_stats(df: DataFrame, stats: DataFrame, name: str = "_g") -> DataFrame:
     """Attach a one-row table to every row as a struct column.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientlens.functions import catalog
-from clientlens.functions.expressions import bounded
+from clientlens.functions.expressions import bounded, rounded
 from clientlens.session import small_table
 
 
@@ -17,7 +17,7 @@ def retention_curves(persona_rows: DataFrame) -> DataFrame:
         {"_key": list(catalog.RETENTION_PROFILES), "_base": list(catalog.RETENTION_PROFILES.values())},
     )
     shift = 1.0 - 0.25 * (F.col("avg_churn_risk") - 0.20)
-    month = lambda v, i: F.when(i == 0, F.lit(100.0)).otherwise(F.round(bounded(v * shift, 2.0, 100.0), 1))
+    month = lambda v, i: F.when(i == 0, F.lit(100.0)).otherwise(rounded(bounded(v * shift, 2.0, 100.0), 1))
     return (
         persona_rows.join(profiles, F.col("persona_key") == F.col("_key"), "left")
         .withColumn("retention_curve", F.transform("_base", month))
@@ -25,7 +25,7 @@ def retention_curves(persona_rows: DataFrame) -> DataFrame:
         .select(
             "cluster_id", "persona_key", "persona_title", "color", "customer_count",
             "retention_curve", "m12_retention",
-            F.round(100.0 - F.col("m12_retention"), 1).alias("m12_churn_rate"),
+            rounded(100.0 - F.col("m12_retention"), 1).alias("m12_churn_rate"),
         )
     )
 
@@ -46,7 +46,7 @@ def retention_heatmap(df: DataFrame) -> DataFrame:
     )
     return cells.select(
         "cohort_index", "cohort", "initial_size", "month",
-        F.round(bounded(value, 5.0, 100.0), 1).alias("retention_pct"),
+        rounded(bounded(value, 5.0, 100.0), 1).alias("retention_pct"),
         (F.col("month") == 12 - F.col("cohort_index")).alias("is_last"),
     )
 

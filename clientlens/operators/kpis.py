@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientlens.functions import catalog
-from clientlens.functions.expressions import all_of, exact_avg, exact_sum
+from clientlens.functions.expressions import all_of, exact_avg, exact_sum, rounded
 from clientlens.operators.ranking import exact_quantiles
 from clientlens.session import small_table
 
@@ -16,11 +16,11 @@ def overview(df: DataFrame, cluster_col: str = "KMeans_Cluster") -> DataFrame:
     label = F.col(cluster_col)
     return df.agg(
         F.count("*").alias("total_customers"),
-        F.round(exact_sum(F.col("Monetary_Spend")), 2).alias("total_revenue"),
-        F.round(exact_avg(F.col("Monetary_Spend")), 2).alias("avg_spend_per_customer"),
-        F.round(exact_avg(F.col("Recency_Days")), 1).alias("avg_recency_days"),
-        F.round(exact_avg(F.col("Frequency_Orders")), 1).alias("avg_frequency_orders"),
-        F.round(exact_avg(F.col("Churn_Risk_Index")), 3).alias("avg_churn_risk"),
+        rounded(exact_sum(F.col("Monetary_Spend")), 2).alias("total_revenue"),
+        rounded(exact_avg(F.col("Monetary_Spend")), 2).alias("avg_spend_per_customer"),
+        rounded(exact_avg(F.col("Recency_Days")), 1).alias("avg_recency_days"),
+        rounded(exact_avg(F.col("Frequency_Orders")), 1).alias("avg_frequency_orders"),
+        rounded(exact_avg(F.col("Churn_Risk_Index")), 3).alias("avg_churn_risk"),
         F.countDistinct(F.when(label != -1, label)).alias("optimal_clusters_count"),
     )
 
@@ -33,8 +33,8 @@ def high_risk_customers(df: DataFrame, cluster_col: str = "KMeans_Cluster", limi
         .select(
             F.col("Customer_ID").alias("customer_id"),
             F.col(cluster_col).cast("int").alias("cluster"),
-            F.round("Churn_Risk_Index", 3).alias("churn_risk_index"),
-            F.round("Monetary_Spend", 2).alias("monetary_spend"),
+            rounded("Churn_Risk_Index", 3).alias("churn_risk_index"),
+            rounded("Monetary_Spend", 2).alias("monetary_spend"),
             F.col("Recency_Days").alias("recency_days"),
             F.col("Frequency_Orders").alias("frequency_orders"),
             F.lit(catalog.HIGH_RISK_ACTION).alias("recommended_action"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientlens.functions import catalog
-from clientlens.functions.expressions import exact_avg, exact_sum, first_match
+from clientlens.functions.expressions import exact_avg, exact_sum, first_match, rounded
 from clientlens.operators.ranking import exact_quantiles
 from clientlens.session import small_table
 
@@ -94,10 +94,10 @@ def personas(
     return joined.select(
         "cluster_id", "persona_key", "persona_title", "tagline", "description", "strategy",
         "color", "icon", "customer_count",
-        F.round("customer_percentage", 2).alias("customer_percentage"),
-        F.round("total_revenue", 2).alias("total_revenue"),
-        F.round("revenue_percentage", 2).alias("revenue_percentage"),
-        *[F.round(name, digits).alias(name) for name, (_, digits) in _MEANS.items()],
+        rounded("customer_percentage", 2).alias("customer_percentage"),
+        rounded("total_revenue", 2).alias("total_revenue"),
+        rounded("revenue_percentage", 2).alias("revenue_percentage"),
+        *[rounded(name, digits).alias(name) for name, (_, digits) in _MEANS.items()],
         F.col("avg_churn_risk").alias("raw_avg_churn_risk"),
         F.col("total_revenue").alias("raw_total_revenue"),
     )
@@ -162,7 +162,7 @@ def campaign_priority(persona_rows: DataFrame) -> DataFrame:
     """AGG-9: campaigns by priority, highest first."""
     scored = persona_rows.withColumn(
         "priority_score",
-        F.round(
+        rounded(
             0.45 * F.col("revenue_percentage")
             + 35.0 * F.col("avg_churn_risk")
             + 0.20 * F.col("customer_percentage"),
@@ -170,7 +170,7 @@ def campaign_priority(persona_rows: DataFrame) -> DataFrame:
         ),
     ).withColumn(
         "expected_revenue_at_risk",
-        F.round(F.col("raw_total_revenue") * F.col("raw_avg_churn_risk"), 2),
+        rounded(F.col("raw_total_revenue") * F.col("raw_avg_churn_risk"), 2),
     )
     return (
         with_campaign(scored)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientlens.functions import catalog
-from clientlens.functions.expressions import exact_avg, first_match
+from clientlens.functions.expressions import exact_avg, first_match, rounded
 from clientlens.operators.ranking import with_bins
 from clientlens.session import small_table
 
@@ -70,7 +70,7 @@ def rfm_grid(scored: DataFrame) -> DataFrame:
             F.col("r_score").cast("int").alias("r_score"),
             F.col("f_score").cast("int").alias("f_score"),
             F.coalesce("count", F.lit(0)).cast("long").alias("count"),
-            F.round(F.coalesce("mean", F.lit(0.0)), 2).alias("avg_spend"),
+            rounded(F.coalesce("mean", F.lit(0.0)), 2).alias("avg_spend"),
             "title", "action", "color",
         )
     )
@@ -92,7 +92,7 @@ def rfm_cohorts(scored: DataFrame) -> DataFrame:
         F.col("cohort").cast("int").alias("cohort"),
         "cohort_name",
         n.cast("long").alias("count"),
-        F.round(F.coalesce(F.try_divide(n, total), F.lit(0.0)) * 100, 1).alias("percentage"),
+        rounded(F.coalesce(F.try_divide(n, total), F.lit(0.0)) * 100, 1).alias("percentage"),
         "color",
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientlens.functions.churn import churn_from_rfm
-from clientlens.functions.expressions import bounded, exact_sum
+from clientlens.functions.expressions import bounded, exact_sum, rounded
 from clientlens.operators.kpis import cohort_conditions
 
 
@@ -35,7 +35,7 @@ def compare_scenarios(df: DataFrame, scenarios: list[Scenario], **limits) -> Dat
         inside = audience[s.target_cohort]
         part = lambda value: F.when(inside, value)
         damping = 1.0 - max(0.0, min(0.20, s.email_touchpoints * 0.05))
-        after = F.round(
+        after = rounded(
             bounded(
                 churn_from_rfm(
                     F.col("Recency_Days"),
@@ -71,16 +71,16 @@ def compare_scenarios(df: DataFrame, scenarios: list[Scenario], **limits) -> Dat
                 F.lit(s.name).alias("scenario"),
                 F.lit(s.target_cohort).alias("target_cohort"),
                 c("n").alias("target_audience_count"),
-                F.round(c("churn") / c("n"), 3).alias("initial_avg_churn"),
-                F.round(c("after") / c("n"), 3).alias("simulated_avg_churn"),
-                F.round((c("churn") / c("n") - c("after") / c("n")) * 100.0, 1).alias("churn_reduction_pct"),
+                rounded(c("churn") / c("n"), 3).alias("initial_avg_churn"),
+                rounded(c("after") / c("n"), 3).alias("simulated_avg_churn"),
+                rounded((c("churn") / c("n") - c("after") / c("n")) * 100.0, 1).alias("churn_reduction_pct"),
                 c("high").alias("initial_high_risk_count"),
                 c("left").alias("simulated_high_risk_count"),
                 F.greatest(F.lit(0).cast("long"), c("high") - c("left")).alias("rescued_customers"),
-                F.round(F.greatest(F.lit(0.0), recovered), 2).alias("recovered_revenue"),
-                F.round(cost, 2).alias("total_campaign_cost"),
-                F.round(recovered - cost, 2).alias("net_value_generated"),
-                F.when(cost > 0, F.round(F.try_divide(recovered, cost), 2)).otherwise(0.0).alias("roi_factor"),
+                rounded(F.greatest(F.lit(0.0), recovered), 2).alias("recovered_revenue"),
+                rounded(cost, 2).alias("total_campaign_cost"),
+                rounded(recovered - cost, 2).alias("net_value_generated"),
+                F.when(cost > 0, rounded(F.try_divide(recovered, cost), 2)).otherwise(0.0).alias("roi_factor"),
                 F.lit(float(s.engagement_boost_pct)).alias("engagement_boost_pct"),
                 F.lit(float(s.ticket_reduction)).alias("ticket_reduction"),
                 F.lit(float(s.discount_incentive_pct)).alias("discount_incentive_pct"),
