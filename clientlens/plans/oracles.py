@@ -174,6 +174,28 @@ _GEO = _VEC + """,
 geo AS (SELECT vec.label, count(*) AS n, avg(list_distance(x, c)) AS s, sum(list_distance(x, c) ** 2) AS w, any_value(c) AS c
   FROM vec JOIN centre ON vec.label = centre.label GROUP BY 1)"""
 
+# the labelings of the benchmark, long: one row per vector and labeling, noise left out
+_BENCH = _NEAR + """,
+lab AS (SELECT vec_id, label AS l, 'label' AS run FROM near UNION ALL SELECT vec_id, nearest, 'nearest' FROM near
+  UNION ALL SELECT vec_id, label, 'partly' FROM near WHERE label < 8),
+pt AS (SELECT lab.*, x FROM lab JOIN vec USING (vec_id)),
+bd AS (SELECT run, l, i, avg(x[i]) AS m FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM pt) GROUP BY 1, 2, 3),
+bc AS (SELECT run, l, list(m ORDER BY i) AS c FROM bd GROUP BY 1, 2),
+bg AS (SELECT run, l, any_value(c) AS c, count(*) AS n, avg(list_distance(x, c)) AS s, sum(list_distance(x, c) ** 2) AS w
+  FROM pt JOIN bc USING (run, l) GROUP BY 1, 2),
+db AS (SELECT run, avg(worst) AS db FROM (SELECT a.run, a.l, max((a.s + b.s) / list_distance(a.c, b.c)) AS worst
+  FROM bg a JOIN bg b ON a.run = b.run AND a.l <> b.l GROUP BY 1, 2) GROUP BY 1),
+md AS (SELECT run, list(m ORDER BY i) AS m FROM (SELECT run, i, avg(x[i]) AS m FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM pt) GROUP BY 1, 2) GROUP BY 1),
+ch AS (SELECT run, count(*) AS k, sum(n) AS n, (sum(n * list_distance(c, m) ** 2) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))) AS ch
+  FROM bg JOIN md USING (run) GROUP BY 1),
+dp AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.x, b.x) AS d FROM vec a, vec b WHERE a.vec_id <> b.vec_id),
+mp AS (SELECT la.run, dp.a, la.l AS la, lb.l AS lb, avg(d) AS m FROM dp JOIN lab la ON la.vec_id = dp.a
+  JOIN lab lb ON lb.vec_id = dp.b AND lb.run = la.run GROUP BY 1, 2, 3, 4),
+si AS (SELECT run, avg(CASE WHEN a0 IS NULL THEN 0e0 ELSE (b0 - a0) / greatest(a0, b0) END) AS sil FROM
+  (SELECT run, a, la, max(CASE WHEN la = lb THEN m END) AS a0, min(CASE WHEN la <> lb THEN m END) AS b0 FROM mp GROUP BY 1, 2, 3) GROUP BY 1),
+bm AS (SELECT run, k, (SELECT count(*) FROM vec) - n AS noise, round_even(sil, 4) AS sil, round_even(db, 4) AS db, round_even(ch, 2) AS ch
+  FROM ch JOIN db USING (run) JOIN si USING (run))"""
+
 _SIL = _VEC + """,
 pair AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sum(list_distance(a.x, b.x)) AS s, count(*) AS n
   FROM vec a, vec b WHERE a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
@@ -592,6 +614,19 @@ SELECT CAST(count(*) AS INTEGER) AS n_clusters, round_even((sum(n * list_distanc
     sql["silhouette_samples"] = f"""WITH {_SIL},
 p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s, vec_id) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY label) // 10) AS step FROM sil)
 SELECT label, CAST(i // step AS INTEGER) AS place, round_even(s, 6) AS silhouette FROM p WHERE i % step = 0"""
+    sql["clustering_benchmark"] = f"""WITH {_BENCH} SELECT CASE run WHEN 'label' THEN 'given' WHEN 'partly' THEN 'partly noise' ELSE run END AS algorithm,
+  CAST(k AS INTEGER) AS clusters, CAST(noise AS BIGINT) AS noise, sil AS silhouette_score, db AS davies_bouldin, ch AS calinski_harabasz FROM bm"""
+    sql["answer_benchmark"] = f"""WITH {_BENCH}, top AS (SELECT * FROM bm WHERE run IN ('label', 'nearest') ORDER BY sil DESC, run DESC LIMIT 1)
+SELECT 'Model Benchmark & Silhouette Analysis' AS category, run || ' separates best: silhouette ' || sil || ' at k = 10.' AS answer,
+  CAST(10 AS INTEGER) AS cluster_id, run AS persona, sil AS value, db AS reference_value,
+  'Compare inertia and silhouette over k before changing the model.' AS recommended_action FROM top"""
+    sql["class_report"] = f"""WITH {_NEAR}, cls AS (SELECT DISTINCT label AS c FROM near UNION SELECT nearest FROM near),
+n AS (SELECT c, CAST((SELECT count(*) FROM near WHERE label = c) AS BIGINT) AS support, (SELECT count(*) FROM near WHERE nearest = c) AS named,
+  (SELECT count(*) FROM near WHERE label = c AND nearest = c) AS hit FROM cls),
+s AS (SELECT *, coalesce(hit / nullif(named, 0), 0) AS p, coalesce(hit / nullif(support, 0), 0) AS r FROM n),
+f AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f1 FROM s)
+SELECT CAST(c AS INTEGER) AS class, round_even(p, 6) AS precision, round_even(r, 6) AS recall, round_even(f1, 6) AS f1_score, support,
+  round_even((SELECT sum(hit) / sum(support) FROM f), 4) AS accuracy, round_even((SELECT sum(f1 * support) / sum(support) FROM f), 4) AS weighted_f1_score FROM f"""
     sql["adjusted_rand"] = f"""WITH {_NEAR},
 c AS (SELECT label, nearest, count(*) AS n FROM near GROUP BY 1, 2),
 a AS (SELECT sum(n * (n - 1) / 2e0) AS v FROM (SELECT label, sum(n) AS n FROM c GROUP BY 1)),

@@ -16,22 +16,31 @@ from clientlens.functions.expressions import rounded
 from clientlens.functions import catalog, churn
 from clientlens.operators import (
     answers,
+    clustering,
     cohorts,
     conform,
     dbscan,
     drivers,
     features,
+    isolation,
     kpis,
     personas,
+    projection,
     quality,
     ranking,
     report,
     rfm,
     scenario,
+    scoring,
+    selection,
     severity,
+    stability,
+    supervised,
+    ward,
 )
 from clientlens.session import new_path, small_table, stage
 from clientlens.sources import sinks, synthetic, tables, uploads
+from clientlens.plans import training
 from clientlens.streaming import flows
 
 _shared: dict[tuple[str, str, str], DataFrame] = {}
@@ -514,6 +523,26 @@ def silhouette_samples(spark, folder):
     return profile.select("label", "place", rounded("silhouette", 6).alias("silhouette"))
 
 
+def clustering_benchmark(spark, folder):
+    """Three labelings of the vectors side by side: given, nearest centre, and one whose
+    classes 8 and 9 are noise."""
+    vectors = _with_nearest(spark, folder).withColumn(
+        "partly", F.when(F.col("label") >= 8, F.lit(-1)).otherwise(F.col("label"))
+    )
+    return selection.benchmark(
+        vectors, "vec_id", {"given": "label", "nearest": "nearest", "partly noise": "partly"}, "x"
+    )
+
+
+def class_report(spark, folder):
+    """Nearest centres read as a classifier of the given classes."""
+    found = supervised.classification_report(_with_nearest(spark, folder), "label", "nearest")
+    return found.select(
+        "class", "support", "accuracy",
+        *[rounded(c, 6).alias(c) for c in ("precision", "recall", "f1_score")], "weighted_f1_score",
+    )
+
+
 def adjusted_rand(spark, folder):
     found = quality.adjusted_rand(_with_nearest(spark, folder), "label", "nearest")
     return found.select(rounded("adjusted_rand_index", 9).alias("adjusted_rand_index"))
@@ -604,6 +633,153 @@ def alert_stream(spark, folder):
     )
 
 
+# --- learned models -----------------------------------------------------------------
+
+# smaller fits than a full training run takes
+SMALL = training.Options(
+    k_values=(2, 3, 4, 5), grid_starts=1, forest_trees=100, classifier_trees=30, ltv_rounds=15, stability_runs=2
+)
+
+
+def _fixed(spark, folder):
+    df = customers(spark, folder)
+    model = features.fit_features(df)
+
+    def build():
+        return model.transform(df).select("Customer_ID", "features")
+
+    return model, clustering.fixed_matrix(build(), "Customer_ID")
+
+
+def kmeans_grid(spark, folder):
+    grid, _ = clustering.kmeans_grid(_fixed(spark, folder)[1], "Customer_ID", starts=1)
+    return grid
+
+
+def gmm_bic(spark, folder):
+    return clustering.mixture_grid(_fixed(spark, folder)[1], "Customer_ID", (2, 3, 4))
+
+
+def gmm_memberships(spark, folder):
+    matrix = _fixed(spark, folder)[1]
+    soft = clustering.fit_mixture(matrix, 3).transform(matrix, probability="p")
+    return soft.select("Customer_ID", "GMM_Cluster", quality.as_array(soft, "p").alias("memberships"))
+
+
+def ward_labels(spark, folder):
+    return ward.ward_labels(_fixed(spark, folder)[1], "Customer_ID", 4)
+
+
+def dbscan_tune(spark, folder):
+    return dbscan.tune(_fixed(spark, folder)[1], "Customer_ID", "features")
+
+
+def kmeans_stability(spark, folder):
+    runs = stability.stability_runs(_fixed(spark, folder)[1], "Customer_ID", 3, runs=3)
+    return stability.stability_summary(runs)
+
+
+def automl_board(spark, folder):
+    return selection.leaderboard(_fixed(spark, folder)[1], "Customer_ID", 3)
+
+
+def pca3(spark, folder):
+    matrix = _fixed(spark, folder)[1]
+    return projection.fit_projection(matrix).transform(matrix, digits=4).drop("features")
+
+
+def pca_scatter(spark, folder):
+    model, matrix = _fixed(spark, folder)
+    placed = projection.fit_projection(matrix).transform(matrix).drop("features")
+    return projection.scatter(segmented(spark, folder).join(placed, "Customer_ID"), "Segment")
+
+
+def isolation_forest(spark, folder):
+    _, flagged = isolation.fit_predict(customers(spark, folder), "Customer_ID")
+    return flagged.select("Customer_ID", "Is_Anomaly", "Anomaly_Score", "Anomaly_Type")
+
+
+def isolation_summary(spark, folder):
+    _, flagged = isolation.fit_predict(customers(spark, folder), "Customer_ID")
+    return isolation.forest_summary(flagged)
+
+
+def segment_classifier(spark, folder):
+    model, matrix = _fixed(spark, folder)
+    labelled = matrix.join(segmented(spark, folder).select("Customer_ID", "Segment"), "Customer_ID")
+    train, test = supervised.split(labelled, "Customer_ID")
+    fitted = supervised.fit_classifier(train, model.names, "Segment", SMALL.classifier_trees)
+    return supervised.classification_report(fitted.transform(test), "Segment")
+
+
+def ltv_gbt(spark, folder):
+    model, matrix = _fixed(spark, folder)
+    df = customers(spark, folder).join(matrix, "Customer_ID")
+    return supervised.fit_ltv_boosting(
+        df, model.names, supervised.ltv_target(df), rounds=SMALL.ltv_rounds
+    ).report(spark)
+
+
+def ltv_ridge(spark, folder):
+    df = customers(spark, folder)
+    return supervised.fit_ltv_ridge(df, supervised.ltv_12m_target(df)).report(spark)
+
+
+def ltv_benchmark(spark, folder):
+    model, matrix = _fixed(spark, folder)
+    df = customers(spark, folder).join(matrix, "Customer_ID")
+    return supervised.ltv_benchmark(df, model.names, rounds=SMALL.ltv_rounds)
+
+
+def churn_logistic(spark, folder):
+    return supervised.fit_churn(customers(spark, folder)).odds(spark)
+
+
+def churn_probability(spark, folder):
+    df = customers(spark, folder)
+    return supervised.fit_churn(df).transform(df).select(
+        "Customer_ID", "churn_probability", "retention_probability", "churn_risk_pct", "risk_category"
+    )
+
+
+def _scoring_models(spark, folder):
+    model, matrix = _fixed(spark, folder)
+    kmeans = clustering.fit_kmeans(matrix, 3, starts=1)
+    labelled = kmeans.transform(matrix)
+    df = customers(spark, folder).join(labelled, "Customer_ID")
+    return scoring.ScoringModels(
+        model,
+        stage(personas.personas(df.drop("features"), "KMeans_Cluster"), "personas"),
+        supervised.fit_classifier(labelled, model.names, "KMeans_Cluster", SMALL.classifier_trees),
+        kmeans,
+        None,
+        supervised.fit_ltv_boosting(df, model.names, supervised.ltv_target(df), rounds=SMALL.ltv_rounds),
+        projection.fit_projection(matrix),
+        isolation.fit_forest(df, "Customer_ID", SMALL.forest_trees),
+    )
+
+
+def score_table(spark, folder):
+    scored = scoring.score_records(customers(spark, folder), _scoring_models(spark, folder))
+    return scored.select(
+        "Customer_ID", "predicted_cluster", "confidence_score", "predicted_ltv_12m", "persona_title",
+        "churn_risk_index", "is_anomaly", "anomaly_score", "anomaly_type", "PCA_1", "PCA_2", "PCA_3",
+        "churn_summary",
+    )
+
+
+def scored_stream(spark, folder):
+    models = _scoring_models(spark, folder)
+    reply = lambda df: scoring.ingest_reply(scoring.score_records(flows.full_records(df), models))
+    return flows.replay(spark, _records(spark, folder), reply, "scored")
+
+
+def training_run(spark, folder):
+    """The whole job on the customer table; returns the description of the run."""
+    run = training.train(customers(spark, folder), data_source="uploaded_csv:customers.csv", options=SMALL)
+    return run.tables["run"].drop("trained_at_utc", "model_path")
+
+
 EXACT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "customer_table": customer_table,
     "conform_clip": conform_clip,
@@ -649,6 +825,7 @@ EXACT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "retention_heatmap": retention_heatmap,
     "cohort_retention_observed": cohort_retention_observed,
     "answer_table": answer_table,
+    "answer_benchmark": answer_benchmark,
     "question_routing": question_routing,
     "report_lines": report_lines,
     "nearest_centroid": nearest_centroid,
@@ -657,6 +834,8 @@ EXACT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "calinski_harabasz": calinski_harabasz,
     "silhouette_euclidean": silhouette_euclidean,
     "silhouette_samples": silhouette_samples,
+    "clustering_benchmark": clustering_benchmark,
+    "class_report": class_report,
     "adjusted_rand": adjusted_rand,
     "standard_scaled": standard_scaled,
     "dbscan_labels": dbscan_labels,
@@ -671,7 +850,26 @@ EXACT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # results that depend on learned models or on text without a SQL counterpart
 ROWS_ONLY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "conform_warnings": conform_warnings,
-    "answer_benchmark": answer_benchmark,
+    "kmeans_grid": kmeans_grid,
+    "gmm_bic": gmm_bic,
+    "gmm_memberships": gmm_memberships,
+    "ward_labels": ward_labels,
+    "dbscan_tune": dbscan_tune,
+    "kmeans_stability": kmeans_stability,
+    "automl_board": automl_board,
+    "pca3": pca3,
+    "pca_scatter": pca_scatter,
+    "isolation_forest": isolation_forest,
+    "isolation_summary": isolation_summary,
+    "segment_classifier": segment_classifier,
+    "ltv_gbt": ltv_gbt,
+    "ltv_ridge": ltv_ridge,
+    "ltv_benchmark": ltv_benchmark,
+    "churn_logistic": churn_logistic,
+    "churn_probability": churn_probability,
+    "score_table": score_table,
+    "scored_stream": scored_stream,
+    "training_run": training_run,
 }
 
 ALL = {**EXACT, **ROWS_ONLY}
