@@ -110,12 +110,15 @@ def _narrow(base, brackets, sort_rows, sample_rows, level, result) -> list[_Brac
         for i, b in enumerate(large)
     ]
     # expected size: sample_rows per bracket, whatever the table holds
-    drawn = base.select(F.explode(F.array_compact(F.array(*wanted))).alias("s")).select("s.*").collect()
+    drawn = (
+        base.select(F.explode(F.array_compact(F.array(*wanted))).alias("s")).select("s.*").toArrow().to_pydict()
+    )
     samples: dict[int, list[tuple]] = {i: [] for i in range(len(large))}
-    for row in drawn:
-        samples[row["b"]].append((row["k"], row["i"]))
+    for number, key, ident in zip(drawn["b"], drawn["k"], drawn["i"]):
+        samples[number].append((key, ident))
 
     pieces: list[tuple[_Bracket, _Bracket]] = []
+    numbers = []
     for i, bracket in enumerate(large):
         points = sorted(samples[i])
         cuts = set()
@@ -126,13 +129,16 @@ def _narrow(base, brackets, sort_rows, sample_rows, level, result) -> list[_Brac
                 if 0 <= position < len(points):
                     cuts.add(points[position])
         low = bracket.low
+        number = _piece_number(F.col(bracket.measure), F.col("_id"), sorted(cuts), len(pieces))
+        numbers.append(F.when(bracket.contains(), number).alias(f"p{i}"))
         for cut in sorted(cuts):
             pieces.append((bracket, _Bracket(bracket.measure, [], 0, 0, low, cut)))
             pieces.append((bracket, _Point(bracket.measure, [], 0, 0, cut, cut)))
             low = cut
         pieces.append((bracket, _Bracket(bracket.measure, [], 0, 0, low, bracket.high)))
-    counts = base.agg(
-        *[F.count_if(piece.contains()).alias(f"c{i}") for i, (_, piece) in enumerate(pieces)]
+    owner = {id(b): f"p{i}" for i, b in enumerate(large)}
+    counts = base.select(*numbers).agg(
+        *[F.count_if(F.col(owner[id(parent)]) == i).alias(f"c{i}") for i, (parent, _) in enumerate(pieces)]
     ).first()
 
     position: dict[int, int] = {}
@@ -149,6 +155,21 @@ def _narrow(base, brackets, sort_rows, sample_rows, level, result) -> list[_Brac
     return kept
 
 
+def _piece_number(key: Column, ident: Column, cuts: list[tuple], first: int) -> Column:
+    """Number of the piece that holds (key, ident): below the first cut, that cut, between
+    it and the next, … counted from ``first``, found by halving the cuts."""
+    if not cuts:
+        return F.lit(first)
+    middle = len(cuts) // 2
+    cut = cuts[middle]
+    at = first + 2 * middle + 1
+    return (
+        F.when(_tuple_less(key, ident, *cut), _piece_number(key, ident, cuts[:middle], first))
+        .when(tuple_greater(key, ident, *cut), _piece_number(key, ident, cuts[middle + 1:], at + 1))
+        .otherwise(F.lit(at))
+    )
+
+
 def _read_ranks(base: DataFrame, brackets: list[_Bracket], result: OrderStatistics) -> None:
     if not any(b.ranks for b in brackets):
         return
