@@ -17,8 +17,11 @@ from clientlens.session import small_table, stage
 
 GRID_K = range(2, 10)
 GRID_COMPONENTS = range(2, 11)
-GRID_STARTS = 2  # seeds tried per k in the search; k-means|| needs few
-FINAL_STARTS = 3
+# Seeded starts of a fit in the search and of the final fit, on tables of up
+# to LARGE_ROWS rows and on larger ones
+LARGE_ROWS = 50_000
+GRID_STARTS = (5, 3)
+FINAL_STARTS = (10, 5)
 
 
 def fixed_matrix(df: DataFrame, id_col: str, vec_col: str = "features") -> DataFrame:
@@ -73,8 +76,13 @@ class KMeansFit:
         self.model.write().overwrite().save(path)
 
 
-def fit_kmeans(matrix: DataFrame, k: int, starts: int = FINAL_STARTS, seed: int = 42) -> KMeansFit:
+def starts_for(rows: int, starts: tuple[int, int]) -> int:
+    return starts[0] if rows <= LARGE_ROWS else starts[1]
+
+
+def fit_kmeans(matrix: DataFrame, k: int, starts: int | None = None, seed: int = 42) -> KMeansFit:
     """ML-5: the cheapest of ``starts`` seeded fits."""
+    starts = starts or starts_for(matrix.count(), FINAL_STARTS)
     best = None
     for start in range(starts):
         model = KMeans(k=k, seed=seed + start, maxIter=50, featuresCol="features").fit(matrix)
@@ -94,11 +102,15 @@ def usable_k(n: int, ks) -> list[int]:
     return found or ([2] if n >= 2 else [1])
 
 
-def kmeans_grid(matrix: DataFrame, id_col: str, ks=GRID_K, starts: int = GRID_STARTS) -> tuple[DataFrame, dict[int, KMeansFit]]:
+def kmeans_grid(
+    matrix: DataFrame, id_col: str, ks=GRID_K, starts: int | None = None
+) -> tuple[DataFrame, dict[int, KMeansFit]]:
     """ML-6: inertia and quality of every k, all labelings judged in one evaluation."""
     spark = matrix.sparkSession
     with held(matrix) as rows:
-        fits = {k: fit_kmeans(rows, k, starts) for k in usable_k(rows.count(), ks)}
+        n = rows.count()
+        starts = starts or starts_for(n, GRID_STARTS)
+        fits = {k: fit_kmeans(rows, k, starts) for k in usable_k(n, ks)}
         labelled = rows
         for k, fit in fits.items():
             labelled = fit.transform(labelled, f"k{k}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clientlens.functions import catalog
 from clientlens.functions.expressions import exact_avg, exact_sum, first_match, rounded
 from clientlens.operators.ranking import exact_quantiles
-from clientlens.session import small_table
+from clientlens.session import small_table, stage
 
 RULE_QUANTILES = {
     "Monetary_Spend": [0.70, 0.50],
@@ -30,13 +30,15 @@ _MEANS = {
 def cluster_profile(df: DataFrame, cluster_col: str) -> DataFrame:
     """One unrounded row per cluster: count, revenue, means, shares of the whole table.
 
-    The shares divide by totals of the grouped rows, so the table is scanned once.
+    The cluster rows are written before their totals are taken, so the table is scanned
+    once and later joins know how small the profile is.
     """
     grouped = df.groupBy(F.col(cluster_col).cast("int").alias("cluster_id")).agg(
         F.count("*").alias("customer_count"),
         exact_sum(F.col("Monetary_Spend")).alias("total_revenue"),
         *[exact_avg(F.col(source)).alias(name) for name, (source, _) in _MEANS.items()],
     )
+    grouped = stage(grouped, "profile")
     totals = grouped.agg(
         F.struct(
             F.sum("customer_count").alias("customers"), exact_sum(F.col("total_revenue")).alias("revenue")
@@ -105,9 +107,12 @@ def personas(
 
 def with_persona(df: DataFrame, persona_rows: DataFrame, cluster_col: str) -> DataFrame:
     """JN-1: persona title and colour on every row, with defaults for unknown clusters."""
-    names = persona_rows.select(
-        F.col("cluster_id").alias("_cluster"), F.col("persona_title").alias("persona"),
-        F.col("color").alias("persona_color"),
+    names = stage(
+        persona_rows.select(
+            F.col("cluster_id").alias("_cluster"), F.col("persona_title").alias("persona"),
+            F.col("color").alias("persona_color"),
+        ),
+        "names",
     )
     return (
         df.join(names, F.col(cluster_col) == F.col("_cluster"), "left")

@@ -48,7 +48,7 @@ def centroids(df: DataFrame, vec_col: str, label_cols: list[str]) -> DataFrame:
 
 def cluster_geometry(df: DataFrame, vec_col: str, label_cols: list[str]) -> DataFrame:
     """Per cluster: size, centre, mean distance and sum of squared distances to it."""
-    centres = centroids(df, vec_col, label_cols)
+    centres = stage(centroids(df, vec_col, label_cols), "centres")
     near = _long(df, vec_col, label_cols).join(centres, ["run", "label"]).withColumn(
         "d2", squared_distance(F.col("x"), F.col("centre"))
     )
@@ -63,6 +63,7 @@ def geometry_scores(geometry: DataFrame) -> DataFrame:
 
     A run's clusters sit in one array on each of its rows, so no pair of rows is formed.
     """
+    geometry = stage(geometry, "geometry")
     d = lambda a, b: F.sqrt(squared_distance(a, b))
     per_run = geometry.groupBy("run").agg(
         F.collect_list(F.struct("label", "n", "centre", "scatter")).alias("all"),
@@ -250,6 +251,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """JN-7 / ML-19: adjusted Rand index (Hubert & Arabie 1985) from the contingency table."""
     pairs = lambda c: F.col(c).cast("double") * (F.col(c) - 1) / 2.0
     cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    cells = stage(cells, "contingency")
     rows = cells.groupBy("a").agg(F.sum("n").alias("n"))
     cols = cells.groupBy("b").agg(F.sum("n").alias("n"))
     both = cells.agg(F.sum(pairs("n")).alias("both"), F.sum("n").alias("total"))

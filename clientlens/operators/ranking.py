@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientlens.functions.expressions import tuple_greater
+from clientlens.session import stage
 
 SORT_ROWS = 200_000  # rows one task may sort
 SAMPLE_ROWS = 20_000  # rows a bracket sample brings to the driver
@@ -34,7 +35,7 @@ class _Bracket:
 
     def contains(self) -> Column:
         key, ident = F.col(self.measure), F.col("_id")
-        inside = F.lit(True)
+        inside = key.isNotNull()
         if self.low is not None:
             inside = inside & tuple_greater(key, ident, *self.low)
         if self.high is not None:
@@ -52,7 +53,7 @@ class _Point(_Bracket):
 
 @dataclass
 class OrderStatistics:
-    rows: int
+    rows: dict[str, int]
     values: dict[tuple[str, int], tuple] = field(default_factory=dict)
 
     def at(self, measure: str, rank: int) -> tuple:
@@ -73,18 +74,18 @@ def order_statistics(
 ) -> OrderStatistics:
     """(key, id) at chosen 1-based ranks of each measure, ordered by key, then id.
 
-    ``ranks_of(measure, n)`` names the ranks wanted once the row count is known. Keys and
-    ids must not be null; repeated ids are allowed.
+    ``ranks_of(measure, n)`` names the ranks wanted once the number of its non-null keys
+    is known. Ids must not be null; repeated ids are allowed.
     """
     base = df.select(
         id_expr.alias("_id"), *[expr.cast("double").alias(m) for m, expr in measures.items()]
     )
-    n = base.count()
-    result = OrderStatistics(n)
-    if n == 0:
-        return result
+    sizes = base.agg(*[F.count(m).alias(m) for m in measures]).first().asDict()
+    result = OrderStatistics(sizes)
     todo = [
-        _Bracket(m, sorted({r for r in ranks_of(m, n) if 1 <= r <= n}), 0, n) for m in measures
+        _Bracket(m, sorted({r for r in ranks_of(m, n) if 1 <= r <= n}), 0, n)
+        for m, n in sizes.items()
+        if n
     ]
     level = 0
     while any(b.size > sort_rows for b in todo):
@@ -199,7 +200,7 @@ def _read_ranks(base: DataFrame, brackets: list[_Bracket], result: OrderStatisti
 def exact_quantiles(
     df: DataFrame, wanted: dict[str, Sequence[float]], **limits
 ) -> dict[str, dict[float, float]]:
-    """Exact quantiles by linear interpolation between neighbouring ranks (no nulls)."""
+    """Exact quantiles by linear interpolation between neighbouring ranks, nulls left out."""
 
     def ranks_of(column: str, n: int) -> Iterable[int]:
         for p in wanted[column]:
@@ -212,10 +213,10 @@ def exact_quantiles(
     for column, probabilities in wanted.items():
         out[column] = {}
         for p in probabilities:
-            if stats.rows == 0:
+            if stats.rows[column] == 0:
                 out[column][p] = None
                 continue
-            spot = (stats.rows - 1) * p
+            spot = (stats.rows[column] - 1) * p
             low = stats.at(column, math.floor(spot) + 1)[0]
             high = stats.at(column, math.ceil(spot) + 1)[0]
             out[column][p] = low + (high - low) * (spot - math.floor(spot))
@@ -251,14 +252,15 @@ def with_bins(
         lambda _, n: [edge(j, n) for j in range(1, bin_count(n))],
         **limits,
     )
-    q = bin_count(stats.rows)
     scores = {}
     for name, expr in measures.items():
+        n = stats.rows[name]
+        q = bin_count(n)
         key, ident = expr.cast("double"), F.col(id_col)
         score = F.lit(1)
-        if stats.rows:
+        if n:
             for j in range(1, q):
-                bound = stats.at(name, edge(j, stats.rows))
+                bound = stats.at(name, edge(j, n))
                 score = score + tuple_greater(key, ident, *bound).cast("int")
         scores[name] = (q + 1 - score if name in reverse else score).cast("int")
     return df.withColumns(scores)
@@ -321,7 +323,8 @@ def with_percent_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Average-tie percentile rank of each column as ``<column>_pct``.
 
     Ranks are worked out once per distinct value and joined back, so a value shared by a
-    third of all rows is one row while ranking; the join back may broadcast or split it.
+    third of all rows is one row while ranking. The ranked values are written first: their
+    known size decides whether the join back broadcasts them or shuffles and splits.
     """
     out = df
     for column in columns:
@@ -332,6 +335,7 @@ def with_percent_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.col(column).alias("_key"),
             ((F.col("_b") + (F.col("_c") + 1) / 2) / rows.scalar()).alias(f"{column}_pct"),
         )
+        ranked = stage(ranked, "ranked")
         out = out.join(ranked, out[column] == ranked["_key"], "left").drop("_key")
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clientlens.functions import catalog
@@ -86,8 +86,8 @@ def rfm_cohorts(scored: DataFrame) -> DataFrame:
     sizes = scored.groupBy(
         cohort_code(F.col("R_Score"), F.col("F_Score")).cast("long").alias("code")
     ).agg(F.count("*").alias("n"))
-    total = scored.agg(F.count("*")).scalar()
     n = F.coalesce("n", F.lit(0))
+    total = F.sum(n).over(Window.partitionBy())  # six rows
     return names.join(sizes, F.col("cohort") == F.col("code"), "left").select(
         F.col("cohort").cast("int").alias("cohort"),
         "cohort_name",

@@ -461,7 +461,7 @@ def question_routing(spark, folder):
         F.lit(" for user "), F.col("user_id").cast("string"),
     )
     asked = tables.table(spark, folder, "events").select("event_id", text.alias("question"))
-    replies = stage(answer_table(spark, folder).select("category", "answer"), "answers")
+    replies = answer_table(spark, folder).select("category", "answer")
     return answers.answer_questions(asked, "question", replies).select(
         "event_id", "question", "category", "answer"
     )
@@ -637,7 +637,8 @@ def alert_stream(spark, folder):
 
 # smaller fits than a full training run takes
 SMALL = training.Options(
-    k_values=(2, 3, 4, 5), grid_starts=1, forest_trees=100, classifier_trees=30, ltv_rounds=15, stability_runs=2
+    k_values=(2, 3, 4, 5), grid_starts=1, final_starts=2, forest_trees=100, classifier_trees=30, ltv_rounds=15,
+    stability_runs=2, stability_starts=1,
 )
 
 
@@ -675,12 +676,12 @@ def dbscan_tune(spark, folder):
 
 
 def kmeans_stability(spark, folder):
-    runs = stability.stability_runs(_fixed(spark, folder)[1], "Customer_ID", 3, runs=3)
+    runs = stability.stability_runs(_fixed(spark, folder)[1], "Customer_ID", 3, runs=3, starts=1)
     return stability.stability_summary(runs)
 
 
 def automl_board(spark, folder):
-    return selection.leaderboard(_fixed(spark, folder)[1], "Customer_ID", 3)
+    return selection.leaderboard(_fixed(spark, folder)[1], "Customer_ID", 3, starts=2)
 
 
 def pca3(spark, folder):

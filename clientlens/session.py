@@ -24,16 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/clientlens/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/clientlens/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path of this application below the shared folder."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later passes prune columns and push filters into the written table, and a lost
-    executor costs a re-read instead of a recomputation from the raw tables.
+    executor costs a re-read instead of a recomputation from the raw tables. The size of
+    the files is known, so a join with a small staged table broadcasts by that size.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
@@ -42,9 +47,9 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def discard_stages(spark: SparkSession) -> None:
-    """Remove every table this package staged in the shared folder."""
+    """Remove every table this application staged in the shared folder."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/clientlens")
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(path):
         fs.delete(path, True)

@@ -54,7 +54,7 @@ def test_scores_and_churn(scored):
 
 
 def test_k_grid(matrix):
-    grid, _ = clustering.kmeans_grid(matrix, ID, starts=6)
+    grid, _ = clustering.kmeans_grid(matrix, ID)
     rows = {r["k"]: r for r in grid.collect()}
     assert sorted(rows) == [2, 3, 4, 5, 6, 7, 8]
     assert clustering.best_k(grid) == 2
@@ -66,7 +66,7 @@ def test_k_grid(matrix):
 
 
 def test_labels_and_noise(matrix, labelled):
-    fit = clustering.fit_kmeans(matrix, 2)
+    fit = clustering.fit_kmeans(matrix, 2, starts=6)
     assert column(fit.transform(matrix), "KMeans_Cluster") == column(labelled, "KMeans_Cluster")
     assert column(ward.ward_labels(matrix, ID, 2), "HAC_Cluster") == column(labelled, "KMeans_Cluster")
     noise = dbscan.dbscan(matrix, ID, "features", [dbscan.Setting(2.0, 10)])

@@ -69,7 +69,7 @@ def test_matrix_of_new_records(spark, table, model):
 
 
 def test_kmeans_cost_is_the_inertia_of_its_labels(matrix):
-    fit = clustering.fit_kmeans(matrix, 4)
+    fit = clustering.fit_kmeans(matrix, 4, starts=2)
     labels = np.array([r["KMeans_Cluster"] for r in fit.transform(matrix).orderBy(ID).collect()])
     x = dense(matrix)
     inertia = sum(((x[labels == c] - x[labels == c].mean(axis=0)) ** 2).sum() for c in range(4))
@@ -127,7 +127,7 @@ def test_churn_needs_two_classes(table):
 
 
 def test_classifier_and_boosting(spark, table, model, matrix):
-    labelled = clustering.fit_kmeans(matrix, 3).transform(matrix)
+    labelled = clustering.fit_kmeans(matrix, 3, starts=1).transform(matrix)
     train, test = supervised.split(labelled, ID)
     fit = supervised.fit_classifier(train, model.names, "KMeans_Cluster", 40)
     report = supervised.classification_report(fit.transform(test), "KMeans_Cluster").collect()
@@ -243,17 +243,17 @@ def test_ward_on_micro_clusters(matrix):
 
 
 def test_stability_and_leaderboard(matrix):
-    runs = stability.stability_runs(matrix, ID, 2, runs=2)
+    runs = stability.stability_runs(matrix, ID, 2, runs=2, starts=1)
     row = stability.stability_summary(runs).first()
     assert row["runs"] == 2
     assert -1 <= row["min_adjusted_rand_index"] <= row["mean_adjusted_rand_index"] <= row["max_adjusted_rand_index"] <= 1
-    board = selection.leaderboard(matrix, ID, 3).collect()
+    board = selection.leaderboard(matrix, ID, 3, starts=1).collect()
     assert len(board) == 4 and [r["is_recommended"] for r in board] == [True, False, False, False]
     assert [r["composite_score"] for r in board] == sorted((r["composite_score"] for r in board), reverse=True)
 
 
 def test_scoring_falls_back(spark, table, model, matrix):
-    fit = clustering.fit_kmeans(matrix, 3)
+    fit = clustering.fit_kmeans(matrix, 3, starts=1)
     people = spark.createDataFrame(
         [(c, f"KEY{c}", *["t"] * 6, 1, *[1.0] * 10) for c in (1, 2)],
         "cluster_id int, " + ", ".join(f"{c} string" for c in scoring.PERSONA_COLUMNS)

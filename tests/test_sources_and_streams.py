@@ -4,13 +4,13 @@ from pyspark.sql import functions as F
 from clientlens.functions import catalog
 from clientlens.operators import kpis
 from clientlens.plans import queries, training
-from clientlens.session import new_path
+from clientlens.session import new_path, stage
 from clientlens.sources import sinks, synthetic, uploads
 from clientlens.streaming import flows
 
 
 def test_synthetic_ranges_and_shares(spark):
-    df = synthetic.synthetic_customers(spark, 6000)
+    df = stage(synthetic.synthetic_customers(spark, 6000))
     assert df.count() == 6000 and df.select("Customer_ID").distinct().count() == 6000
     assert df.where("Customer_ID = 'CUST-10001'").count() == 1
     counts = {r["Archetype"]: r["n"] for r in df.groupBy("Archetype").agg(F.count("*").alias("n")).collect()}
@@ -102,7 +102,7 @@ def test_audience_nobody_meets_is_everyone(customers):
 
 def test_training_run(spark, nine):
     wide = synthetic.synthetic_customers(spark, 120).drop("Archetype")
-    options = training.Options((2, 3), 1, 20, 5, 3, 1)
+    options = training.Options((2, 3), 1, 1, 20, 5, 3, 1, 1)
     run = training.train(wide, data_source="uploaded_csv:x.csv", options=options)
     row = run.tables["run"].first()
     assert row["total_samples"] == 120 == run.customers.count()
