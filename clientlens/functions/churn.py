@@ -133,7 +133,7 @@ def churn_drivers(df: DataFrame) -> Column:
                 F.when(raw > 0, "increases_churn").otherwise("reduces_churn").alias("direction"),
             )
         )
-    return F.array_sort(F.array(*drivers))
+    return F.sort_array(F.array(*drivers))
 
 
 def with_churn_drivers(df: DataFrame, churn: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientlens.functions import catalog
@@ -64,11 +64,11 @@ def observed_retention(orders: DataFrame) -> DataFrame:
     counts = steps.groupBy("_first", (F.col("_m") - F.col("_first")).alias("months_later")).agg(
         F.count("*").alias("active_customers")
     )
-    sizes = counts.where(F.col("months_later") == 0).select(
-        F.col("_first").alias("_f"), F.col("active_customers").alias("cohort_size")
-    )
+    # a cohort has one row per month, so its window is small
+    founders = F.max(F.when(F.col("months_later") == 0, F.col("active_customers")))
+    sized = counts.withColumn("cohort_size", founders.over(Window.partitionBy("_first")))
     label = F.format_string("%04d-%02d", F.floor(F.col("_first") / 12).cast("int"), F.col("_first") % 12 + 1)
-    return counts.join(sizes, F.col("_first") == F.col("_f")).select(
+    return sized.select(
         label.alias("cohort"),
         F.col("months_later").cast("int").alias("months_later"),
         "cohort_size",

@@ -384,8 +384,12 @@ al AS (SELECT CAST(Customer_ID AS VARCHAR) AS customer_id, {_OWNER.format('syste
 alerts AS (SELECT {_digest('alert_', 'alert_type', 'customer_id', 'tenant_id', 'created_at')} AS id, * FROM al)"""
 
 
+_DRAWS = ["archetype", *[c for c, _ in catalog.ARCHETYPE_COLUMNS], "channel", "region", "gender"]
+
+
 def _draw(name: str) -> str:
-    return f"(CAST('0x' || substr(md5('42|{name}|' || k), 1, 8) AS BIGINT) / 4294967296e0)"
+    block, place = divmod(_DRAWS.index(name), 4)
+    return f"(CAST('0x' || substr(md5('42|{block}|' || k), {8 * place + 1}, 8) AS BIGINT) / 4294967296e0)"
 
 
 def _pick(draw: str, weighted) -> str:

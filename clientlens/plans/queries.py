@@ -141,7 +141,7 @@ def arrival_ids(spark, folder):
 
 
 def input_validation(spark, folder):
-    raw = _raw_extract(spark, folder).select(
+    raw = stage(_raw_extract(spark, folder), "extract").select(
         F.col("Account ID").alias("customer_id"),
         F.col("Days Since Last Order").alias("Recency_Days"),
         F.col("Order Count").cast("int").alias("Frequency_Orders"),
@@ -228,7 +228,8 @@ def churn_labels(spark, folder):
 def churn_drivers(spark, folder):
     df = customers(spark, folder)
     explained = churn.with_churn_drivers(df, F.col("Churn_Risk_Index"))
-    return explained.select("Customer_ID", F.posexplode("drivers").alias("_p", "_d")).select(
+    # the outer form: the plain one would add a filter that computes the drivers twice
+    return explained.select("Customer_ID", F.posexplode_outer("drivers").alias("_p", "_d")).select(
         "Customer_ID", (F.col("_p") + 1).alias("driver_rank"), "_d.feature", "_d.value", "_d.impact",
         "_d.importance_pct", "_d.direction",
     )
@@ -416,15 +417,13 @@ def _facts(spark, folder):
     return answers.cluster_facts(segmented(spark, folder), persona_rows(spark, folder), "Segment")
 
 
-def _answers(spark, folder):
-    facts = _facts(spark, folder)
-    bench = _benchmark_rows(spark, folder)
+def answer_table(spark, folder):
+    facts = stage(_facts(spark, folder), "facts")
     parts = [
         answers.churn_answer(facts),
         answers.revenue_answer(facts),
         answers.density_answer(segmented(spark, folder), "Density_Label"),
         answers.general_answer(facts, F.lit(6)),
-        answers.benchmark_answer(bench, 10),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -442,10 +441,6 @@ def _benchmark_rows(spark, folder):
     )
 
 
-def answer_table(spark, folder):
-    return _answers(spark, folder).where(F.col("category") != answers.BENCHMARK)
-
-
 def answer_benchmark(spark, folder):
     return answers.benchmark_answer(_benchmark_rows(spark, folder), 10)
 

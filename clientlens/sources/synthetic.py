@@ -10,10 +10,15 @@ from clientlens.functions.churn import average_order_value, churn_generated
 from clientlens.functions.expressions import first_match
 
 
+DRAWS = ["archetype", *[name for name, _ in catalog.ARCHETYPE_COLUMNS], "channel", "region", "gender"]
+
+
 def _draw(name: str, seed: int) -> Column:
-    """Uniform [0, 1) from the row number: the same row always draws the same value."""
-    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(name), F.col("_row"))), 1, 8)
-    return F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
+    """Uniform [0, 1) from the row number: the same row always draws the same value. One
+    digest holds four draws of eight hexadecimal digits."""
+    block, place = divmod(DRAWS.index(name), 4)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(block)), F.col("_row")))
+    return F.conv(F.substring(digest, 8 * place + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def _choice(draw: Column, weighted: list[tuple[str, float]]) -> Column:

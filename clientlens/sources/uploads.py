@@ -75,6 +75,7 @@ def dataset_status(run: DataFrame) -> DataFrame:
     """Source, display name and size of the active dataset, one row per run."""
     source = F.coalesce("data_source", F.lit("synthetic"))
     custom = source.contains("uploaded_csv")
+    trained = [F.col("trained_at_utc").alias("trained_at")] if "trained_at_utc" in run.columns else []
     return run.select(
         source.alias("data_source"),
         F.when(custom, F.replace(source, F.lit("uploaded_csv:"), F.lit("User File: ")))
@@ -82,6 +83,7 @@ def dataset_status(run: DataFrame) -> DataFrame:
         .alias("display_name"),
         custom.alias("is_custom"),
         F.coalesce("total_samples", F.lit(0)).cast("long").alias("total_samples"),
+        *trained,
     )
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clientlens.functions import catalog
-from clientlens.operators import kpis
+from clientlens.operators import kpis, scoring
 from clientlens.plans import queries, training
 from clientlens.session import new_path, stage
 from clientlens.sources import sinks, synthetic, uploads
@@ -101,16 +101,27 @@ def test_audience_nobody_meets_is_everyone(customers):
 
 
 def test_training_run(spark, nine):
-    wide = synthetic.synthetic_customers(spark, 120).drop("Archetype")
     options = training.Options((2, 3), 1, 1, 20, 5, 3, 1, 1)
-    run = training.train(wide, data_source="uploaded_csv:x.csv", options=options)
+    run = training.train_demo(spark, 120, options=options)
     row = run.tables["run"].first()
     assert row["total_samples"] == 120 == run.customers.count()
+    assert row["data_source"] == "synthetic_demo_120"
+    again = training.load_run(spark, run.folder)
+    new = run.customers.select(*[c for c in catalog.RECORD_FIELDS if c in run.customers.columns], "Customer_ID")
+    scored = scoring.score_records(new, run.models)
+    assert scored.exceptAll(scoring.score_records(new, again.models)).count() == 0
+    plain = lambda models: scoring.ScoringModels(models.features, models.personas, kmeans=models.kmeans)
+    both = [scoring.score_records(new, plain(m)).select("Customer_ID", "predicted_cluster") for m in (run.models, again.models)]
+    assert both[0].exceptAll(both[1]).count() == 0
+    assert both[0].exceptAll(run.customers.select("Customer_ID", "KMeans_Cluster")).count() <= 12
     assert {"KMeans_Cluster", "DBSCAN_Cluster", "HAC_Cluster", "GMM_Cluster", "PCA_3", "Is_Anomaly",
             "RFM_Group"} <= set(run.customers.columns)
     assert run.tables["benchmark"].count() == 4
     status = [r["status"] for r in spark.read.parquet(f"{run.folder}/status").orderBy("recorded_at").collect()]
     assert status[0] == "queued" and status[-1] == "completed"
-    assert uploads.dataset_status(run.tables["run"]).first()["display_name"] == "User File: x.csv"
+    shown = uploads.dataset_status(run.tables["run"]).first()
+    assert (shown["is_custom"], shown["total_samples"]) == (False, 120)
+    chosen = sinks.select_production_model(run.tables["run"], catalog.MODEL_GMM)
+    assert uploads.model_info(chosen).first()["production_model"] == catalog.MODEL_GMM
     with pytest.raises(ValueError):
         training.train(nine.drop("Monetary_Spend"), folder=new_path(spark, "bad"))
