@@ -99,14 +99,14 @@ def anomaly_type(flag: Column) -> Column:
     tickets, returns, recency = F.col("Support_Tickets"), F.col("Return_Rate"), F.col("Recency_Days")
     return first_match(
         [
-            (~flag, F.lit("Normal Pattern")),
-            ((spend > 15000) | ((spend > 8000) & (orders > 40)), F.lit("VIP Whale Outlier")),
+            (~flag, F.lit(catalog.ANOMALY_NORMAL)),
+            ((spend > 15000) | ((spend > 8000) & (orders > 40)), F.lit(catalog.ANOMALY_WHALE)),
             ((tickets >= 5) | ((tickets >= 3) & (returns > 0.3)),
-             F.lit("High Friction / Fraud Suspect")),
-            (returns > 0.35, F.lit("Abnormal Return Behavior")),
-            ((recency > 180) & (spend > 5000), F.lit("Dormant High Value Customer")),
+             F.lit(catalog.ANOMALY_FRICTION)),
+            (returns > 0.35, F.lit(catalog.ANOMALY_RETURNS)),
+            ((recency > 180) & (spend > 5000), F.lit(catalog.ANOMALY_DORMANT)),
         ],
-        F.lit("Behavioral Outlier"),
+        F.lit(catalog.ANOMALY_OTHER),
     )
 
 

@@ -114,6 +114,7 @@ def kmeans_grid(
         labelled = rows
         for k, fit in fits.items():
             labelled = fit.transform(labelled, f"k{k}")
+        labelled = stage(labelled, "labelled")  # predicted once, read by every pass of the evaluation
         scored = stage(evaluate(labelled, id_col, "features", [f"k{k}" for k in fits], invalid={
             "silhouette": 0.0, "davies_bouldin": 0.0, "calinski_harabasz": 0.0}), "kgrid")
     costs = small_table(
@@ -178,6 +179,7 @@ def mixture_grid(matrix: DataFrame, id_col: str, ks=GRID_COMPONENTS) -> DataFram
         labelled = rows
         for k, fit in fits.items():
             labelled = fit.transform(labelled, f"n{k}")
+        labelled = stage(labelled, "labelled")
         scored = stage(evaluate(labelled, id_col, "features", [f"n{k}" for k in fits]), "ngrid")
     costs = small_table(
         matrix.sparkSession,

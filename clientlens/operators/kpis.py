@@ -112,5 +112,5 @@ def alert_candidates(df: DataFrame, churn_col: str = "Churn_Risk_Index", flag_co
     """FLT-5: rows that raise an alert, with the kind of alert."""
     churn, flag = F.col(churn_col) > 0.70, F.coalesce(F.col(flag_col), F.lit(False))
     return df.where(churn | flag).withColumn(
-        "alert_type", F.when(churn, "HIGH_CHURN_RISK").otherwise("ANOMALY_DETECTED")
+        "alert_type", F.when(churn, catalog.ALERT_CHURN).otherwise(catalog.ALERT_ANOMALY)
     )

@@ -212,6 +212,7 @@ def nearest_centre(
     rows are never multiplied. Beyond ``max_distance`` the label is -1.
     """
     x = as_array(df, vec_col)
+    centres = stage(centres.select("label", "centre"), "centres")
     count = centres.count()
     if count == 0:
         return df.withColumn(out, F.lit(-1)).withColumn(f"{out}_distance", F.lit(None).cast("double"))

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
@@ -17,11 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="clientlens-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="clientlens-")
+    return _local_dirs[context.applicationId]
 
 
 def _own_dir(spark: SparkSession) -> str:

@@ -73,13 +73,13 @@ def resolve_run(spark: SparkSession, folders: list[str], name: str) -> DataFrame
 
 def dataset_status(run: DataFrame) -> DataFrame:
     """Source, display name and size of the active dataset, one row per run."""
-    source = F.coalesce("data_source", F.lit("synthetic"))
-    custom = source.contains("uploaded_csv")
+    source = F.coalesce("data_source", F.lit(catalog.SOURCE_DEFAULT))
+    custom = source.contains(catalog.UPLOAD_MARK)
     trained = [F.col("trained_at_utc").alias("trained_at")] if "trained_at_utc" in run.columns else []
     return run.select(
         source.alias("data_source"),
-        F.when(custom, F.replace(source, F.lit("uploaded_csv:"), F.lit("User File: ")))
-        .otherwise("Demo Synthetic Dataset (50,000 Customers)")
+        F.when(custom, F.replace(source, F.lit(catalog.UPLOAD_MARK + ":"), F.lit(catalog.UPLOAD_NAME)))
+        .otherwise(catalog.DEMO_NAME)
         .alias("display_name"),
         custom.alias("is_custom"),
         F.coalesce("total_samples", F.lit(0)).cast("long").alias("total_samples"),
