@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from clientlens.llm import simhash
+from clientlens.llm import simhash, substring_dedup
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_substring_dedup": substring_dedup.SQL,
+}
