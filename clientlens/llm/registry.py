@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from clientlens.llm import simhash, substring_dedup
+from clientlens.llm import decontaminate, mixing, simhash, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op8_mixing": mixing.op8_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
 
 SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.SQL,
+    "op6_decontaminate": decontaminate.SQL,
 }
