@@ -32,7 +32,7 @@ def byte_values(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes], size: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts have about ``size`` bytes; a longer text stands alone."""
     start, total = 0, 0
     for i, text in enumerate(texts):
