@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from clientlens.llm import decontaminate, mixing, simhash, substring_dedup
+from clientlens.llm import decontaminate, mixing, quality, simhash, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_quality": quality.op3_quality,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_mixing": mixing.op8_mixing,
     "op10_simhash": simhash.op10_simhash,

@@ -30,6 +30,11 @@ RADIUS = 2
 SEED = 42
 BLOCKS = 4
 TILE_ROWS = 256
+#: Of the similarity search: bits that may differ, blocks of bits, how many of them agree, similarity.
+WIDE_RADIUS = 12
+WIDE_BLOCKS = 8
+WIDE_AGREE = 2
+SIMILARITY = 0.8
 
 
 def _fingerprints_of(texts: list[bytes], shingle_words: int, seed: int) -> np.ndarray:
@@ -88,11 +93,11 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle_words: int
     return source.mapInArrow(run, schema)
 
 
-def _units(nodes: DataFrame, radius: int, tile_rows: int) -> DataFrame:
+def _units(nodes: DataFrame, radius: int, tile_rows: int, blocks: int, agree: int) -> DataFrame:
     """(unit, fingerprint): every node once for each pair of tiles it belongs to."""
-    width = 64 // BLOCKS
+    width = 64 // blocks
     masks = []
-    for chosen in combinations(range(BLOCKS), max(BLOCKS - radius, 1)):
+    for chosen in combinations(range(blocks), agree):
         value = sum(((1 << width) - 1) << (width * b) for b in chosen)
         masks.append(value - (1 << 64) if value >> 63 else value)
     fp = F.col("fingerprint")
@@ -133,9 +138,22 @@ def _forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return prints[moved], prints[roots[moved]]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(u, v): links that join all distinct fingerprints within ``radius`` bits."""
-    units = _units(nodes, radius, tile_rows)
+def _nearest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each fingerprint the closest one before it, if within the radius."""
+    apart = np.bitwise_count(prints[:, None] ^ prints[None, :]).astype(np.int64)
+    apart[np.triu_indices(len(prints))] = 65
+    best = apart.argmin(axis=1)
+    near = np.flatnonzero(apart[np.arange(len(prints)), best] <= radius)
+    return prints[near], prints[best[near]]
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, blocks: int = BLOCKS,
+          agree: int = BLOCKS - RADIUS, nearest: bool = False) -> DataFrame:
+    """(u, v): links that join all distinct fingerprints within ``radius`` bits, if ``agree``
+    is ``blocks - radius`` at most. With ``nearest``, links are pairs within the radius:
+    each fingerprint with the closest smaller one of every pair of tiles it is in."""
+    units = _units(nodes, radius, tile_rows, blocks, agree)
+    joined = _nearest if nearest else _forest
     ordered = units.repartition("unit").sortWithinPartitions("unit", "fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +172,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) ->
                 a = a[np.bitwise_count(fp[a] ^ fp[a + step]) <= radius]
                 us.append(fp[a + step]), vs.append(fp[a])
             for at, size in zip(begins[sizes > 16], sizes[sizes > 16]):
-                for found, into in zip(_forest(fp[at : at + size], radius), (us, vs)):
+                for found, into in zip(joined(fp[at : at + size], radius), (us, vs)):
                     into.append(found)
             columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)]
             return pa.RecordBatch.from_arrays(columns, names=["u", "v"])
@@ -185,7 +203,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     prints = stage(with_fingerprint(source, "text", shingle_words, seed), "fingerprints")
     nodes = stage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = smallest_reachable(links(nodes, radius))
+    found = links(nodes, radius, TILE_ROWS, max(BLOCKS, radius + 1), max(BLOCKS - radius, 1))
+    return _named(prints, nodes, smallest_reachable(found), id_col)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
+                      similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, blocks: int = WIDE_BLOCKS,
+                      agree: int = WIDE_AGREE, seed: int = SEED) -> DataFrame:
+    """(id, fingerprint, component_id) as ``near_duplicates``, for texts alike in their shingles.
+
+    Documents of one fingerprint are one node. The tiled comparison proposes for every node
+    the nearest smaller one in each cell of the grid where ``agree`` of ``blocks`` blocks
+    agree; a proposal holds if the Jaccard similarity of the distinct shingles of both
+    reaches ``similarity``. Of two lone copies that differ in a tenth of their shingles the
+    grid finds nine of ten, of closer ones more; in groups any member may be found. Nodes
+    whose rows have no id are linked to none.
+    """
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    prints = stage(with_fingerprint(source, "text", shingle_words, seed), "fingerprints")
+    nodes = stage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "nodes")
+    pairs = stage(links(nodes, radius, TILE_ROWS, blocks, agree, nearest=True), "pairs")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("fingerprint")).distinct().join(nodes, "fingerprint")
+    texts = source.join(asked.select(F.col("first_id").alias("doc_id"), "fingerprint"), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = []
+            for text in byte_values(batch.column("text")):
+                words = text.lower().split()
+                ends = range(max(len(words) - shingle_words, 0) + 1)
+                sets.append(list({xxhash.xxh64_intdigest(b" ".join(words[j : j + shingle_words]), seed) - (1 << 63) for j in ends}))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("fingerprint"), pa.array(sets, pa.list_(pa.int64()))], names=["fingerprint", "shingles"]
+            )
+
+    sets = stage(texts.mapInArrow(run, "fingerprint long, shingles array<long>").dropDuplicates(["fingerprint"]), "shingles")
+    both = pairs.join(sets.select(F.col("fingerprint").alias("u"), F.col("shingles").alias("a")), "u").join(
+        sets.select(F.col("fingerprint").alias("v"), F.col("shingles").alias("b")), "v"
+    )
+    common = F.size(F.array_intersect("a", "b"))
+    held = both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+    return _named(prints, nodes, smallest_reachable(held), id_col)
+
+
+def _named(prints: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
     named = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     named = named.withColumn("root", F.coalesce("root", "fingerprint"))
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -77,12 +77,17 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return (sums[ends] - sums[starts]) * down[starts]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, number of words of every text), for a chunk of texts."""
+def word_hashes(texts: list[bytes], prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, number of words of every text), for a chunk of texts.
+
+    With ``prefix`` only the first so many bytes of each word are hashed.
+    """
     joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
     word = ~_BLANK[joined]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], word)).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
+    if prefix:
+        ends = np.minimum(ends, starts + prefix)
     codes = range_hashes(joined.astype(np.uint64) + np.uint64(1), starts, ends, int(_BASE))
     codes = mixed(codes + (ends - starts).astype(np.uint64) * _MIX2)
     borders = np.cumsum([len(t) + 1 for t in texts])

@@ -1,17 +1,76 @@
-"""The corpus pipeline: the stages that turn raw documents into a training mix."""
+"""The corpus pipeline: the stages that turn raw documents into a training mix.
+
+Every stage works on all rows the stage before it kept, and returns the columns of
+``documents``; the last one adds how often the mix takes each document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from clientlens.llm import decontaminate, mixing, quality, simhash, substring_dedup
+from clientlens.session import stage
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the ordinal classifier rejects go."""
+    graded = quality.grades_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = quality.train(docs, graded)
+    return quality.rate(docs, model, carry=COLUMNS).where("keep").select(*COLUMNS)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest id.
+
+    Near duplicates share four fifths of their five-word shingles. Rows that repeat an id are
+    one document. Documents without words are one group, and so are those without an id.
+    """
+    groups = simhash.similar_documents(docs).select("doc_id", "component_id")
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(stage(first, "first"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 35 words or more that occur again stay in one place only."""
+    found = substring_dedup.remove_repeats(docs, keep_first=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontaminate.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("hit_words") == 0).select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the mix takes, with ``size`` in words, ``copies`` and ``taken`` words."""
+    plan = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "size", "copies", "taken")
+    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.select(*COLUMNS, "size", "copies", "taken")
+
 
-STAGES = []
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("substring dedup", substring_dedup_stage),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", mixing_stage),
+]
 
 #: SQL cannot express fitted models and seeded rounding; tests hold each stage to a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, each reading what the one before wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, function in STAGES:
+    for number, (_, function) in enumerate(STAGES):
         docs = function(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = stage(docs, "pipeline")
     return docs
