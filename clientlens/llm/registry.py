@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from clientlens.llm import decontaminate, mixing, quality, simhash, substring_dedup
+from clientlens.llm import brown_lm, decontaminate, mixing, quality, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_quality": quality.op3_quality,
+    "op4_brown_lm": brown_lm.op4_brown_lm,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_mixing": mixing.op8_mixing,
     "op10_simhash": simhash.op10_simhash,
