@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clientlens.llm import brown_lm, decontaminate, mixing, quality, simhash, substring_dedup, token_counts, url_filter
+from clientlens.llm import ann_tree, brown_lm, decontaminate, mixing, quality, simhash, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_mixing": mixing.op8_mixing,
+    "op7_ann_tree": ann_tree.op7_ann_tree,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_simhash": simhash.op10_simhash,
 }
