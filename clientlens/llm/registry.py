@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from clientlens.llm import ann_tree, brown_lm, decontaminate, mixing, quality, simhash, substring_dedup, token_counts, url_filter
+from clientlens.llm import ann_tree, brown_lm, decontaminate, html_extract, mixing, quality, simhash, substring_dedup, token_counts, url_filter
 
 QUERIES = {
+    "op1_html_extract": html_extract.op1_html_extract,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_quality": quality.op3_quality,
     "op4_brown_lm": brown_lm.op4_brown_lm,
