@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from clientlens.llm import dom
 
-SAMPLE_PAGES = 400
+SAMPLE_PAGES = 360
 COPIES = 3
 #: Nodes whose log-odds are computed together.
 NODES = 20_000
@@ -156,9 +156,17 @@ def _strings(rng: random.Random, pieces: list[str], prose: list[str]) -> list[st
     return made + [re.sub(r"^<(\w+)", r'<\1 data-label="n"', p, count=1) for p in pieces]
 
 
+def _short_heading(rng: random.Random, html: str) -> str:
+    """The same html with a few words as its first heading."""
+    cut = lambda m: m.group(1) + " ".join(m.group(2).split()[: rng.randint(1, 4)]) + m.group(3)
+    return re.sub(r"(<h1\b[^>]*>)([^<]*)(</h1>)", cut, html, count=1)
+
+
 def _copy(rng: random.Random, article: str, pieces: list[str], prose: list[str]) -> str:
     """A page with the same article in another frame."""
     asides = _strings(rng, pieces, prose)
+    if rng.random() < 0.4:
+        article = _short_heading(rng, article)
     blocks = [m.group(0) for m in _BLOCK.finditer(article)] or [article]
     around = rng.sample(asides, rng.randint(2, 7))
     if rng.random() < 0.6:  # such pieces also stand in the article itself
@@ -198,7 +206,7 @@ def examples(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
     figures, labels = [np.zeros((0, dom.COLUMNS), np.float32)], [np.zeros(0)]
     for html, found, pieces in parts:
         own = html[: found.start()] + f'<{found.group(1)} data-label="c"' + html[found.start() + 1 + len(found.group(1)) :]
-        for copy in [own] + [_copy(rng, found.group(2), pieces, prose) for _ in range(COPIES)]:
+        for copy in [own, _short_heading(rng, own)] + [_copy(rng, found.group(2), pieces, prose) for _ in range(COPIES)]:
             page = dom.read(copy)
             state = np.zeros(len(page.tags))
             for i, label in enumerate(page.labels):
