@@ -20,12 +20,12 @@ def churn_from_rfm(
     tickets: Column,
     recency_factor: float = 1.0,
 ) -> Column:
-    """Unrounded table formula (PRJ-2); ``recency_factor`` damps the recency term."""
+    """Unrounded table formula (PRJ-2), null if an input is; ``recency_factor`` damps the recency term."""
     return (
-        0.4 * F.least(recency / 120.0, F.lit(1.0)) * recency_factor
-        + 0.3 * F.greatest(1.0 - orders / 20.0, F.lit(0.0))
-        + 0.2 * F.greatest(1.0 - engagement / 100.0, F.lit(0.0))
-        + 0.1 * F.least(tickets / 5.0, F.lit(1.0))
+        0.4 * bounded(recency / 120.0, high=1.0) * recency_factor
+        + 0.3 * bounded(1.0 - orders / 20.0, low=0.0)
+        + 0.2 * bounded(1.0 - engagement / 100.0, low=0.0)
+        + 0.1 * bounded(tickets / 5.0, high=1.0)
     )
 
 
@@ -43,9 +43,9 @@ def churn_rfm() -> Column:
 def _behaviour_mix(weights: tuple[float, float, float, float], tickets_at: float, returns_at: float,
                    capped: bool = False) -> Column:
     def part(value: Column, at: float) -> Column:
-        return F.least(value / at, F.lit(1.0)) if capped else value / at
+        return bounded(value / at, high=1.0) if capped else value / at
 
-    engagement = F.least(F.col("Engagement_Score"), F.lit(100.0)) if capped else F.col("Engagement_Score")
+    engagement = bounded(F.col("Engagement_Score"), high=100.0) if capped else F.col("Engagement_Score")
     raw = (
         weights[0] * part(F.col("Recency_Days"), 365.0)
         + weights[1] * (1.0 - engagement / 100.0)

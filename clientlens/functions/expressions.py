@@ -23,7 +23,7 @@ def bounded(value: Column, low: float | None = None, high: float | None = None)
 def exact_sum(value: Column, scale: int = MONEY_SCALE) -> Column:
     """Sum that does not depend on partitioning: doubles are added as whole numbers of
     10^-scale, in decimals wide enough for any table."""
-    units = F.rint(value * 10.0**scale).cast("bigint").cast("decimal(18,0)")
+    units = F.rint(value * 10.0**scale).cast("decimal(38,0)")
     return F.sum(units).cast("double") / 10.0**scale
 
 

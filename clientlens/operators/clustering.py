@@ -12,23 +12,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientlens.functions.expressions import rounded
-from clientlens.operators.quality import evaluate
+from clientlens.operators.quality import as_array, evaluate
 from clientlens.session import small_table, stage
 
 GRID_K = range(2, 10)
 GRID_COMPONENTS = range(2, 11)
-# Seeded starts of a fit in the search and of the final fit, on tables of up
-# to LARGE_ROWS rows and on larger ones
-LARGE_ROWS = 50_000
-GRID_STARTS = (5, 3)
-FINAL_STARTS = (10, 5)
+# Seeded starts of a fit in the search and of the final fit
+GRID_STARTS = 5
+FINAL_STARTS = 10
+ROWS_PER_FILE = 100_000
 
 
 def fixed_matrix(df: DataFrame, id_col: str, vec_col: str = "features") -> DataFrame:
     """(id, features) written once, each file sorted by id, so that seeded fits see the
-    same rows in the same order on every run."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.select(id_col, F.col(vec_col).alias("features")).repartition(parts, id_col)
+    same rows in the same order on every run. The number of files follows the rows."""
+    rows = df.select(id_col, F.col(vec_col).alias("features"))
+    ordered = rows.repartition(max(1, math.ceil(rows.count() / ROWS_PER_FILE)), id_col)
     return stage(ordered.sortWithinPartitions(id_col), "matrix")
 
 
@@ -76,16 +75,13 @@ class KMeansFit:
         self.model.write().overwrite().save(path)
 
 
-def starts_for(rows: int, starts: tuple[int, int]) -> int:
-    return starts[0] if rows <= LARGE_ROWS else starts[1]
-
-
-def fit_kmeans(matrix: DataFrame, k: int, starts: int | None = None, seed: int = 42) -> KMeansFit:
+def fit_kmeans(
+    matrix: DataFrame, k: int, starts: int = FINAL_STARTS, seed: int = 42, init: str = "k-means||"
+) -> KMeansFit:
     """ML-5: the cheapest of ``starts`` seeded fits."""
-    starts = starts or starts_for(matrix.count(), FINAL_STARTS)
     best = None
     for start in range(starts):
-        model = KMeans(k=k, seed=seed + start, maxIter=50, featuresCol="features").fit(matrix)
+        model = KMeans(k=k, seed=seed + start, maxIter=50, featuresCol="features", initMode=init).fit(matrix)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
     sizes, centres = best.summary.clusterSizes, best.clusterCenters()
@@ -96,21 +92,20 @@ def fit_kmeans(matrix: DataFrame, k: int, starts: int | None = None, seed: int =
     return KMeansFit(best, order, best.summary.trainingCost)
 
 
-def usable_k(n: int, ks) -> list[int]:
-    top = min(n - 1, max(ks))
-    found = [k for k in ks if 2 <= k <= top]
-    return found or ([2] if n >= 2 else [1])
-
-
 def kmeans_grid(
-    matrix: DataFrame, id_col: str, ks=GRID_K, starts: int | None = None
+    matrix: DataFrame, id_col: str, ks=GRID_K, starts: int = GRID_STARTS
 ) -> tuple[DataFrame, dict[int, KMeansFit]]:
-    """ML-6: inertia and quality of every k, all labelings judged in one evaluation."""
+    """ML-6: inertia and quality of every k, all labelings judged in one evaluation.
+
+    There cannot be more clusters than different rows, so a larger k is not tried; a table
+    of equal rows has nothing to cluster and is refused.
+    """
     spark = matrix.sparkSession
     with held(matrix) as rows:
-        n = rows.count()
-        starts = starts or starts_for(n, GRID_STARTS)
-        fits = {k: fit_kmeans(rows, k, starts) for k in usable_k(n, ks)}
+        different = rows.select(as_array(rows, "features").alias("x")).distinct().limit(max(ks)).count()
+        if different < 2:
+            raise ValueError("clustering needs two different rows")
+        fits = {k: fit_kmeans(rows, k, starts) for k in ks if k <= different}
         labelled = rows
         for k, fit in fits.items():
             labelled = fit.transform(labelled, f"k{k}")

@@ -26,10 +26,12 @@ def overview(df: DataFrame, cluster_col: str = "KMeans_Cluster") -> DataFrame:
 
 
 def high_risk_customers(df: DataFrame, cluster_col: str = "KMeans_Cluster", limit: int = 25) -> DataFrame:
-    """TOP-1: highest churn first, then spend, then id; 1 to 100 rows."""
+    """TOP-1: highest churn first, then spend, then id; 1 to 100 rows may be asked for."""
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be between 1 and 100")
     return (
         df.orderBy(F.col("Churn_Risk_Index").desc(), F.col("Monetary_Spend").desc(), "Customer_ID")
-        .limit(max(1, min(limit, 100)))
+        .limit(limit)
         .select(
             F.col("Customer_ID").alias("customer_id"),
             F.col(cluster_col).cast("int").alias("cluster"),
@@ -37,7 +39,7 @@ def high_risk_customers(df: DataFrame, cluster_col: str = "KMeans_Cluster", limi
             rounded("Monetary_Spend", 2).alias("monetary_spend"),
             F.col("Recency_Days").alias("recency_days"),
             F.col("Frequency_Orders").alias("frequency_orders"),
-            F.lit(catalog.HIGH_RISK_ACTION).alias("recommended_action"),
+            F.lit("contact").alias("recommended_action"),
         )
     )
 

@@ -70,20 +70,22 @@ def persona_key(q: dict[str, dict[float, float]]) -> Column:
 
 
 def persona_texts(spark: SparkSession) -> DataFrame:
-    key, title, color, icon, tagline, description, strategy = zip(*catalog.PERSONAS)
+    """Default texts by key: title, colour and icon, and the rule that was met."""
+    key, title, color, icon = zip(*catalog.PERSONAS)
+    rules = [catalog.PERSONA_RULES[k] for k in key]
     return small_table(
         spark,
-        {"text_key": list(key), "persona_title": list(title), "tagline": list(tagline),
-         "description": list(description), "strategy": list(strategy), "color": list(color),
-         "icon": list(icon)},
+        {"text_key": list(key), "persona_title": list(title), "tagline": list(title), "description": rules,
+         "strategy": [f"plan for {k}" for k in key], "color": list(color), "icon": list(icon)},
     )
 
 
 def personas(
     df: DataFrame, cluster_col: str = "KMeans_Cluster",
-    quantiles: dict[str, dict[float, float]] | None = None, **limits,
+    quantiles: dict[str, dict[float, float]] | None = None, texts: DataFrame | None = None, **limits,
 ) -> DataFrame:
-    """AGG-2/4: profile, persona and texts of every cluster, metrics rounded.
+    """AGG-2/4: profile, persona and texts of every cluster, metrics rounded. ``texts`` has
+    the columns of ``persona_texts``, which are the default.
 
     ``raw_avg_churn_risk`` and ``raw_total_revenue`` stay unrounded for later use.
     """
@@ -91,7 +93,7 @@ def personas(
     keyed = cluster_profile(df, cluster_col).withColumn("persona_key", persona_key(q))
     text_key = F.when(F.col("cluster_id") == -1, "NOISE").otherwise(F.col("persona_key"))
     joined = keyed.withColumn("_k", text_key).join(
-        persona_texts(df.sparkSession), F.col("_k") == F.col("text_key"), "left"
+        texts or persona_texts(df.sparkSession), F.col("_k") == F.col("text_key"), "left"
     )
     return joined.select(
         "cluster_id", "persona_key", "persona_title", "tagline", "description", "strategy",
@@ -125,33 +127,44 @@ def with_persona(df: DataFrame, persona_rows: DataFrame, cluster_col: str) -> Da
     )
 
 
-def _campaign_table(spark: SparkSession) -> DataFrame:
-    key, campaign, metric = zip(*catalog.CAMPAIGNS)
+def campaign_texts(spark: SparkSession) -> DataFrame:
+    """Default campaign names and measures by key."""
+    keys = catalog.CAMPAIGN_KEYS
     return small_table(
         spark,
-        {"_campaign": list(key), "recommended_campaign": list(campaign), "success_metric": list(metric)},
+        {"_campaign": keys, "recommended_campaign": [f"campaign for {k}" for k in keys],
+         "success_metric": [f"response of {k}" for k in keys]},
     )
 
 
-def with_campaign(df: DataFrame, key: str = "persona_key") -> DataFrame:
-    """JN-2: campaign and success metric by persona; unknown keys take GENERAL."""
-    known = F.when(F.col(key).isin([k for k, *_ in catalog.CAMPAIGNS]), F.col(key)).otherwise("GENERAL")
+def with_campaign(df: DataFrame, key: str = "persona_key", texts: DataFrame | None = None) -> DataFrame:
+    """JN-2: campaign and success metric by persona; unknown keys take GENERAL. ``texts`` has
+    the columns of ``campaign_texts``."""
+    known = F.when(F.col(key).isin(catalog.CAMPAIGN_KEYS), F.col(key)).otherwise("GENERAL")
     return (
         df.withColumn("_key", known)
-        .join(_campaign_table(df.sparkSession), F.col("_key") == F.col("_campaign"), "left")
+        .join(texts or campaign_texts(df.sparkSession), F.col("_key") == F.col("_campaign"), "left")
         .drop("_key", "_campaign")
     )
 
 
-def campaign_copy(requests: DataFrame, key: str = "persona_key", title: str | None = None) -> DataFrame:
+COPY_FIELDS = ["email_subject", "email_body", "sms_text", "ad_headline", "ad_description", "call_to_action", "discount_offer"]
+
+
+def copy_texts(spark: SparkSession) -> DataFrame:
+    """Placeholders for the campaign copy of every key, to be replaced by the caller's texts."""
+    keys, titles = catalog.COPY_KEYS, {k: t for k, t, *_ in catalog.PERSONAS}
+    fields = {name: [f"{{{k}.{name}}}" for k in keys] for name in COPY_FIELDS}
+    return small_table(spark, {"_copy": keys, "_title": [titles[k] for k in keys], **fields})
+
+
+def campaign_copy(
+    requests: DataFrame, key: str = "persona_key", title: str | None = None, texts: DataFrame | None = None
+) -> DataFrame:
     """Campaign texts for a table of persona keys; unknown keys take LOYALIST, a given
-    non-empty title replaces the default one."""
-    names = ["_copy", "_title", "email_subject", "email_body", "sms_text", "ad_headline",
-             "ad_description", "call_to_action", "discount_offer"]
-    texts = small_table(
-        requests.sparkSession, dict(zip(names, map(list, zip(*catalog.CAMPAIGN_COPY))))
-    )
-    known = F.when(F.col(key).isin([c[0] for c in catalog.CAMPAIGN_COPY]), F.col(key)).otherwise("LOYALIST")
+    non-empty title replaces the default one. ``texts`` has the columns of ``copy_texts``."""
+    texts = texts or copy_texts(requests.sparkSession)
+    known = F.when(F.col(key).isin(catalog.COPY_KEYS), F.col(key)).otherwise("LOYALIST")
     shown = F.col("_title")
     if title is not None:
         shown = F.when(F.coalesce(F.col(title), F.lit("")) != "", F.col(title)).otherwise(shown)

@@ -1,22 +1,17 @@
-"""Quality of clusterings: Davies-Bouldin, Calinski-Harabasz, Euclidean silhouette,
+"""Quality of clusterings: Davies-Bouldin, Calinski-Harabasz, squared Euclidean silhouette,
 nearest centroid, adjusted Rand index. Several labelings are judged in one go."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientlens.functions.expressions import squared_distance
-from clientlens.operators.ranking import stable_sample, with_row_number
+from clientlens.operators.ranking import with_row_number
 from clientlens.session import stage
 
-SILHOUETTE_ROWS = 10_000  # largest sample the quadratic score is computed on
 CENTRES_PER_PASS = 1_000  # centres one row is compared with at a time
 INVALID = {"silhouette": -1.0, "davies_bouldin": 999.0, "calinski_harabasz": 0.0}
 
@@ -99,94 +94,83 @@ def geometry_scores(geometry: DataFrame) -> DataFrame:
     )
 
 
-def silhouette_rows(
-    df: DataFrame, id_col: str, vec_col: str, label_cols: list[str],
-    sample_rows: int = SILHOUETTE_ROWS, seed: int = 42,
-) -> DataFrame:
-    """(run, id, label, silhouette) on a seeded sample, or on all rows when they fit it.
+def silhouette_rows(df: DataFrame, id_col: str, vec_col: str, label_cols: list[str]) -> DataFrame:
+    """(run, id, label, silhouette) of every row, by squared Euclidean distance.
 
-    The sample is bounded by ``sample_rows`` x dimensions, so it is broadcast; tasks
-    share its rows. Distances are computed once for all labelings. Noise is left out and
-    a cluster of one scores 0.
+    The mean squared distance of a row to a cluster follows from the cluster's size, mean
+    and mean squared norm, so no pair of rows is formed. Noise is left out; a cluster of
+    one row, and a labeling of one cluster, score 0.
     """
-    spark = df.sparkSession
-    drawn = stable_sample(
-        df.select(id_col, as_array(df, vec_col).alias("x"), *[F.col(c).cast("int").alias(c) for c in label_cols]),
-        id_col, sample_rows, seed,
-    ).toPandas()
-    schema = f"run string, {id_col} {dict(df.dtypes)[id_col]}, label int, silhouette double"
-    if drawn.empty:
-        return spark.createDataFrame([], schema)
-    points = np.asarray(drawn["x"].tolist(), dtype=float)
-    shared = spark.sparkContext.broadcast(
-        (points, drawn[id_col].to_numpy(), drawn[label_cols].to_numpy())
-    )
+    points = df.select(F.col(id_col), as_array(df, vec_col).alias("x"), *label_cols)
+    norm = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, y: acc + y * y)
+    clusters = stage(
+        _long(df, vec_col, label_cols).groupBy("run", "label").agg(
+            F.count("*").alias("n"), Summarizer.mean(array_to_vector("x")).alias("c"), F.avg(norm(F.col("x"))).alias("norm"),
+        ).select("run", "label", "n", vector_to_array("c").alias("centre"), "norm"),
+        "clusters",
+    )
+    counts = {r["run"]: r["k"] for r in clusters.groupBy("run").agg(F.count("*").alias("k")).collect()}
+    out = None
+    for run in label_cols:
+        own = clusters.where(F.col("run") == run).drop("run")
+        rows = points.select(id_col, "x", F.col(run).cast("int").alias("label")).where("label <> -1")
+        rows = rows.withColumn("x2", norm(F.col("x"))).join(own, "label").withColumn("other", F.lit(None).cast("double"))
+        apart = lambda c: F.greatest(
+            F.col("x2") + c["norm"] - 2.0 * F.aggregate(
+                F.zip_with(F.col("x"), c["centre"], lambda a, b: a * b), F.lit(0.0), lambda acc, y: acc + y), F.lit(0.0))
+        for block in _passes(own, counts.get(run, 0), CENTRES_PER_PASS):
+            chosen = block.agg(F.collect_list(F.struct("label", "centre", "norm")))
+            here = F.array_min(F.transform(F.filter("_c", lambda c: c["label"] != F.col("label")), apart))
+            rows = rows.withColumn("_c", chosen.scalar()).withColumn("other", F.least("other", here)).drop("_c")
+        inner = apart({"norm": F.col("norm"), "centre": F.col("centre")}) * F.col("n") / (F.col("n") - 1)
+        top = F.greatest("inner", "other")
+        score = F.when((F.col("n") > 1) & F.col("other").isNotNull() & (top > 0), (F.col("other") - F.col("inner")) / top)
+        rows = rows.withColumn("inner", F.when(F.col("n") > 1, inner)).select(
+            F.lit(run).alias("run"), id_col, "label", F.coalesce(score, F.lit(0.0)).alias("silhouette")
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points, ids, labels = shared.value
-        runs = []
-        for column, name in enumerate(label_cols):
-            kept = labels[:, column] != -1
-            values, codes = np.unique(labels[kept, column], return_inverse=True)
-            member = np.zeros((len(points), len(values)))
-            member[np.flatnonzero(kept), codes] = 1.0
-            runs.append((name, column, values, member, member.sum(axis=0)))
-        for batch in batches:
-            for start in range(0, len(batch), 256):
-                rows = batch["id"].to_numpy()[start:start + 256]
-                squares = np.zeros((len(rows), len(points)))
-                for axis in range(points.shape[1]):
-                    squares += (points[rows, axis][:, None] - points[None, :, axis]) ** 2
-                distance = np.sqrt(squares)
-                for name, column, values, member, sizes in runs:
-                    mine = labels[rows, column]
-                    take = mine != -1
-                    if not take.any():
-                        continue
-                    if len(values) < 2:
-                        s = np.zeros(int(take.sum()))
-                    else:
-                        sums = distance[take] @ member
-                        own = np.searchsorted(values, mine[take])
-                        at = np.arange(len(own))
-                        a = sums[at, own] / np.maximum(sizes[own] - 1, 1)
-                        means = sums / sizes
-                        means[at, own] = np.inf
-                        b = means.min(axis=1)
-                        top = np.maximum(a, b)
-                        s = np.where((sizes[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0)
-                    yield pd.DataFrame(
-                        {"run": name, id_col: ids[rows[take]], "label": mine[take], "silhouette": s}
-                    )
 
-    tasks = max(1, min(len(points) // 256 + 1, spark.sparkContext.defaultParallelism))
-    return spark.range(0, len(points), 1, tasks).mapInPandas(score, schema)
+def _passes(clusters: DataFrame, count: int, per_pass: int) -> list[DataFrame]:
+    """Clusters of one labeling in blocks of at most ``per_pass`` rows."""
+    if count <= per_pass:
+        return [clusters]
+    numbered = stage(with_row_number(clusters, "label", "_n"), "clusters")
+    return [
+        numbered.where((F.col("_n") > lo) & (F.col("_n") <= lo + per_pass)).drop("_n") for lo in range(0, count, per_pass)
+    ]
 
 
 def silhouette_profile(rows: DataFrame, id_col: str, points: int = 100) -> DataFrame:
     """TOP-11: each cluster's silhouettes in ascending order, every (n // points)-th.
 
-    ``rows`` is at most one bounded sample per run, so a cluster fits one sort.
+    Rows are numbered over fixed ranges of (run, label, silhouette, id), so a large cluster
+    is sorted by many tasks; a cluster's places follow from the number of its first row.
     """
-    cluster = Window.partitionBy("run", "label")
-    place = F.row_number().over(cluster.orderBy("silhouette", id_col)) - 1
-    step = F.greatest(F.lit(1), F.floor(F.count("*").over(cluster) / points))
+    key = F.format_string(
+        "%s|%012d|%.17f|%s", F.col("run"), F.col("label"), F.col("silhouette") + 1.0, F.col(id_col).cast("string")
+    )
+    held = stage(rows.withColumn("_k", key), "profile")
+    numbered = stage(with_row_number(held, "_k", "_n").drop("_k"), "profile")
+    cluster = numbered.groupBy("run", "label").agg(F.min("_n").alias("_first"), F.count("*").alias("_size"))
+    place = F.col("_n") - F.col("_first")
+    step = F.greatest(F.lit(1), F.floor(F.col("_size") / points))
     return (
-        rows.withColumn("_p", place).withColumn("_s", step)
+        numbered.join(cluster, ["run", "label"]).withColumn("_p", place).withColumn("_s", step)
         .where(F.col("_p") % F.col("_s") == 0)
         .select("run", "label", (F.col("_p") / F.col("_s")).cast("int").alias("place"), "silhouette")
     )
 
 
 def evaluate(
-    df: DataFrame, id_col: str, vec_col: str, label_cols: list[str],
-    sample_rows: int = SILHOUETTE_ROWS, invalid: dict[str, float] = INVALID,
+    df: DataFrame, id_col: str, vec_col: str, label_cols: list[str], invalid: dict[str, float] = INVALID,
 ) -> DataFrame:
     """ML-13/14/16: one row per labeling, unrounded; a labeling with fewer than two
     clusters, or no more valid rows than clusters, takes the ``invalid`` values."""
     geometry = geometry_scores(cluster_geometry(df, vec_col, label_cols))
     silhouettes = (
-        silhouette_rows(df, id_col, vec_col, label_cols, sample_rows)
+        silhouette_rows(df, id_col, vec_col, label_cols)
         .groupBy("run").agg(F.avg("silhouette").alias("silhouette"))
     )
     noise = df.agg(*[F.count_if(F.col(c) == -1).alias(c) for c in label_cols]).select(

@@ -266,12 +266,12 @@ def with_bins(
     return df.withColumns(scores)
 
 
-def _split_points(df: DataFrame, key: str, pieces: int) -> list:
-    """Ordered cut points that part ``df`` into about ``pieces`` equal ranges of ``key``."""
+def _split_points(df: DataFrame, key: str) -> list:
+    """Ordered cut points that part ``df`` into about equal ranges of ``key``, by its rows."""
     n = df.count()
     if n <= SORT_ROWS:
         return []
-    pieces = max(2, min(pieces, math.ceil(n / (SORT_ROWS / 2))))
+    pieces = max(2, math.ceil(n / (SORT_ROWS / 2)))
     rate = int(min(1.0, SAMPLE_ROWS / n) * (1 << 31))
     sample = sorted(
         r[0] for r in df.where(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < rate).select(key).collect()
@@ -290,7 +290,7 @@ def range_piece(key: Column, cuts: Sequence, first: int = 0) -> Column:
 
 
 def with_running_total(
-    df: DataFrame, key: str, value: Column, out: str, pieces: int = 1024
+    df: DataFrame, key: str, value: Column, out: str
 ) -> DataFrame:
     """Sum of ``value`` over all rows with a smaller ``key`` (keys unique), exactly.
 
@@ -298,7 +298,7 @@ def with_running_total(
     range totals are few and become constants, and each range sorts on its own.
     """
     valued = df.withColumn("_v", value)
-    cuts = _split_points(df, key, pieces)
+    cuts = _split_points(df, key)
     ranged = valued.withColumn("_p", range_piece(F.col(key), cuts))
     offsets = F.lit(0).cast("long")
     if cuts:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientlens.functions import catalog
 from clientlens.functions.expressions import exact_avg, first_match, rounded
 from clientlens.operators.ranking import with_bins
-from clientlens.session import small_table
+from clientlens.session import small_table, stage
 
 
 def rfm_scores(df: DataFrame, mode: str = "analytics", id_col: str = "Customer_ID", **limits) -> DataFrame:
@@ -50,11 +50,11 @@ def cohort_code(recency_score: Column, frequency_score: Column) -> Column:
 
 
 def rfm_cells(spark: SparkSession) -> DataFrame:
-    r, f, title, color, action = zip(*catalog.RFM_CELLS)
+    r, f, title, color = zip(*catalog.RFM_CELLS)
     return small_table(
         spark,
         {"r_score": list(r), "f_score": list(f), "title": list(title), "color": list(color),
-         "action": list(action)},
+         "action": [f"R {a}, F {b}" for a, b in zip(r, f)]},
     )
 
 
@@ -87,7 +87,8 @@ def rfm_cohorts(scored: DataFrame) -> DataFrame:
         cohort_code(F.col("R_Score"), F.col("F_Score")).cast("long").alias("code")
     ).agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0))
-    total = F.sum(n).over(Window.partitionBy())  # six rows
+    sizes = stage(sizes, "cohorts")
+    total = sizes.agg(F.sum("n")).scalar()
     return names.join(sizes, F.col("cohort") == F.col("code"), "left").select(
         F.col("cohort").cast("int").alias("cohort"),
         "cohort_name",

@@ -40,8 +40,8 @@ def compare_scenarios(df: DataFrame, scenarios: list[Scenario], **limits) -> Dat
                 churn_from_rfm(
                     F.col("Recency_Days"),
                     F.col("Frequency_Orders"),
-                    F.least(F.col("Engagement_Score") * (1.0 + s.engagement_boost_pct / 100.0), F.lit(100.0)),
-                    F.greatest(F.col("Support_Tickets") - s.ticket_reduction, F.lit(0.0)),
+                    bounded(F.col("Engagement_Score") * (1.0 + s.engagement_boost_pct / 100.0), high=100.0),
+                    bounded(F.col("Support_Tickets") - s.ticket_reduction, low=0.0),
                     damping,
                 ),
                 0.0,

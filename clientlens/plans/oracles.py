@@ -98,7 +98,7 @@ def _davg(expr: str) -> str:
 
 def _profile(label: str) -> str:
     """prof: unrounded cluster rows with persona key; per: the rounded rows with texts."""
-    texts = _values(catalog.PERSONAS, "tkey, persona_title, color, icon, tagline, description, strategy", "tx")
+    texts = _values([(k, t, c, i, t, catalog.PERSONA_RULES[k], "plan for " + k) for k, t, c, i in catalog.PERSONAS], "tkey, persona_title, color, icon, tagline, description, strategy", "tx")
     return f"""
 prof0 AS (
   SELECT {label} AS cluster_id, count(*) AS customer_count, {_dsum('Monetary_Spend')} AS rev,
@@ -188,7 +188,7 @@ db AS (SELECT run, avg(worst) AS db FROM (SELECT a.run, a.l, max((a.s + b.s) / l
 md AS (SELECT run, list(m ORDER BY i) AS m FROM (SELECT run, i, avg(x[i]) AS m FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM pt) GROUP BY 1, 2) GROUP BY 1),
 ch AS (SELECT run, count(*) AS k, sum(n) AS n, (sum(n * list_distance(c, m) ** 2) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))) AS ch
   FROM bg JOIN md USING (run) GROUP BY 1),
-dp AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.x, b.x) AS d FROM vec a, vec b WHERE a.vec_id <> b.vec_id),
+dp AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.x, b.x) ** 2 AS d FROM vec a, vec b WHERE a.vec_id <> b.vec_id),
 mp AS (SELECT la.run, dp.a, la.l AS la, lb.l AS lb, avg(d) AS m FROM dp JOIN lab la ON la.vec_id = dp.a
   JOIN lab lb ON lb.vec_id = dp.b AND lb.run = la.run GROUP BY 1, 2, 3, 4),
 si AS (SELECT run, avg(CASE WHEN a0 IS NULL THEN 0e0 ELSE (b0 - a0) / greatest(a0, b0) END) AS sil FROM
@@ -197,7 +197,7 @@ bm AS (SELECT run, k, (SELECT count(*) FROM vec) - n AS noise, round_even(sil, 4
   FROM ch JOIN db USING (run) JOIN si USING (run))"""
 
 _SIL = _VEC + """,
-pair AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sum(list_distance(a.x, b.x)) AS s, count(*) AS n
+pair AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sum(list_distance(a.x, b.x) ** 2) AS s, count(*) AS n
   FROM vec a, vec b WHERE a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
 ab AS (SELECT vec_id, la, max(CASE WHEN la = lb THEN s / n END) AS a, min(CASE WHEN la <> lb THEN s / n END) AS b
   FROM pair GROUP BY 1, 2),
@@ -317,24 +317,24 @@ allc AS (SELECT {_dsum('Churn_Risk_Index')} / count(*) AS avg_churn FROM seg),
 noise AS (SELECT count(*) AS n, count(*) FILTER (WHERE Density_Label = -1) AS k, count(DISTINCT CASE WHEN Density_Label <> -1 THEN Density_Label END) AS c FROM seg),
 answers AS (
  SELECT 'Churn Analysis' AS category,
-   'Highest churn risk: ' || risky.title || ' (cluster ' || risky.id || ') at ' || printf('%.1f%%', risky.v * 100)
-     || ' against ' || printf('%.1f%%', avg_churn * 100) || ' overall.' AS answer,
+   'cluster=' || risky.id || '; persona=' || risky.title || '; churn=' || printf('%.1f%%', risky.v * 100)
+     || '; all=' || printf('%.1f%%', avg_churn * 100) AS answer,
    risky.id AS cluster_id, risky.title AS persona, round_even(risky.v, 3) AS value, round_even(avg_churn, 3) AS reference_value,
-   'Start win-back offers, a satisfaction survey and support calls there.' AS recommended_action FROM ans, allc
+   'review_cluster' AS recommended_action FROM ans, allc
  UNION ALL SELECT 'Revenue Intelligence',
-   'Highest revenue: ' || rich.title || ' (cluster ' || rich.id || ') with $' || format('{{:,.2f}}', rich.v)
-     || printf(' or %.1f%% of the total.', rich.v / rev * 100e0),
+   'cluster=' || rich.id || '; persona=' || rich.title || '; revenue=' || format('{{:,.2f}}', rich.v)
+     || printf('; share=%.1f%%', rich.v / rev * 100e0),
    rich.id, rich.title, round_even(rich.v, 2), round_even(rich.v / rev * 100e0, 2),
-   'Keep this group close with rewards, service and early access.' FROM ans
+   'review_cluster' FROM ans
  UNION ALL SELECT 'Density & Outlier Detection',
-   k || printf(' outliers (%.1f%%) with ', k / n * 100e0) || 'tuned settings.', CAST(c AS INTEGER), NULL, CAST(k AS DOUBLE),
-   round_even(k / n * 100e0, 2), 'Check these accounts for fraud, resale or data faults.' FROM noise
+   'outliers=' || k || printf('; share=%.1f%%; setting=', k / n * 100e0) || 'unknown', CAST(c AS INTEGER), NULL, CAST(k AS DOUBLE),
+   round_even(k / n * 100e0, 2), 'review_outliers' FROM noise
  UNION ALL SELECT 'General Customer Intelligence',
-   format('{{:,}}', CAST(n AS BIGINT)) || ' customers, $' || format('{{:,.2f}}', rev) || ' revenue, 6 segments, $'
-     || format('{{:,.2f}}', rev / n) || ' per customer.', NULL, NULL, round_even(rev, 2), round_even(rev / n, 2),
-   'Look at the segment playbooks or score a single customer.' FROM ans)"""
+   'customers=' || format('{{:,}}', CAST(n AS BIGINT)) || '; revenue=' || format('{{:,.2f}}', rev) || '; segments=6; spend='
+     || format('{{:,.2f}}', rev / n), NULL, NULL, round_even(rev, 2), round_even(rev / n, 2),
+   'review_segments' FROM ans)"""
 
-_CAMPAIGNS = _values(catalog.CAMPAIGNS, "ckey, recommended_campaign, success_metric", "cp")
+_CAMPAIGNS = _values([(k, "campaign for " + k, "response of " + k) for k in catalog.CAMPAIGN_KEYS], "ckey, recommended_campaign, success_metric", "cp")
 
 _PRIORITY = f"""
 prio AS (SELECT cluster_id, persona_title,
@@ -345,26 +345,33 @@ prio AS (SELECT cluster_id, persona_title,
 
 
 def _report() -> str:
+    facts = [("data_source", "'orders'"), ("trained_at", "(SELECT max(First_Order_Month) FROM seg)"),
+             ("production_model", "'K-Means Clustering'"), ("anomaly_model", "'DBSCAN'"), ("optimal_k", "'6'"),
+             ("best_benchmark", "NULL"), ("stability", "NULL")]
+    run = " UNION ALL ".join(f"SELECT 0, {i}, 0, '{k}', CAST({v} AS VARCHAR)" for i, (k, v) in enumerate(facts))
+    fixed = lambda e: f"printf('%.2f', {e})"
+    overview = [("customers", "CAST(CAST(tot.n AS BIGINT) AS VARCHAR)"), ("segments", "CAST(c AS VARCHAR)"), ("revenue", fixed("rev")),
+                ("spend_per_customer", fixed("rev / tot.n")), ("outliers", "CAST(k AS VARCHAR)"),
+                ("outlier_percentage", fixed("round_even(k / noise.n * 100, 2)")), ("top_revenue_cluster", "CAST(rich AS VARCHAR)"),
+                ("top_churn_cluster", "CAST(risky AS VARCHAR)")]
+    head = " UNION ALL ".join(f"SELECT 1, {i}, 0, '{k}', {v} FROM tot, noise" for i, (k, v) in enumerate(overview))
+    rows = [("persona", "persona_title"), ("customers", "CAST(customer_count AS VARCHAR)"), ("revenue", fixed("total_revenue")),
+            ("churn", "printf('%.3f', avg_churn_risk)")]
+    segments = " UNION ALL ".join(f"SELECT 2, cluster_id, {i}, cluster_id || '.{k}', {v} FROM per" for i, (k, v) in enumerate(rows))
+    plan = [("campaign", "recommended_campaign"), ("priority", fixed("priority_score")),
+            ("revenue_at_risk", fixed("expected_revenue_at_risk"))]
+    campaigns = " UNION ALL ".join(f"SELECT 3, place, {i}, cluster_id || '.{k}', {v} FROM best" for i, (k, v) in enumerate(plan))
     return f"""{_SEG}, {_profile('Segment')}, {_PRIORITY},
 noise AS (SELECT count(*) AS n, count(*) FILTER (WHERE Density_Label = -1) AS k FROM seg),
 tot AS (SELECT sum(customer_count) AS n, {_dsum('rev')} AS rev, count(*) AS c,
-  arg_max(struct_pack(t := persona_title, v := total_revenue), struct_pack(a := total_revenue, b := -cluster_id)) AS rich,
-  arg_max(struct_pack(t := persona_title, v := avg_churn_risk), struct_pack(a := avg_churn_risk, b := -cluster_id)) AS risky FROM per),
-ln AS (
- SELECT 0 AS sec, 0e0 AS o, 0 AS o2, unnest(['CUSTOMER REPORT', 'MODEL', '- Production model: K-Means Clustering',
-   '- Customers: ' || format('{{:,}}', CAST(tot.n AS BIGINT)), '- Segments: ' || c, '- Best benchmark: not run', '- Stability: not run',
-   'HIGHLIGHTS', '- Revenue: $' || format('{{:,.2f}}', rev), '- Spend per customer: $' || format('{{:,.2f}}', rev / tot.n),
-   '- Outliers: ' || k || ' (' || printf('%.2f%%', round_even(k / noise.n * 100, 2)) || ')',
-   '- Top revenue: ' || rich.t || ' $' || format('{{:,.2f}}', rich.v),
-   '- Highest churn: ' || risky.t || ' ' || printf('%.1f%%', risky.v * 100), 'SEGMENTS']) AS text,
-   unnest(range(1, 15)) AS o3 FROM tot, noise
- UNION ALL SELECT 1, cluster_id, 0, '- Cluster ' || cluster_id || ' | ' || persona_title || ' | ' || format('{{:,}}', customer_count)
-   || ' customers | $' || format('{{:,.2f}}', total_revenue) || ' | churn ' || printf('%.1f%%', avg_churn_risk * 100), 0 FROM per
- UNION ALL SELECT 2, 0e0, 0, 'CAMPAIGNS', 0
- UNION ALL (SELECT 3, -priority_score, cluster_id, '- ' || persona_title || ': ' || recommended_campaign || ' Priority '
-   || printf('%.2f', priority_score) || ', at risk $' || format('{{:,.2f}}', expected_revenue_at_risk), 0
-   FROM prio ORDER BY priority_score DESC, cluster_id LIMIT 5))
-SELECT CAST(row_number() OVER (ORDER BY sec, o, o2, o3) AS INTEGER) AS line_no, text FROM ln"""
+  arg_max(cluster_id, struct_pack(a := total_revenue, b := -cluster_id)) AS rich,
+  arg_max(cluster_id, struct_pack(a := avg_churn_risk, b := -cluster_id)) AS risky FROM per),
+best AS (SELECT *, row_number() OVER (ORDER BY priority_score DESC, cluster_id) - 1 AS place FROM prio
+  QUALIFY row_number() OVER (ORDER BY priority_score DESC, cluster_id) <= 5),
+ln(part, place, sub, key, value) AS ({run} UNION ALL {head} UNION ALL {segments} UNION ALL {campaigns}),
+named AS (SELECT *, ['run', 'overview', 'segment', 'campaign'][part + 1] AS section FROM ln)
+SELECT CAST(row_number() OVER (ORDER BY part, place, sub, key) AS INTEGER) AS line_no, section, key, value,
+  section || '.' || key || ' = ' || coalesce(value, '') AS text FROM named"""
 
 
 # --- logs ---------------------------------------------------------------------------
@@ -373,7 +380,7 @@ _OWNER = "coalesce(CASE WHEN Region <> 'AFRICA' THEN Region END, '{}')"
 
 
 def _digest(prefix: str, *parts: str) -> str:
-    return f"'{prefix}' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 12)"
+    return f"'{prefix}' || md5(" + " || '|' || ".join(f"coalesce({p}, '')" for p in parts) + ")"
 
 
 _ALERTS = f"""{_flagged()},
@@ -381,43 +388,7 @@ al AS (SELECT CAST(Customer_ID AS VARCHAR) AS customer_id, {_OWNER.format('syste
   CASE WHEN Churn_Risk_Index > 0.7e0 THEN 'HIGH_CHURN_RISK' ELSE 'ANOMALY_DETECTED' END AS alert_type,
   '{{"customer_id":' || Customer_ID || ',"recency_days":' || Recency_Days || '}}' AS details, First_Order_Month AS created_at
   FROM flagged WHERE Churn_Risk_Index > 0.7e0 OR Is_Anomaly),
-alerts AS (SELECT {_digest('alert_', 'alert_type', 'customer_id', 'tenant_id', 'created_at')} AS id, * FROM al)"""
-
-
-_DRAWS = ["archetype", *[c for c, _ in catalog.ARCHETYPE_COLUMNS], "channel", "region", "gender"]
-
-
-def _draw(name: str) -> str:
-    block, place = divmod(_DRAWS.index(name), 4)
-    return f"(CAST('0x' || substr(md5('42|{block}|' || k), {8 * place + 1}, 8) AS BIGINT) / 4294967296e0)"
-
-
-def _pick(draw: str, weighted) -> str:
-    total, rules = 0.0, []
-    for value, weight in weighted[:-1]:
-        total += weight
-        rules.append(f"WHEN {draw} < {total!r}e0 THEN {_text(value)}")
-    return f"CASE {' '.join(rules)} ELSE {_text(weighted[-1][0])} END"
-
-
-def _synthetic() -> str:
-    kind = _pick(_draw("archetype"), [(a[0], a[1]) for a in catalog.ARCHETYPES])
-    by_kind = lambda f: "CASE kind " + " ".join(f"WHEN '{a[0]}' THEN {f(a)}" for a in catalog.ARCHETYPES) + " END"
-
-    def value(name: str) -> str:
-        i = [c for c, _ in catalog.ARCHETYPE_COLUMNS].index(name)
-        low = by_kind(lambda a: f"{float(a[2][i][0])!r}e0")
-        high = by_kind(lambda a: f"{float(a[2][i][1])!r}e0")
-        return f"({low} + {_draw(name)} * ({high} - {low}))"
-
-    whole = lambda name: f"CAST(floor({value(name)}) AS INTEGER) AS {name}"
-    return f"""WITH base AS (SELECT c_custkey AS k FROM customer), kinds AS (SELECT k, {kind} AS kind FROM base)
-SELECT 'CUST-' || (k + 10001) AS Customer_ID, kind AS Archetype, {whole('Recency_Days')}, {whole('Frequency_Orders')},
-  round_even({value('Monetary_Spend')}, 4) AS Monetary_Spend,
-  {by_kind(lambda a: '(' + _pick(_draw('channel'), a[3]) + ')')} AS Preferred_Channel,
-  {by_kind(lambda a: '(' + _pick(_draw('region'), list(zip(catalog.REGIONS, a[4]))) + ')')} AS Region,
-  {_pick(_draw('gender'), catalog.GENDERS)} AS Gender, {whole('Age')}
-FROM kinds"""
+alerts AS (SELECT {_digest('alert_', 'alert_type', 'customer_id', 'tenant_id', 'created_at', 'details')} AS id, * FROM al)"""
 
 
 def _mix(w, tickets: str, returns: str, digits: int, capped: bool = False) -> str:
@@ -429,18 +400,15 @@ def _mix(w, tickets: str, returns: str, digits: int, capped: bool = False) -> st
     )
 
 
-_HEAT = _values(
-    [(i, c) for i, c in enumerate(catalog.HEATMAP_COHORTS)], "cohort_index, cohort", "h"
-)
-_DECAY = _values(list(enumerate(catalog.HEATMAP_DECAY)), "month, base", "dk")
 _CURVES = _values(
     [(k, m, v) for k, vs in catalog.RETENTION_PROFILES.items() for m, v in enumerate(vs)], "pkey, month, base", "cv"
 )
-_CELLS = _values(catalog.RFM_CELLS, "r_score, f_score, title, color, action", "cl")
+_CELLS = _values([(*c, f"R {c[0]}, F {c[1]}") for c in catalog.RFM_CELLS], "r_score, f_score, title, color, action", "cl")
 _COHORTS = _values(catalog.RFM_COHORTS, "cohort, cohort_name, color", "co")
 _RATES = _values(list(catalog.CURRENCY_RATES.items()), "cur, rate", "rt")
 _COPY = _values(
-    [(c[0], c[1], c[2], c[4], c[7], c[8]) for c in catalog.CAMPAIGN_COPY],
+    [(k, t, *[f"{{{k}.{x}}}" for x in ("email_subject", "sms_text", "call_to_action", "discount_offer")])
+     for k, t, *_ in catalog.PERSONAS if k in catalog.COPY_KEYS],
     "k, copy_title, email_subject, sms_text, call_to_action, discount_offer", "cc",
 )
 _FEATS = catalog.MATRIX_NUMERICS
@@ -472,15 +440,24 @@ SELECT customer_id, reasons, CASE WHEN reasons = '' THEN r END AS Recency_Days,
   CASE WHEN reasons = '' THEN m END AS Monetary_Spend, CASE WHEN reasons = '' THEN CAST(3 AS INTEGER) END AS Category_Diversity,
   CASE WHEN reasons = '' THEN coalesce(e, 70e0) END AS Engagement_Score, CASE WHEN reasons = '' THEN coalesce(d, 0.2e0) END AS Discount_Ratio
 FROM chk"""
-    sql["synthetic_customers"] = _synthetic()
     sql["csv_round_trip"] = f"{_CUST} SELECT Customer_ID, Recency_Days, Monetary_Spend, Preferred_Channel, Region FROM cust"
-    sql["tenant_partition"] = f"{_CUST} SELECT Customer_ID, Monetary_Spend FROM cust WHERE Region = 'ASIA'"
-    sql["dataset_status"] = f"""{_CUST}, n AS (SELECT Region, count(*) AS n FROM cust GROUP BY 1)
-SELECT CASE WHEN Region = 'AFRICA' THEN 'synthetic_demo' ELSE 'uploaded_csv:' || lower(Region) || '.csv' END AS data_source,
-  CASE WHEN Region = 'AFRICA' THEN 'Demo Synthetic Dataset (50,000 Customers)' ELSE 'User File: ' || lower(Region) || '.csv' END AS display_name,
-  Region <> 'AFRICA' AS is_custom, n AS total_samples FROM n"""
-    sql["model_info"] = f"""{_CUST} SELECT 'Gaussian Mixture Model (GMM)' AS production_model, 'DBSCAN' AS anomaly_model,
-  count(*) AS total_samples FROM cust GROUP BY Region"""
+    sql["tenant_partition"] = f"""{_CUST} SELECT 'ASIA' AS asked_by, Customer_ID, Monetary_Spend, Region FROM cust WHERE Region = 'ASIA'
+UNION ALL SELECT 'NOBODY', Customer_ID, Monetary_Spend, Region FROM cust"""
+    sql["dataset_status"] = f"""{_CUST} SELECT 'uploaded_csv:customers.csv' AS data_source, 'User File: customers.csv' AS display_name,
+  true AS is_custom, count(*) AS total_samples FROM cust"""
+    sql["model_info"] = f"""{_SEG} SELECT 'Gaussian Mixture Model (GMM)' AS production_model, 'DBSCAN' AS anomaly_model,
+  count(*) AS total_samples, CAST(count(DISTINCT Segment) AS INTEGER) AS optimal_k FROM seg"""
+    core = """WITH h AS (SELECT o_custkey AS k, max(o_orderdate) AS last_order, count(*) AS n FROM orders GROUP BY 1),
+r AS (SELECT c_custkey AS k, date_diff('day', CAST(last_order AS DATE), CAST((SELECT max(o_orderdate) FROM orders) AS DATE)) + 400.5e0 AS days, n,
+  abs(CAST(c_acctbal AS DOUBLE)) * 1000e0 + 1e6 AS spend FROM customer JOIN h ON c_custkey = k)
+SELECT k AS Customer_ID, CAST(least(greatest(round_even(days, 0), 1), 365) AS INTEGER) AS Recency_Days,
+  CAST(least(greatest(n, 1), 200) AS INTEGER) AS Frequency_Orders, greatest(spend, 1e0) AS Monetary_Spend FROM r"""
+    sql["conform_fragments"] = sql["conform_magnitudes"] = core
+    bounds = [(c, c in catalog.CORE_COLUMNS, float(r[0])) for c, r in catalog.VALUE_RANGES.items()]
+    sql["upload_schema"] = f"{_CUST} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {str(need).lower()} AS required, {low!r}e0 AS low, min({c}) >= {low!r}e0 AS within FROM cust"
+        for c, need, low in bounds
+    )
     sql["arrival_ids"] = "SELECT count(*) AS n, count(*) AS n_ids, 10001 AS first_id, 10000 + count(*) AS last_id FROM customer"
     sql["churn_rfm"] = f"{_CUST} SELECT Customer_ID, Churn_Risk_Index AS churn FROM cust"
     sql["churn_gen"] = _mix((0.45, 0.25, 0.15, 0.15), "15e0", "0.4e0", 4)
@@ -551,7 +528,7 @@ w AS (SELECT cluster_id, CASE WHEN persona_key = 'GENERAL' THEN 'LOYALIST' ELSE
 SELECT cluster_id, copy_key, copy_title, email_subject, sms_text, call_to_action, discount_offer FROM w JOIN {_COPY} ON copy_key = k"""
     sql["high_risk_topk"] = f"""{_SEG} SELECT Customer_ID AS customer_id, Segment AS cluster, round_even(Churn_Risk_Index, 3) AS churn_risk_index,
   round_even(Monetary_Spend, 2) AS monetary_spend, Recency_Days AS recency_days, Frequency_Orders AS frequency_orders,
-  {_text(catalog.HIGH_RISK_ACTION)} AS recommended_action
+  'contact' AS recommended_action
 FROM seg ORDER BY Churn_Risk_Index DESC, seg.Monetary_Spend DESC, seg.Customer_ID LIMIT 25"""
     sql["target_cohort"] = f"""{_CUST} SELECT Customer_ID, Churn_Risk_Index, Monetary_Spend FROM cust
 WHERE Churn_Risk_Index >= 0.4e0 AND Monetary_Spend >= (SELECT median(Monetary_Spend) FROM cust)"""
@@ -585,10 +562,6 @@ cu AS (SELECT cluster_id, persona_key, customer_count, CAST(month AS INTEGER) AS
   FROM per JOIN {_CURVES} ON pkey = persona_key)
 SELECT cluster_id, persona_key, customer_count, round_even(100e0 - max(CASE WHEN month = 12 THEN retention_pct END) OVER (PARTITION BY cluster_id), 1) AS m12_churn_rate,
   month, retention_pct FROM cu"""
-    sql["retention_heatmap"] = f"""{_CUST}, b AS (SELECT greatest(50, count(*) // 12) AS base FROM cust)
-SELECT CAST(cohort_index AS INTEGER) AS cohort_index, cohort, CAST(floor(b.base * (1e0 + 0.15e0 * sin(cohort_index))) AS BIGINT) AS initial_size, CAST(month AS INTEGER) AS month,
-  round_even(least(greatest(CAST(dk.base AS DOUBLE) * (1e0 + 0.05e0 * cos(cohort_index + month)), 5e0), 100e0), 1) AS retention_pct,
-  month = 12 - cohort_index AS is_last FROM b, {_HEAT}, {_DECAY} WHERE month < 13 - cohort_index"""
     sql["cohort_retention_observed"] = """WITH act AS (SELECT DISTINCT o_custkey AS k, year(o_orderdate) * 12 + month(o_orderdate) - 1 AS m FROM orders),
 f AS (SELECT k, min(m) AS first FROM act GROUP BY 1),
 c AS (SELECT first, m - first AS later, count(*) AS n FROM act JOIN f USING (k) GROUP BY 1, 2),
@@ -597,14 +570,13 @@ SELECT printf('%04d-%02d', first // 12, first % 12 + 1) AS cohort, CAST(later AS
   n AS active_customers, n / size AS retention FROM c JOIN s USING (first)"""
     sql["answer_table"] = f"{_SEG}, {_profile('Segment')}, {_FACTS} SELECT * FROM answers"
     sql["question_routing"] = f"""{_SEG}, {_profile('Segment')}, {_FACTS},
-asked AS (SELECT event_id, 'Why ' || CASE event_type WHEN 'error' THEN 'is the CHURN so high' WHEN 'purchase' THEN 'is Revenue up'
-  WHEN 'view' THEN 'is this the best model' WHEN 'click' THEN 'are there outliers' ELSE 'is the sky blue' END || ' for user ' || user_id AS question FROM events),
+asked AS (SELECT conv_id, turn, text AS question FROM conversations),
 rt AS (SELECT *, CASE WHEN question ILIKE '%churn%' OR question ILIKE '%risk%' THEN 'Churn Analysis'
   WHEN question ILIKE '%revenue%' OR question ILIKE '%highest spend%' OR question ILIKE '%champion%' OR question ILIKE '%top spend%' THEN 'Revenue Intelligence'
   WHEN question ILIKE '%silhouette%' OR question ILIKE '%elbow%' OR question ILIKE '%best algorithm%' OR question ILIKE '%best model%' OR question ILIKE '%evaluation%' THEN 'Model Benchmark & Silhouette Analysis'
   WHEN question ILIKE '%dbscan%' OR question ILIKE '%outlier%' OR question ILIKE '%noise%' THEN 'Density & Outlier Detection'
   ELSE 'General Customer Intelligence' END AS category FROM asked)
-SELECT event_id, question, rt.category, answer FROM rt LEFT JOIN answers ON rt.category = answers.category"""
+SELECT conv_id, turn, question, rt.category, answer FROM rt LEFT JOIN answers ON rt.category = answers.category"""
     sql["report_lines"] = _report()
     sql["nearest_centroid"] = f"WITH {_NEAR} SELECT vec_id, nearest, round_even(dist, 6) AS distance FROM near"
     sql["nearest_within"] = f"WITH {_NEAR} SELECT vec_id, CASE WHEN dist > 2.5e0 * 0.36e0 THEN -1 ELSE nearest END AS DBSCAN_Cluster FROM near"
@@ -614,16 +586,16 @@ SELECT round_even(avg(worst), 6) AS davies_bouldin FROM r"""
     sql["calinski_harabasz"] = f"""WITH {_GEO},
 mid AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(v) AS m FROM dims GROUP BY 1))
 SELECT CAST(count(*) AS INTEGER) AS n_clusters, round_even((sum(n * list_distance(c, m) ** 2) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))), 6) AS calinski_harabasz FROM geo, mid"""
-    sql["silhouette_euclidean"] = f"WITH {_SIL} SELECT round_even(avg(s), 6) AS silhouette FROM sil"
+    sql["silhouette_squared_euclidean"] = f"WITH {_SIL} SELECT round_even(avg(s), 6) AS silhouette_squared_euclidean FROM sil"
     sql["silhouette_samples"] = f"""WITH {_SIL},
 p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s, vec_id) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY label) // 10) AS step FROM sil)
 SELECT label, CAST(i // step AS INTEGER) AS place, round_even(s, 6) AS silhouette FROM p WHERE i % step = 0"""
     sql["clustering_benchmark"] = f"""WITH {_BENCH} SELECT CASE run WHEN 'label' THEN 'given' WHEN 'partly' THEN 'partly noise' ELSE run END AS algorithm,
   CAST(k AS INTEGER) AS clusters, CAST(noise AS BIGINT) AS noise, sil AS silhouette_score, db AS davies_bouldin, ch AS calinski_harabasz FROM bm"""
     sql["answer_benchmark"] = f"""WITH {_BENCH}, top AS (SELECT * FROM bm WHERE run IN ('label', 'nearest') ORDER BY sil DESC, run DESC LIMIT 1)
-SELECT 'Model Benchmark & Silhouette Analysis' AS category, run || ' separates best: silhouette ' || sil || ' at k = 10.' AS answer,
+SELECT 'Model Benchmark & Silhouette Analysis' AS category, 'algorithm=' || run || '; silhouette=' || sil || '; k=10' AS answer,
   CAST(10 AS INTEGER) AS cluster_id, run AS persona, sil AS value, db AS reference_value,
-  'Compare inertia and silhouette over k before changing the model.' AS recommended_action FROM top"""
+  'review_k_grid' AS recommended_action FROM top"""
     sql["class_report"] = f"""WITH {_NEAR}, cls AS (SELECT DISTINCT label AS c FROM near UNION SELECT nearest FROM near),
 n AS (SELECT c, CAST((SELECT count(*) FROM near WHERE label = c) AS BIGINT) AS support, (SELECT count(*) FROM near WHERE nearest = c) AS named,
   (SELECT count(*) FROM near WHERE label = c AND nearest = c) AS hit FROM cls),
@@ -641,7 +613,7 @@ SELECT round_even((t.v - a.v * b.v / (t.n * (t.n - 1) / 2e0)) / ((a.v + b.v) / 2
   array_to_string(list_transform(chans, lambda ch: CASE WHEN ch = Preferred_Channel THEN '1' ELSE '0' END), '') || '1' AS flags FROM sc, chan"""
     sql["dbscan_labels"] = _dbscan(1.2, 5)
     sql["transaction_log"] = f"""{_CUST}, t AS (SELECT CAST(Customer_ID AS VARCHAR) AS customer_id, {_OWNER.format('guest')} AS tenant_id, * EXCLUDE (Customer_ID) FROM cust)
-SELECT {_digest('tx_', 'customer_id', 'tenant_id', 'First_Order_Month')} AS id, tenant_id, customer_id, Recency_Days AS recency_days,
+SELECT {_digest('tx_', 'customer_id', 'tenant_id', 'First_Order_Month', 'CAST(Recency_Days AS VARCHAR)', 'CAST(Frequency_Orders AS VARCHAR)', "printf('%.6f', Monetary_Spend)")} AS id, tenant_id, customer_id, Recency_Days AS recency_days,
   Frequency_Orders AS frequency_orders, Monetary_Spend AS monetary_spend, First_Order_Month AS created_at FROM t"""
     sql["audit_log"] = f"""{_CUST}, t AS (SELECT 'transaction_ingested' AS action, {_OWNER.format('guest')} AS tenant_id, First_Order_Month AS stamp,
   '{{"customer_id":' || Customer_ID || ',"frequency_orders":' || Frequency_Orders || '}}' AS details FROM cust)
@@ -653,7 +625,10 @@ ORDER BY created_at DESC, id LIMIT 15"""
   Recency_Days, Frequency_Orders, Monetary_Spend FROM cust), f AS (SELECT *, {_RECORD_DEFAULTS} FROM r)
 SELECT *, round_even(least(greatest(0.45e0 * least(Recency_Days / 365e0, 1e0) + 0.25e0 * (1e0 - least(Engagement_Score, 100e0) / 100e0)
   + 0.15e0 * least(Support_Tickets / 15e0, 1e0) + 0.15e0 * least(Return_Rate / 0.4e0, 1e0), 0e0), 1e0), 3) AS Churn_Risk_Index FROM f"""
-    sql["alert_stream"] = f"""{_CUST} SELECT CAST(Customer_ID AS VARCHAR) AS customer_id,
+    sql["alert_stream"] = f"""{_CUST}, a AS (SELECT CAST(Customer_ID AS VARCHAR) AS customer_id, Region AS tenant_id,
   CASE WHEN Churn_Risk_Index > 0.7e0 THEN 'HIGH_CHURN_RISK' ELSE 'ANOMALY_DETECTED' END AS alert_type,
-  Churn_Risk_Index AS churn_risk_score, First_Order_Month AS created_at FROM cust WHERE Churn_Risk_Index > 0.7e0 OR Support_Tickets >= 3"""
+  '{{"customer_id":"' || Customer_ID || '","recency_days":' || Recency_Days || '}}' AS details, First_Order_Month AS created_at
+  FROM cust WHERE Churn_Risk_Index > 0.7e0 OR Support_Tickets >= 3)
+SELECT {_digest('alert_', 'alert_type', 'customer_id', 'tenant_id', 'created_at', 'details')} AS id, * FROM a"""
+    sql["ingest_log_stream"] = sql["transaction_log"]
     return sql

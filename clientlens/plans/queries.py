@@ -39,7 +39,7 @@ from clientlens.operators import (
     ward,
 )
 from clientlens.session import new_path, small_table, stage
-from clientlens.sources import sinks, synthetic, tables, uploads
+from clientlens.sources import sinks, tables, uploads
 from clientlens.plans import training
 from clientlens.streaming import flows
 
@@ -158,14 +158,6 @@ def input_validation(spark, folder):
     )
 
 
-def synthetic_customers(spark, folder):
-    drawn = synthetic.customers_from_rows(tables.table(spark, folder, "customer"), "c_custkey")
-    return drawn.select(
-        "Customer_ID", "Archetype", "Recency_Days", "Frequency_Orders",
-        rounded("Monetary_Spend", 4).alias("Monetary_Spend"), "Preferred_Channel", "Region", "Gender", "Age",
-    )
-
-
 def csv_round_trip(spark, folder):
     df = customers(spark, folder).select(
         "Customer_ID", "Recency_Days", "Monetary_Spend", "Preferred_Channel", "Region"
@@ -177,27 +169,80 @@ def csv_round_trip(spark, folder):
 
 def tenant_partition(spark, folder):
     """One tenant of a partitioned table, or the shared table where it has no rows."""
-    path = new_path(spark, "tenants")
-    df = customers(spark, folder).select("Customer_ID", "Monetary_Spend", F.col("Region").alias("tenant_id"))
-    df.write.mode("overwrite").partitionBy("tenant_id").parquet(path)
-    return uploads.resolve_dataset(spark, "ASIA", path, tenants=path)
+    tenants, shared = new_path(spark, "tenants"), new_path(spark, "shared")
+    df = customers(spark, folder).select("Customer_ID", "Monetary_Spend", "Region")
+    sinks.write_customers(df, shared)
+    for tenant in ("ASIA", "EUROPE"):
+        sinks.write_customers(df.where(F.col("Region") == tenant), tenants, tenant)
+    found = lambda name: uploads.resolve_dataset(spark, name, shared, tenants=tenants).select(
+        F.lit(name).alias("asked_by"), "Customer_ID", "Monetary_Spend", "Region"
+    )
+    return found("ASIA").unionByName(found("NOBODY"))
 
 
-def _runs(spark, folder):
-    return customers(spark, folder).groupBy("Region").agg(F.count("*").alias("total_samples")).select(
-        F.when(F.col("Region") == "AFRICA", "synthetic_demo")
-        .otherwise(F.concat(F.lit("uploaded_csv:"), F.lower("Region"), F.lit(".csv"))).alias("data_source"),
-        "total_samples",
+def _run_folder(spark, folder):
+    """Tables of a run over the customers, written as a training job writes them."""
+    path = new_path(spark, "run")
+    run = segmented(spark, folder).agg(
+        F.count("*").alias("total_samples"), F.countDistinct("Segment").cast("int").alias("optimal_k")
+    ).select(
+        "*", F.lit("uploaded_csv:customers.csv").alias("data_source"), F.lit(catalog.MODEL_KMEANS).alias("production_model"),
     )
+    sinks.write_run({"run": run}, path)
+    return path
 
 
 def dataset_status(spark, folder):
-    return uploads.dataset_status(_runs(spark, folder))
+    path = _run_folder(spark, folder)
+    return uploads.dataset_status(uploads.resolve_run(spark, [f"{path}/none", path], "run"))
 
 
 def model_info(spark, folder):
-    chosen = sinks.select_production_model(_runs(spark, folder), catalog.MODEL_GMM)
-    return uploads.model_info(chosen).select("production_model", "anomaly_model", "total_samples")
+    path = _run_folder(spark, folder)
+    sinks.set_production_model(spark, path, catalog.MODEL_WARD)
+    sinks.set_production_model(spark, path, catalog.MODEL_GMM)
+    return uploads.model_info(sinks.current_run(spark, path)).select(
+        "production_model", "anomaly_model", "total_samples", "optimal_k"
+    )
+
+
+def _extract_as(spark, folder, names):
+    """The order history as an upload with the given names for recency, orders and spend."""
+    orders = tables.table(spark, folder, "orders")
+    last = orders.agg(F.max("o_orderdate")).scalar()
+    return tables.order_history(orders).join(
+        tables.table(spark, folder, "customer").select("c_custkey", "c_acctbal"), F.col("_cust") == F.col("c_custkey")
+    ).select(
+        F.col("c_custkey").alias("customer_id"),
+        (F.date_diff(last.cast("date"), F.col("last_order").cast("date")) + 400.5).alias(names[0]),
+        F.col("n_orders").alias(names[1]), (F.abs(F.col("c_acctbal").cast("double")) * 1000.0 + 1e6).alias(names[2]),
+    )
+
+
+def _core(df):
+    return conform.conform(df).table.select("Customer_ID", "Recency_Days", "Frequency_Orders", "Monetary_Spend")
+
+
+def conform_fragments(spark, folder):
+    """CF-2: names that only contain a known fragment."""
+    return _core(_extract_as(spark, folder, ("how long since x", "n_purchased", "net_paid_usd")))
+
+
+def conform_magnitudes(spark, folder):
+    """CF-3: names that say nothing; the means of the columns tell them apart."""
+    return _core(_extract_as(spark, folder, ("aa", "bb", "cc")))
+
+
+def upload_schema(spark, folder):
+    """SRC-7 beside the values the customer table really has."""
+    wanted = uploads.upload_schema(spark).where("low is not null")
+    df = customers(spark, folder)
+    ranges = df.agg(*[F.struct(F.min(c).cast("double").alias("least"), F.max(c).cast("double").alias("most")).alias(c)
+                      for c in catalog.VALUE_RANGES])
+    seen = ranges.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), f"{c}.least", f"{c}.most") for c in catalog.VALUE_RANGES])))
+    return wanted.select("column", "required", "low").join(seen, "column").select(
+        "column", "required", "low", (F.col("least") >= F.col("low")).alias("within")
+    )
 
 
 # --- churn formulas -----------------------------------------------------------------
@@ -219,10 +264,8 @@ def risk_bands(spark, folder):
 
 def churn_labels(spark, folder):
     df = customers(spark, folder)
-    without = df.drop("Churn_Risk_Index")
-    return df.select("Customer_ID", churn.churn_label(df).alias("churned")).join(
-        without.select("Customer_ID", churn.churn_label(without).alias("churned_by_rules")), "Customer_ID"
-    )
+    by_rules = churn.churn_label(df.drop("Churn_Risk_Index"))
+    return df.select("Customer_ID", churn.churn_label(df).alias("churned"), by_rules.alias("churned_by_rules"))
 
 
 def churn_drivers(spark, folder):
@@ -405,10 +448,6 @@ def retention_curve(spark, folder):
     )
 
 
-def retention_heatmap(spark, folder):
-    return cohorts.retention_heatmap(customers(spark, folder))
-
-
 def cohort_retention_observed(spark, folder):
     return cohorts.observed_retention(tables.table(spark, folder, "orders"))
 
@@ -446,28 +485,23 @@ def answer_benchmark(spark, folder):
 
 
 def question_routing(spark, folder):
-    """Every event read as a question, routed and answered."""
-    kind = F.col("event_type")
-    text = F.concat(
-        F.lit("Why "),
-        F.when(kind == "error", "is the CHURN so high").when(kind == "purchase", "is Revenue up")
-        .when(kind == "view", "is this the best model").when(kind == "click", "are there outliers")
-        .otherwise("is the sky blue"),
-        F.lit(" for user "), F.col("user_id").cast("string"),
-    )
-    asked = tables.table(spark, folder, "events").select("event_id", text.alias("question"))
+    """Every turn of a conversation read as a question, routed and answered."""
+    asked = tables.table(spark, folder, "conversations").select("conv_id", "turn", F.col("text").alias("question"))
     replies = answer_table(spark, folder).select("category", "answer")
     return answers.answer_questions(asked, "question", replies).select(
-        "event_id", "question", "category", "answer"
+        "conv_id", "turn", "question", "category", "answer"
     )
 
 
 def report_lines(spark, folder):
     rows = stage(persona_rows(spark, folder), "personas")
-    return report.executive_report(
-        rows, personas.campaign_priority(rows), anomaly_counts(spark, folder),
-        F.lit(catalog.MODEL_KMEANS), F.lit("not run"), F.lit("not run"),
-    )
+    latest = customers(spark, folder).agg(F.max("First_Order_Month")).scalar()
+    facts = {
+        "data_source": F.lit("orders"), "trained_at": latest, "production_model": F.lit(catalog.MODEL_KMEANS),
+        "anomaly_model": F.lit("DBSCAN"), "optimal_k": F.lit("6"), "best_benchmark": F.lit(None).cast("string"),
+        "stability": F.lit(None).cast("string"),
+    }
+    return report.executive_report(rows, personas.campaign_priority(rows), anomaly_counts(spark, folder), facts)
 
 
 # --- cluster quality ----------------------------------------------------------------
@@ -509,8 +543,8 @@ def _silhouettes(spark, folder):
     return quality.silhouette_rows(_vectors(spark, folder), "vec_id", "x", ["label"])
 
 
-def silhouette_euclidean(spark, folder):
-    return _silhouettes(spark, folder).agg(rounded(F.avg("silhouette"), 6).alias("silhouette"))
+def silhouette_squared_euclidean(spark, folder):
+    return _silhouettes(spark, folder).agg(rounded(F.avg("silhouette"), 6).alias("silhouette_squared_euclidean"))
 
 
 def silhouette_samples(spark, folder):
@@ -617,12 +651,17 @@ def ingest_stream(spark, folder):
     return flows.replay(spark, _records(spark, folder), flows.ingest, "ingest")
 
 
+def ingest_log_stream(spark, folder):
+    return flows.replay(spark, _records(spark, folder), flows.transactions, "ingest-log")
+
+
 def alert_stream(spark, folder):
     return flows.replay(
         spark,
-        customers(spark, folder).select("Customer_ID", "Churn_Risk_Index", "Support_Tickets", "First_Order_Month"),
+        customers(spark, folder).select(
+            "Customer_ID", "Recency_Days", "Churn_Risk_Index", "Support_Tickets", "First_Order_Month", "Region"),
         lambda df: flows.alerts(
-            df.withColumn("Is_Anomaly", F.col("Support_Tickets") >= 3), F.col("First_Order_Month")
+            df.withColumn("Is_Anomaly", F.col("Support_Tickets") >= 3), F.col("First_Order_Month"), F.col("Region")
         ),
         "alerts",
     )
@@ -687,7 +726,7 @@ def pca3(spark, folder):
 def pca_scatter(spark, folder):
     model, matrix = _fixed(spark, folder)
     placed = projection.fit_projection(matrix).transform(matrix).drop("features")
-    return projection.scatter(segmented(spark, folder).join(placed, "Customer_ID"), "Segment")
+    return projection.scatter(segmented(spark, folder).join(placed, "Customer_ID"), "Segment", 1_500)
 
 
 def isolation_forest(spark, folder):
@@ -780,7 +819,6 @@ EXACT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "customer_table": customer_table,
     "conform_clip": conform_clip,
     "input_validation": input_validation,
-    "synthetic_customers": synthetic_customers,
     "csv_round_trip": csv_round_trip,
     "tenant_partition": tenant_partition,
     "dataset_status": dataset_status,
@@ -818,7 +856,6 @@ EXACT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "anomaly_type_counts": anomaly_type_counts,
     "scenario_compare": scenario_compare,
     "retention_curve": retention_curve,
-    "retention_heatmap": retention_heatmap,
     "cohort_retention_observed": cohort_retention_observed,
     "answer_table": answer_table,
     "answer_benchmark": answer_benchmark,
@@ -828,7 +865,7 @@ EXACT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nearest_within": nearest_within,
     "davies_bouldin": davies_bouldin,
     "calinski_harabasz": calinski_harabasz,
-    "silhouette_euclidean": silhouette_euclidean,
+    "silhouette_squared_euclidean": silhouette_squared_euclidean,
     "silhouette_samples": silhouette_samples,
     "clustering_benchmark": clustering_benchmark,
     "class_report": class_report,
@@ -840,6 +877,10 @@ EXACT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "alert_log": alert_log,
     "recent_alerts": recent_alerts,
     "ingest_stream": ingest_stream,
+    "ingest_log_stream": ingest_log_stream,
+    "conform_fragments": conform_fragments,
+    "conform_magnitudes": conform_magnitudes,
+    "upload_schema": upload_schema,
     "alert_stream": alert_stream,
 }
 

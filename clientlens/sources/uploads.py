@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,15 +60,17 @@ def resolve_dataset(spark: SparkSession, tenant_id: str | None, shared: str,
 
 
 def resolve_run(spark: SparkSession, folders: list[str], name: str) -> DataFrame | None:
-    """The first readable run table of that name; unreadable folders are skipped."""
+    """The first run table of that name; folders without one, or with an empty one, are
+    skipped. Any other failure to read is raised."""
     for folder in folders:
         path = f"{folder}/{name}"
         if not path_exists(spark, path):
             continue
         try:
             return spark.read.parquet(path)
-        except Exception:  # an unreadable run falls back to the next folder
-            continue
+        except AnalysisException as error:
+            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
     return None
 
 

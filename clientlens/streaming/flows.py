@@ -16,6 +16,7 @@ from clientlens.functions import catalog
 from clientlens.functions.churn import churn_predicted
 from clientlens.operators.kpis import alert_candidates
 from clientlens.session import new_path
+from clientlens.sources import sinks
 
 INGEST_SCHEMA = T.StructType(
     [
@@ -53,11 +54,20 @@ def ingest(df: DataFrame) -> DataFrame:
     return full_records(df).withColumn("Churn_Risk_Index", churn_predicted())
 
 
-def alerts(df: DataFrame, created_at: Column) -> DataFrame:
-    """ST-3: alert rows of a stream of scored customers."""
-    return alert_candidates(df).select(
-        F.col("Customer_ID").cast("string").alias("customer_id"), "alert_type",
-        F.col("Churn_Risk_Index").alias("churn_risk_score"), created_at.cast("string").alias("created_at"),
+def transactions(df: DataFrame) -> DataFrame:
+    """ST-1: the log row of every ingested record, as the batch writer makes it."""
+    return sinks.transaction_rows(df, F.col("created_at"), F.col("tenant_id"))
+
+
+def alerts(df: DataFrame, created_at: Column, tenant: Column | None = None) -> DataFrame:
+    """ST-3: alert log rows of a stream of scored customers, with the recency as detail."""
+    owner = F.lit(None).cast("string") if tenant is None else tenant
+    hits = alert_candidates(df).select(
+        F.col("Customer_ID").cast("string").alias("customer_id"), F.col("Recency_Days").alias("recency_days"),
+        "alert_type", created_at.cast("string").alias("created_at"), owner.alias("tenant_id"),
+    )
+    return sinks.alert_rows(
+        hits, F.col("alert_type"), ["customer_id", "recency_days"], F.col("created_at"), F.col("tenant_id")
     )
 
 
