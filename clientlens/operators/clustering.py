@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clientlens.functions.expressions import rounded
 from clientlens.operators.quality import as_array, evaluate
@@ -21,14 +25,21 @@ GRID_COMPONENTS = range(2, 11)
 GRID_STARTS = 5
 FINAL_STARTS = 10
 ROWS_PER_FILE = 100_000
+PASSES = 50
+SETTLED = 1e-4
+START_ROWS = 20_000  # rows the first centres of the search are drawn from
 
 
 def fixed_matrix(df: DataFrame, id_col: str, vec_col: str = "features") -> DataFrame:
     """(id, features) written once, each file sorted by id, so that seeded fits see the
     same rows in the same order on every run. The number of files follows the rows."""
-    rows = df.select(id_col, F.col(vec_col).alias("features"))
-    ordered = rows.repartition(max(1, math.ceil(rows.count() / ROWS_PER_FILE)), id_col)
-    return stage(ordered.sortWithinPartitions(id_col), "matrix")
+    return stage(sized(stage(df.select(id_col, F.col(vec_col).alias("features")), "rows"), id_col), "matrix")
+
+
+def sized(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` in as many partitions as its rows ask for, in the order of the id."""
+    parts = max(1, math.ceil(df.count() / ROWS_PER_FILE))
+    return df.repartition(parts, id_col).sortWithinPartitions(id_col)
 
 
 @contextmanager
@@ -92,28 +103,103 @@ def fit_kmeans(
     return KMeansFit(best, order, best.summary.trainingCost)
 
 
+def _first_centres(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ on a bounded sample."""
+    rng = np.random.default_rng(seed)
+    chosen = [rows[rng.integers(len(rows))]]
+    nearest = ((rows - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        total = nearest.sum()
+        pick = rng.choice(len(rows), p=nearest / total) if total > 0 else rng.integers(len(rows))
+        chosen.append(rows[pick])
+        nearest = np.minimum(nearest, ((rows - chosen[-1]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+def _nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest centre, squared distance to it) of every row."""
+    apart = (rows * rows).sum(axis=1)[:, None] - 2 * rows @ centres.T + (centres * centres).sum(axis=1)
+    label = apart.argmin(axis=1)
+    return label, np.maximum(apart[np.arange(len(rows)), label], 0)
+
+
+def _rows_of(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def fit_many(points: DataFrame, wanted: list[tuple[int, int]], passes: int = PASSES) -> list[tuple[np.ndarray, float]]:
+    """(centres, cost) of a K-Means fit for each (k, seed), all of them in the same passes.
+
+    One pass over the rows moves the centres of every fit that has not settled; tasks add up
+    sums by cluster, which are all that is shuffled and collected. Centres start by
+    k-means++ on at most ``START_ROWS`` rows.
+    """
+    sample = points.orderBy(F.xxhash64("x"), "x").limit(START_ROWS).toArrow().column("x").combine_chunks()
+    fits = [_first_centres(_rows_of(sample), k, seed) for k, seed in wanted]
+    costs, open_fits = [0.0] * len(fits), list(range(len(fits)))
+    for number in range(passes + 1):
+        if not open_fits:
+            break
+        held = points.sparkSession.sparkContext.broadcast([(i, fits[i]) for i in open_fits])
+
+        def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                rows = _rows_of(batch.column("x"))
+                if not len(rows):
+                    continue
+                for i, centres in held.value:
+                    label, apart = _nearest(rows, centres)
+                    figures = np.column_stack([rows, np.ones(len(rows)), apart])
+                    for c in np.unique(label).tolist():
+                        sums[i, c] = sums.get((i, c), 0) + figures[label == c].sum(axis=0)
+            if sums:
+                key = np.repeat(np.array(list(sums)), len(next(iter(sums.values()))), axis=0)
+                place = np.tile(np.arange(len(next(iter(sums.values())))), len(sums))
+                columns = [key[:, 0], key[:, 1], place, np.concatenate(list(sums.values()))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fit", "cluster", "place", "v"])
+
+        table = points.mapInArrow(moved, "fit long, cluster long, place long, v double").groupBy(
+            "fit", "cluster", "place").agg(F.sum("v").alias("v")).toPandas()  # clusters x width rows of each fit
+        still = []
+        for i in open_fits:
+            own = table[table["fit"] == i].pivot(index="cluster", columns="place", values="v")
+            figures, at = own.to_numpy(), own.index.to_numpy()
+            after = fits[i].copy()
+            after[at] = figures[:, :-2] / figures[:, -2:-1]
+            costs[i] = float(figures[:, -1].sum())  # of the centres the pass began with
+            if np.abs(after - fits[i]).max() > SETTLED and number < passes:
+                fits[i] = after
+                still.append(i)
+        open_fits = still
+    return list(zip(fits, costs))
+
+
 def kmeans_grid(
-    matrix: DataFrame, id_col: str, ks=GRID_K, starts: int = GRID_STARTS
-) -> tuple[DataFrame, dict[int, KMeansFit]]:
-    """ML-6: inertia and quality of every k, all labelings judged in one evaluation.
+    matrix: DataFrame, id_col: str, ks=GRID_K, starts: int = GRID_STARTS, seed: int = 42
+) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """ML-6: inertia and quality of every k, and the centres of its cheapest start.
 
-    There cannot be more clusters than different rows, so a larger k is not tried; a table
-    of equal rows has nothing to cluster and is refused.
+    All starts of all k share their passes, and all labelings are judged in one evaluation.
+    Beyond 2, k stays below the number of different rows; a table of equal rows has nothing
+    to cluster and is refused.
     """
     spark = matrix.sparkSession
     with held(matrix) as rows:
-        different = rows.select(as_array(rows, "features").alias("x")).distinct().limit(max(ks)).count()
+        different = rows.select(as_array(rows, "features").alias("x")).distinct().limit(max(ks) + 1).count()
         if different < 2:
             raise ValueError("clustering needs two different rows")
-        fits = {k: fit_kmeans(rows, k, starts) for k in ks if k <= different}
-        labelled = rows
-        for k, fit in fits.items():
-            labelled = fit.transform(labelled, f"k{k}")
-        labelled = stage(labelled, "labelled")  # predicted once, read by every pass of the evaluation
-        scored = stage(evaluate(labelled, id_col, "features", [f"k{k}" for k in fits], invalid={
+        points = stage(rows.select(id_col, as_array(rows, "features").alias("x")), "points")
+        wanted = [(k, seed + start) for k in ks if k < max(different, 3) for start in range(starts)]
+        fits: dict[int, tuple[np.ndarray, float]] = {}
+        for (k, _), found in zip(wanted, fit_many(points.select("x"), wanted)):
+            if k not in fits or found[1] < fits[k][1]:
+                fits[k] = found
+        labelled = stage(_labelled(points, {f"k{k}": centres for k, (centres, _) in fits.items()}), "labelled")
+        scored = stage(evaluate(labelled, id_col, "x", [f"k{k}" for k in fits], invalid={
             "silhouette": 0.0, "davies_bouldin": 0.0, "calinski_harabasz": 0.0}), "kgrid")
     costs = small_table(
-        spark, {"run": [f"k{k}" for k in fits], "k": list(fits), "inertia": [f.cost for f in fits.values()]}
+        spark, {"run": [f"k{k}" for k in fits], "k": list(fits), "inertia": [cost for _, cost in fits.values()]}
     )
     grid = costs.join(scored, "run").select(
         "k", rounded("inertia", 2).alias("inertia"),
@@ -121,7 +207,22 @@ def kmeans_grid(
         rounded("davies_bouldin", 4).alias("davies_bouldin"),
         rounded("calinski_harabasz", 2).alias("calinski_harabasz"),
     ).orderBy("k")
-    return grid, fits
+    return grid, {k: centres for k, (centres, _) in fits.items()}
+
+
+def _labelled(points: DataFrame, models: dict[str, np.ndarray]) -> DataFrame:
+    """``points`` with the nearest centre of every model, in one pass."""
+    held = points.sparkSession.sparkContext.broadcast(list(models.items()))
+    names = points.columns
+    schema = T.StructType(points.schema.fields + [T.StructField(m, T.IntegerType()) for m in models])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _rows_of(batch.column("x")) if batch.num_rows else np.zeros((0, 1))
+            labels = [pa.array(_nearest(rows, c)[0].astype(np.int32) if len(rows) else np.zeros(0, np.int32)) for _, c in held.value]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *labels], names=[*names, *[m for m, _ in held.value]])
+
+    return points.mapInArrow(run, schema)
 
 
 def best_k(grid: DataFrame) -> int:

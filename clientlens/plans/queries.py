@@ -47,8 +47,9 @@ _shared: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def forget() -> None:
-    """Derive the shared tables anew on next use."""
+    """Derive the shared tables and fit the shared models anew on next use."""
     _shared.clear()
+    _fits.clear()
 
 
 def _once(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -669,40 +670,69 @@ def alert_stream(spark, folder):
 
 # --- learned models -----------------------------------------------------------------
 
-# smaller fits than a full training run takes
-SMALL = training.Options(
-    k_values=(2, 3, 4, 5), grid_starts=1, final_starts=2, forest_trees=100, classifier_trees=30, ltv_rounds=15,
-    stability_runs=2, stability_starts=1,
-)
+_fits: dict[tuple[str, str, str], object] = {}
+
+
+def _fitted(spark, folder, name, fit):
+    """A model that several queries use is fitted once for each folder."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _fits:
+        _fits[key] = fit()
+    return _fits[key]
 
 
 def _fixed(spark, folder):
-    df = customers(spark, folder)
-    model = features.fit_features(df)
+    def build():
+        df = customers(spark, folder)
+        model = features.fit_features(df)
+        return model, clustering.fixed_matrix(model.transform(df), "Customer_ID")
+
+    return _fitted(spark, folder, "matrix", build)
+
+
+def _grid(spark, folder):
+    def build():
+        grid, fits = clustering.kmeans_grid(_fixed(spark, folder)[1], "Customer_ID")
+        grid = stage(grid, "grid")
+        return grid, fits, clustering.best_k(grid)
+
+    return _fitted(spark, folder, "grid", build)
+
+
+def _boosted(spark, folder):
+    def build():
+        model, matrix = _fixed(spark, folder)
+        df = customers(spark, folder).join(matrix, "Customer_ID")
+        return supervised.fit_ltv_boosting(df, model.names, supervised.ltv_target(df))
 
+    return _fitted(spark, folder, "boosting", build)
+
+
+def _flagged_by_forest(spark, folder):
     def build():
-        return model.transform(df).select("Customer_ID", "features")
+        forest, flagged = isolation.fit_predict(customers(spark, folder), "Customer_ID")
+        return forest, stage(flagged, "forest")
 
-    return model, clustering.fixed_matrix(build(), "Customer_ID")
+    return _fitted(spark, folder, "forest", build)
 
 
 def kmeans_grid(spark, folder):
-    grid, _ = clustering.kmeans_grid(_fixed(spark, folder)[1], "Customer_ID", starts=1)
-    return grid
+    return _grid(spark, folder)[0]
 
 
 def gmm_bic(spark, folder):
-    return clustering.mixture_grid(_fixed(spark, folder)[1], "Customer_ID", (2, 3, 4))
+    return clustering.mixture_grid(_fixed(spark, folder)[1], "Customer_ID")
 
 
 def gmm_memberships(spark, folder):
-    matrix = _fixed(spark, folder)[1]
-    soft = clustering.fit_mixture(matrix, 3).transform(matrix, probability="p")
+    matrix, k = _fixed(spark, folder)[1], _grid(spark, folder)[2]
+    fit = _fitted(spark, folder, "mixture", lambda: clustering.fit_mixture(matrix, k))
+    soft = fit.transform(matrix, probability="p")
     return soft.select("Customer_ID", "GMM_Cluster", quality.as_array(soft, "p").alias("memberships"))
 
 
 def ward_labels(spark, folder):
-    return ward.ward_labels(_fixed(spark, folder)[1], "Customer_ID", 4)
+    return ward.ward_labels(_fixed(spark, folder)[1], "Customer_ID", _grid(spark, folder)[2])
 
 
 def dbscan_tune(spark, folder):
@@ -710,12 +740,12 @@ def dbscan_tune(spark, folder):
 
 
 def kmeans_stability(spark, folder):
-    runs = stability.stability_runs(_fixed(spark, folder)[1], "Customer_ID", 3, runs=3, starts=1)
+    runs = stability.stability_runs(_fixed(spark, folder)[1], "Customer_ID", _grid(spark, folder)[2])
     return stability.stability_summary(runs)
 
 
 def automl_board(spark, folder):
-    return selection.leaderboard(_fixed(spark, folder)[1], "Customer_ID", 3, starts=2)
+    return selection.leaderboard(_fixed(spark, folder)[1], "Customer_ID", _grid(spark, folder)[2])
 
 
 def pca3(spark, folder):
@@ -730,29 +760,23 @@ def pca_scatter(spark, folder):
 
 
 def isolation_forest(spark, folder):
-    _, flagged = isolation.fit_predict(customers(spark, folder), "Customer_ID")
-    return flagged.select("Customer_ID", "Is_Anomaly", "Anomaly_Score", "Anomaly_Type")
+    return _flagged_by_forest(spark, folder)[1].select("Customer_ID", "Is_Anomaly", "Anomaly_Score", "Anomaly_Type")
 
 
 def isolation_summary(spark, folder):
-    _, flagged = isolation.fit_predict(customers(spark, folder), "Customer_ID")
-    return isolation.forest_summary(flagged)
+    return isolation.forest_summary(_flagged_by_forest(spark, folder)[1])
 
 
 def segment_classifier(spark, folder):
     model, matrix = _fixed(spark, folder)
     labelled = matrix.join(segmented(spark, folder).select("Customer_ID", "Segment"), "Customer_ID")
     train, test = supervised.split(labelled, "Customer_ID")
-    fitted = supervised.fit_classifier(train, model.names, "Segment", SMALL.classifier_trees)
+    fitted = supervised.fit_classifier(train, model.names, "Segment")
     return supervised.classification_report(fitted.transform(test), "Segment")
 
 
 def ltv_gbt(spark, folder):
-    model, matrix = _fixed(spark, folder)
-    df = customers(spark, folder).join(matrix, "Customer_ID")
-    return supervised.fit_ltv_boosting(
-        df, model.names, supervised.ltv_target(df), rounds=SMALL.ltv_rounds
-    ).report(spark)
+    return _boosted(spark, folder).report(spark)
 
 
 def ltv_ridge(spark, folder):
@@ -763,7 +787,7 @@ def ltv_ridge(spark, folder):
 def ltv_benchmark(spark, folder):
     model, matrix = _fixed(spark, folder)
     df = customers(spark, folder).join(matrix, "Customer_ID")
-    return supervised.ltv_benchmark(df, model.names, rounds=SMALL.ltv_rounds)
+    return supervised.ltv_benchmark(df, model.names)
 
 
 def churn_logistic(spark, folder):
@@ -779,18 +803,19 @@ def churn_probability(spark, folder):
 
 def _scoring_models(spark, folder):
     model, matrix = _fixed(spark, folder)
-    kmeans = clustering.fit_kmeans(matrix, 3, starts=1)
-    labelled = kmeans.transform(matrix)
+    grid, _, k = _grid(spark, folder)
+    kmeans = _fitted(spark, folder, "kmeans", lambda: clustering.fit_kmeans(matrix, k))
+    labelled = stage(kmeans.transform(matrix), "labelled")
     df = customers(spark, folder).join(labelled, "Customer_ID")
     return scoring.ScoringModels(
         model,
         stage(personas.personas(df.drop("features"), "KMeans_Cluster"), "personas"),
-        supervised.fit_classifier(labelled, model.names, "KMeans_Cluster", SMALL.classifier_trees),
+        _fitted(spark, folder, "classifier", lambda: supervised.fit_classifier(labelled, model.names, "KMeans_Cluster")),
         kmeans,
         None,
-        supervised.fit_ltv_boosting(df, model.names, supervised.ltv_target(df), rounds=SMALL.ltv_rounds),
+        _boosted(spark, folder),
         projection.fit_projection(matrix),
-        isolation.fit_forest(df, "Customer_ID", SMALL.forest_trees),
+        _flagged_by_forest(spark, folder)[0],
     )
 
 
@@ -811,7 +836,7 @@ def scored_stream(spark, folder):
 
 def training_run(spark, folder):
     """The whole job on the customer table; returns the description of the run."""
-    run = training.train(customers(spark, folder), data_source="uploaded_csv:customers.csv", options=SMALL)
+    run = training.train(customers(spark, folder), data_source="uploaded_csv:customers.csv")
     return run.tables["run"].drop("trained_at_utc", "model_path")
 
 

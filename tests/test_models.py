@@ -3,14 +3,17 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from clientlens.functions import catalog
+from clientlens.functions import catalog, churn
+from clientlens.functions.expressions import exact_sum
 from clientlens.operators import (
     clustering,
     features,
     isolation,
+    kpis,
     projection,
     quality,
     scoring,
@@ -185,9 +188,10 @@ def test_constant_table_has_no_anomaly(spark):
 
 
 def brute_silhouette(x, labels):
+    """By squared Euclidean distance, pair by pair."""
     out = []
     for i in range(len(x)):
-        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d = ((x - x[i]) ** 2).sum(axis=1)
         mine = labels == labels[i]
         if mine.sum() == 1:
             out.append(0.0)
@@ -216,6 +220,83 @@ def test_quality_scores_against_numpy(spark):
     assert (one["silhouette"], one["davies_bouldin"], one["calinski_harabasz"]) == (-1.0, 999.0, 0.0)
 
 
+def test_silhouette_of_more_rows_than_any_sample(spark):
+    """10,001 rows, and many clusters in several passes, against the closed form in numpy."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(10_001, 2)) + rng.integers(0, 3, 10_001)[:, None] * 4
+    labels = rng.integers(0, 1_500, 10_001)
+    df = spark.createDataFrame(
+        pd.DataFrame({"id": np.arange(len(x)), "x": x.tolist(), "c": labels}), "id long, x array<double>, c int")
+    n = np.bincount(labels)[:, None]
+    means = np.column_stack([np.bincount(labels, x[:, j]) for j in range(2)]) / n
+    norms = np.bincount(labels, (x**2).sum(axis=1)) / n[:, 0]
+    apart = (x**2).sum(axis=1)[:, None] - 2 * x @ means.T + norms
+    at = np.arange(len(x))
+    size = n[labels, 0]
+    own = apart[at, labels] * size / np.maximum(size - 1, 1)
+    apart[at, labels] = np.inf
+    wanted = np.where(size > 1, (apart.min(axis=1) - own) / np.maximum(apart.min(axis=1), own), 0.0)
+    rows = quality.silhouette_rows(df, "id", "x", ["c"]).toPandas().sort_values("id")
+    assert np.allclose(rows["silhouette"], wanted, atol=1e-6)
+    profile = quality.silhouette_profile(quality.silhouette_rows(df, "id", "x", ["c"]), "id", 2)
+    assert profile.where("label = 3").count() == len(range(0, int(n[3, 0]), max(1, int(n[3, 0]) // 2)))
+
+
+def test_search_finds_separate_groups(spark):
+    rng = np.random.default_rng(3)
+    centres = np.array([[0, 0], [9, 0], [0, 9], [9, 9]])
+    x = np.repeat(centres, 50, axis=0) + rng.normal(scale=0.3, size=(200, 2))
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, features array<double>")
+    grid, fits = clustering.kmeans_grid(df, "id")
+    assert clustering.best_k(grid) == 4
+    means = np.array([x[50 * g : 50 * g + 50].mean(axis=0) for g in range(4)])
+    assert np.allclose(sorted(map(tuple, fits[4])), sorted(map(tuple, means)), atol=1e-3)
+    cost = sum(((x[50 * g : 50 * g + 50] - means[g]) ** 2).sum() for g in range(4))
+    assert grid.where("k = 4").first()["inertia"] == pytest.approx(cost, abs=0.01)
+    few = spark.createDataFrame([(i, [float(i % 3), 0.0]) for i in range(12)], "id long, features array<double>")
+    assert sorted(r["k"] for r in clustering.kmeans_grid(few, "id")[0].collect()) == [2]
+    with pytest.raises(ValueError):
+        clustering.kmeans_grid(few.where("id % 3 = 0"), "id")
+
+
+def test_a_model_that_cannot_be_fitted_has_a_row(spark, matrix, monkeypatch):
+    def refuse(*args, **kwargs):
+        raise ValueError("no such model")
+
+    monkeypatch.setattr(selection, "fit_mixture", refuse)
+    board = {r["model_name"]: r for r in selection.leaderboard(matrix, ID, 2, starts=1).collect()}
+    assert len(board) == 4 and board[catalog.MODEL_GMM]["error"] == "no such model"
+    assert board[catalog.MODEL_GMM]["composite_score"] is None
+
+    def fail(*args, **kwargs):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(selection, "fit_mixture", fail)
+    with pytest.raises(RuntimeError):
+        selection.leaderboard(matrix, ID, 2, starts=1)
+
+
+def test_sums_beyond_a_long(spark):
+    rows = spark.createDataFrame([(1e13,), (2.5e13,), (None,)], "v double")
+    assert rows.agg(exact_sum(F.col("v"))).first()[0] == 3.5e13
+
+
+def test_unknown_inputs_leave_churn_unknown(spark):
+    full = (400, 2, 50.0, 3, 0.1)
+    rows = [tuple(None if i == gap else v for i, v in enumerate(full)) for gap in (-1, 0, 1, 2, 3, 4)]
+    df = spark.createDataFrame(
+        rows, "Recency_Days int, Frequency_Orders int, Engagement_Score double, Support_Tickets int, Return_Rate double")
+    found = df.select(churn.churn_rfm().alias("a"), churn.churn_predicted().alias("b")).collect()
+    assert [r["a"] is None for r in found] == [False, True, True, True, True, False]
+    assert [r["b"] is None for r in found] == [False, True, False, True, True, True]
+
+
+def test_limits_out_of_range_are_refused(customers):
+    for limit in (0, 101):
+        with pytest.raises(ValueError):
+            kpis.high_risk_customers(customers, "Support_Tickets", limit)
+
+
 def test_adjusted_rand(spark):
     pairs = [(0, 0), (0, 0), (0, 1), (1, 1), (1, 1), (1, 2), (2, 2), (2, 2)]
     df = spark.createDataFrame(pairs, "a int, b int")

@@ -73,9 +73,25 @@ def test_alert_stream_equals_batch(spark, customers):
     assert streamed.exceptAll(batch).count() == 0
 
 
+def test_different_log_rows_have_different_ids(spark):
+    rows = [("c", 1, 2, 3.0, "t", None), ("c", 1, 2, 3.5, "t", None), ("c", 1, 3, 3.0, "t", None), ("c", 1, 2, 3.0, "t", None)]
+    df = spark.createDataFrame(
+        rows, "customer_id string, recency_days int, frequency_orders int, monetary_spend double, created_at string, tenant_id string")
+    ids = [r["id"] for r in sinks.transaction_rows(df, F.col("created_at"), F.col("tenant_id")).collect()]
+    assert len(set(ids)) == 3 and ids[0] == ids[3] and all(len(i) == 35 for i in ids)
+
+
+def test_unreadable_runs_are_raised(spark):
+    path = new_path(spark, "broken")
+    spark.sql("select 'x' as v").write.text(f"{path}/run")
+    with pytest.raises(Exception):
+        uploads.resolve_run(spark, [path], "run").count()
+
+
 def test_stream_resumes_where_it_stopped(spark, customers):
     source, sink, state = (new_path(spark, n) for n in ("in", "out", "state"))
-    records = customers.select("Customer_ID", "Churn_Risk_Index", F.lit(True).alias("Is_Anomaly"), "First_Order_Month")
+    records = customers.select(
+        "Customer_ID", "Recency_Days", "Churn_Risk_Index", F.lit(True).alias("Is_Anomaly"), "First_Order_Month")
     for expected in (1, 2):
         records.coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(records.schema).parquet(source)
@@ -121,7 +137,10 @@ def test_training_run(spark, nine):
     assert status[0] == "queued" and status[-1] == "completed"
     shown = uploads.dataset_status(run.tables["run"]).first()
     assert (shown["is_custom"], shown["total_samples"]) == (False, 120)
-    chosen = sinks.select_production_model(run.tables["run"], catalog.MODEL_GMM)
-    assert uploads.model_info(chosen).first()["production_model"] == catalog.MODEL_GMM
+    folder = f"{run.folder}/tables"
+    assert uploads.model_info(sinks.current_run(spark, folder)).first()["production_model"] == catalog.MODEL_KMEANS
+    for model in (catalog.MODEL_WARD, catalog.MODEL_GMM):
+        sinks.set_production_model(spark, folder, model)
+        assert uploads.model_info(sinks.current_run(spark, folder)).first()["production_model"] == model
     with pytest.raises(ValueError):
         training.train(nine.drop("Monetary_Spend"), folder=new_path(spark, "bad"))
