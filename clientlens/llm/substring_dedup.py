@@ -123,20 +123,20 @@ def _repeats(docs: DataFrame, min_words: int, seed_words: int, keep_first: bool)
         *([F.min(F.struct("key", "start")).alias("first")] if keep_first else []),
     ).where("n > 1")
     seeds = stage(seeds, "seeds")
-    alike = found.join(seeds.where("low = high").drop("n", "low", "high"), "seed")
-    if keep_first:
-        alike = alike.where(F.struct("key", "start") != F.col("first"))
-    whole = alike.select("key", "start", "windows")
-
-    differing = stage(found.join(seeds.where("low <> high").select("seed"), "seed"), "differing")
+    differing = found.join(seeds.where("low <> high").select("seed"), "seed")
     kinds = stage(
         differing.groupBy("seed", "body").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "windows")).alias("first")),
         "kinds",
     )
-    copies = differing.join(kinds.where("n > 1").select("seed", "body", "first"), ["seed", "body"])
+    # stretches that occur as a whole again, of seeds with one kind of stretch and with several
+    first = [F.struct("first.key", "first.start").alias("first")] if keep_first else []
+    repeated = seeds.where("low = high").select("seed", F.col("low").alias("body"), *first).unionByName(
+        kinds.where("n > 1").select("seed", "body", *first)
+    )
+    whole = found.join(stage(repeated, "repeated"), ["seed", "body"])
     if keep_first:
-        copies = copies.where(F.struct("key", "start") != F.struct("first.key", "first.start"))
-    copies = copies.select("key", "start", "windows")
+        whole = whole.where(F.struct("key", "start") != F.col("first"))
+    whole = whole.select("key", "start", "windows")
 
     passages = stage(_passages(docs, kinds.select("first.*", "n"), min_words), "passages")
     place = F.struct("key", "at")
@@ -148,7 +148,7 @@ def _repeats(docs: DataFrame, min_words: int, seed_words: int, keep_first: bool)
     if keep_first:
         extended = extended.where(place != F.col("first"))
     extended = extended.select("key", F.col("at").alias("start"), F.lit(1).alias("windows"))
-    return whole.unionByName(copies).unionByName(extended)
+    return whole.unionByName(extended)
 
 
 def _cut(texts: list[bytes], runs: list, min_words: int):
