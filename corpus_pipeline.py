@@ -6,7 +6,7 @@ Every stage works on all rows the stage before it kept, and returns the columns
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientlens.llm import decontaminate, mixing, quality, simhash, substring_dedup
@@ -15,6 +15,10 @@ from clientlens.session import stage
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _key() -> Column:
+    return F.coalesce("doc_id", F.xxhash64("text"))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the ordinal classifier rejects go."""
     graded = quality.grades_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -26,12 +30,14 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each group of near duplicates stays, the one with the smallest id.
 
     Near duplicates share four fifths of their five-word shingles. Rows that repeat an id are
-    one document. Documents without words are one group, and so are those without an id.
+    one document; a row without an id goes by a hash of its text. Documents without words
+    are one group.
     """
-    groups = simhash.similar_documents(docs).select("doc_id", "component_id")
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stage(first, "first"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    keyed = docs.withColumn("_key", _key())
+    groups = simhash.similar_documents(keyed, id_col="_key")
+    first = groups.where("_key = component_id").select("_key").distinct()
+    kept = keyed.join(stage(first, "first"), "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*COLUMNS)  # partitioned by the key already
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +55,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the mix takes, with ``size`` in words, ``copies`` and ``taken`` words."""
-    plan = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "size", "copies", "taken")
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")))
+    keyed = docs.withColumn("_key", _key())
+    plan = mixing.mix(keyed, id_col="_key").where("copies > 0").select("_key", "size", "copies", "taken")
+    joined = keyed.join(plan.dropDuplicates(["_key"]), "_key")
     return joined.select(*COLUMNS, "size", "copies", "taken")
 
 
