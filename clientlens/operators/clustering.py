@@ -86,13 +86,11 @@ class KMeansFit:
         self.model.write().overwrite().save(path)
 
 
-def fit_kmeans(
-    matrix: DataFrame, k: int, starts: int = FINAL_STARTS, seed: int = 42, init: str = "k-means||"
-) -> KMeansFit:
+def fit_kmeans(matrix: DataFrame, k: int, starts: int = FINAL_STARTS, seed: int = 42) -> KMeansFit:
     """ML-5: the cheapest of ``starts`` seeded fits."""
     best = None
     for start in range(starts):
-        model = KMeans(k=k, seed=seed + start, maxIter=50, featuresCol="features", initMode=init).fit(matrix)
+        model = KMeans(k=k, seed=seed + start, maxIter=50, featuresCol="features").fit(matrix)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
     sizes, centres = best.summary.clusterSizes, best.clusterCenters()
@@ -195,7 +193,7 @@ def kmeans_grid(
         for (k, _), found in zip(wanted, fit_many(points.select("x"), wanted)):
             if k not in fits or found[1] < fits[k][1]:
                 fits[k] = found
-        labelled = stage(_labelled(points, {f"k{k}": centres for k, (centres, _) in fits.items()}), "labelled")
+        labelled = stage(nearest_labels(points, {f"k{k}": centres for k, (centres, _) in fits.items()}), "labelled")
         scored = stage(evaluate(labelled, id_col, "x", [f"k{k}" for k in fits], invalid={
             "silhouette": 0.0, "davies_bouldin": 0.0, "calinski_harabasz": 0.0}), "kgrid")
     costs = small_table(
@@ -210,7 +208,7 @@ def kmeans_grid(
     return grid, {k: centres for k, (centres, _) in fits.items()}
 
 
-def _labelled(points: DataFrame, models: dict[str, np.ndarray]) -> DataFrame:
+def nearest_labels(points: DataFrame, models: dict[str, np.ndarray]) -> DataFrame:
     """``points`` with the nearest centre of every model, in one pass."""
     held = points.sparkSession.sparkContext.broadcast(list(models.items()))
     names = points.columns

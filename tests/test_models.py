@@ -224,7 +224,7 @@ def test_silhouette_of_more_rows_than_any_sample(spark):
     """10,001 rows, and many clusters in several passes, against the closed form in numpy."""
     rng = np.random.default_rng(5)
     x = rng.normal(size=(10_001, 2)) + rng.integers(0, 3, 10_001)[:, None] * 4
-    labels = rng.integers(0, 1_500, 10_001)
+    labels = np.unique(rng.integers(0, 1_500, 10_001), return_inverse=True)[1]
     df = spark.createDataFrame(
         pd.DataFrame({"id": np.arange(len(x)), "x": x.tolist(), "c": labels}), "id long, x array<double>, c int")
     n = np.bincount(labels)[:, None]
