@@ -155,7 +155,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url_col: s
     the verdict of the prior. Repeated rows are judged and counted each; an empty table
     gives an empty result.
     """
-    words = most_frequent(word_counts(pages.select(F.col(html_col).alias("text")), spelled_words), WORDS)
+    counts = word_counts(pages.select(F.col(html_col).alias("text")), spelled_words)
+    words = most_frequent(stage(counts, "words"), WORDS)
     host, path = host_and_path(F.col(url_col))
     source = pages.select(*[F.col(c) for c in carry], host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
