@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clientlens.llm.text import smallest_hashes
 from clientlens.session import stage
 
 SAMPLE_ROWS = 20_000
@@ -188,7 +189,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     """
     spark = vectors.sparkSession
     clean = stage(usable(vectors, id_col, vector_col), "vectors")
-    chosen = clean.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample_rows).select("v").toArrow()
+    chosen = smallest_hashes(clean, ["vec_id", "v"], sample_rows).select("v").toArrow()
     sample = _matrix(chosen.column("v").combine_chunks()) if chosen.num_rows else np.zeros((0, 1))
     tree = build(sample)
     shared = spark.sparkContext.broadcast(tree)
@@ -200,7 +201,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
 
     rows = stage(clean.mapInArrow(filed, "vec_id long, v array<double>, leaf long"), "filed")
     queries = stage(rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    known = queries.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(CALIBRATION_QUERIES)
+    known = smallest_hashes(queries, ["vec_id"], CALIBRATION_QUERIES)
     asked = {r["vec_id"]: np.array(r["v"]) for r in known.collect()}
     visits = calibrated_visits(tree, _brute_force(rows, known, k).collect(), asked, recall)
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clientlens.llm import dom
+from clientlens.llm.text import smallest_hashes
 
 SAMPLE_PAGES = 360
 COPIES = 3
@@ -220,7 +221,7 @@ def examples(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def train(pages: DataFrame, html_col: str = "html", most_pages: int = SAMPLE_PAGES) -> Trees | None:
     """Trees fitted on the ``most_pages`` pages with the smallest hash of their html."""
     sample = pages.where(F.col(html_col).isNotNull()).select(F.col(html_col).alias("html"))
-    rows = sample.orderBy(F.xxhash64("html"), "html").limit(most_pages).collect()
+    rows = smallest_hashes(sample, ["html"], most_pages).collect()
     return boost(*examples([r["html"] for r in rows]))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clientlens.llm.text import byte_values, chunks, word_hashes
+from clientlens.llm.text import byte_values, chunks, smallest_hashes, word_hashes
 
 #: Bound of the labelled rows used for fitting, those with the smallest hash of their id.
 LABELLED_ROWS = 16_000
@@ -150,7 +150,7 @@ def train(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col:
     At most ``most_rows`` rows of features reach the driver. Texts that are missing for a
     label are left out; a text that is null counts as empty.
     """
-    chosen = graded.orderBy(F.xxhash64("_id"), "_id", "grade").limit(most_rows)
+    chosen = smallest_hashes(graded, ["_id", "grade"], most_rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     known = texts.join(F.broadcast(chosen), "_id")  # most_rows rows of two numbers
 

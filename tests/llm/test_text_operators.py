@@ -220,6 +220,20 @@ def test_token_counts_match_the_library(docs, vocabulary):
     assert token_counts.Merger(vocabulary).texts(odd) == [count(t) for t in odd]
 
 
+def test_bounded_choices_are_exact(spark):
+    from clientlens.llm.text import smallest_hashes
+    from clientlens.llm.vocabulary import most_frequent
+
+    rows = spark.range(20_000).withColumnRenamed("id", "word").selectExpr("cast(word as string) word", "1 + 400000 div (word + 20) n")
+    wanted = sorted(((r["word"], r["n"]) for r in rows.collect()), key=lambda r: (-r[1], r[0]))
+    assert most_frequent(rows, 300) == wanted[:300] and most_frequent(rows, 30_000) == wanted
+    assert most_frequent(rows.where("false"), 5) == []
+    draw = F.pmod(F.xxhash64("word"), F.lit(1 << 31))
+    ordered = [r["word"] for r in rows.orderBy(draw, "word").limit(500).collect()]
+    assert [r["word"] for r in smallest_hashes(rows, ["word"], 500).collect()] == ordered
+    assert smallest_hashes(rows, ["word"], 50_000).count() == 20_000
+
+
 def test_empty_tables(spark, no_docs, vocabulary):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     results = (
