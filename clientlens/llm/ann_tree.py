@@ -6,8 +6,9 @@ centre has the largest inner product with the query first, and visits leaves in
 order. How many leaves it visits is calibrated: a bounded set of queries is answered in
 full, and the number of visits is widened until their recall reaches ``RECALL``.
 
-Leaves are joined to the queries that visit them. Crowded leaves and leaves with many
-queries are cut into blocks of bounded size, so a task compares two blocks at a time.
+Neighbouring leaves of few rows share a shelf, crowded leaves are cut into blocks. A query goes
+to each shelf it visits once, with the leaves it visits there; shelves with many queries cut
+those into blocks too, so a task compares two blocks of bounded size at a time.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clientlens.llm.text import smallest_hashes
-from clientlens.session import stage
+from clientlens.session import small_table, stage
 
 SAMPLE_ROWS = 20_000
 BRANCHES = 16
 LEAF_ROWS = 48
 ROUNDS = 8
-RECALL = 0.97
+RECALL = 0.95
 CALIBRATION_QUERIES = 96
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 512
@@ -46,6 +47,16 @@ class Tree:
     def leaves(self) -> int:
         return sum(not c for c in self.children)
 
+    def ordered_leaves(self) -> list[int]:
+        """Leaves from left to right, so that neighbours share their last branches."""
+        out, waiting = [], [0]
+        while waiting:
+            node = waiting.pop()
+            waiting += reversed(self.children[node])
+            if not self.children[node]:
+                out.append(node)
+        return out
+
     def leaf_of(self, rows: np.ndarray) -> np.ndarray:
         """The leaf each row's descent to the nearest centre ends in."""
         at = np.zeros(len(rows), dtype=np.int64)
@@ -130,10 +141,27 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return held.where(F.size("v") == (sizes["size"] if sizes else 0))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For every row of ``scores`` the places of its k best, ties to smaller ids; ``ids`` ascend."""
+def _shelves(leaves: list[int], sizes: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(leaf, shelf, blocks of rows): leaves in order share a shelf up to ``BLOCK_ROWS`` rows; a
+    larger one has its own, in several blocks."""
+    out, shelf, held = [], 0, 0
+    for leaf in leaves:
+        n = sizes.get(leaf, 0)
+        if n and held and held + n > BLOCK_ROWS:
+            shelf, held = shelf + 1, 0
+        if n:
+            out.append((leaf, shelf, -(-n // BLOCK_ROWS)))
+            held += n
+    return out
+
+
+def _best(
+    scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, seen: np.ndarray | None = None
+) -> Iterator[tuple[int, np.ndarray]]:
+    """For every row of ``scores`` the places of its k best, ties to smaller ids; ``ids`` ascend.
+    With ``seen`` only places that are true there count."""
     for i, line in enumerate(scores):
-        open_places = np.flatnonzero(ids != own[i])
+        open_places = np.flatnonzero(ids != own[i] if seen is None else seen[i] & (ids != own[i]))
         if len(open_places) > k:
             values = line[open_places]
             least = np.partition(values, len(values) - k)[len(values) - k]
@@ -205,25 +233,36 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     asked = {r["vec_id"]: np.array(r["v"]) for r in known.collect()}
     visits = calibrated_visits(tree, _brute_force(rows, known, k).collect(), asked, recall)
 
+    sizes = {r["leaf"]: r["n"] for r in rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row a leaf
+    shelves = _shelves(tree.ordered_leaves(), sizes)
+    shelf_of = spark.sparkContext.broadcast({leaf: shelf for leaf, shelf, _ in shelves})
+
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("shelf", pa.int64()), ("leaves", pa.list_(pa.int64()))]))
         for batch in batches:
-            leaves = [shared.value.visits(q, visits) for q in _matrix(batch.column("v"))] if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], names=["vec_id", "v", "leaves"]
-            )
-
-    walks = stage(queries.mapInArrow(walked, "vec_id long, v array<double>, leaves array<long>"), "walks")
-    # sizes of the leaves, of fixed number, decide on the blocks
-    row_blocks = rows.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("row_blocks"))
-    query_blocks = walks.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(
-        F.ceil(F.count("*") / BLOCK_QUERIES).alias("query_blocks"))
-    blocks = stage(row_blocks.join(query_blocks, "leaf"), "blocks")
+            stops = []
+            for query in _matrix(batch.column("v")) if batch.num_rows else []:
+                by_shelf: dict[int, list[int]] = {}
+                for leaf in shared.value.visits(query, visits):
+                    if leaf in shelf_of.value:
+                        by_shelf.setdefault(shelf_of.value[leaf], []).append(leaf)
+                stops.append([{"shelf": shelf, "leaves": leaves} for shelf, leaves in by_shelf.items()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stops, kind)], names=["vec_id", "v", "stops"])
+
+    walks = stage(queries.mapInArrow(
+        walked, "vec_id long, v array<double>, stops array<struct<shelf:long,leaves:array<long>>>"), "walks")
+    table = small_table(spark, {
+        "leaf": [x for x, _, _ in shelves], "shelf": [x for _, x, _ in shelves], "row_blocks": [x for _, _, x in shelves],
+    }) if shelves else spark.createDataFrame([], "leaf long, shelf long, row_blocks long")
+    visited = walks.select("vec_id", "v", F.inline("stops"))
+    query_blocks = visited.groupBy("shelf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("query_blocks"))
+    blocks = stage(table.select("shelf", "row_blocks").distinct().join(query_blocks, "shelf"), "blocks")
     part = lambda count: F.pmod(F.xxhash64("vec_id"), F.col(count))
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
-    candidates = rows.join(blocks, "leaf").withColumn("a", part("row_blocks")).withColumn("b", every("query_blocks"))
-    visitors = walks.select("vec_id", "v", F.explode("leaves").alias("leaf")).join(blocks, "leaf").withColumn(
-        "b", part("query_blocks")).withColumn("a", every("row_blocks"))
-    columns = ("leaf", "a", "b", "vec_id", "v")
+    candidates = rows.join(table.select("leaf", "shelf"), "leaf").join(blocks, "shelf").withColumn(
+        "a", part("row_blocks")).withColumn("b", every("query_blocks")).select("shelf", "a", "b", "vec_id", "v", "leaf")
+    visitors = visited.join(blocks, "shelf").withColumn("b", part("query_blocks")).withColumn(
+        "a", every("row_blocks")).select("shelf", "a", "b", "vec_id", "v", "leaves")
 
     def compared(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -232,12 +271,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
             ids, asking = right.column("vec_id").to_numpy()[order], left.column("vec_id").to_numpy()
             points = _matrix(right.column("v").combine_chunks())[order]
             scores = _matrix(left.column("v").combine_chunks()) @ points.T
-            out += [(np.full(len(p), asking[i]), ids[p], scores[i, p]) for i, p in _best(scores, ids, asking, k)]
+            here, place = np.unique(right.column("leaf").to_numpy()[order], return_inverse=True)
+            seen = np.array([np.isin(here, leaves)[place] for leaves in left.column("leaves").to_pylist()])
+            out += [(np.full(len(p), asking[i]), ids[p], scores[i, p]) for i, p in _best(scores, ids, asking, k, seen)]
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
 
-    found = visitors.select(*columns).groupBy("leaf", "a", "b").cogroup(
-        candidates.select(*columns).groupBy("leaf", "a", "b")
-    ).applyInArrow(compared, "query_id long, vec_id long, score double")
+    found = visitors.groupBy("shelf", "a", "b").cogroup(candidates.groupBy("shelf", "a", "b")).applyInArrow(
+        compared, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
