@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -121,6 +122,40 @@ def test_similar_documents_share_a_component(spark):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9, 10: 10}
 
 
+def test_no_similar_pair_survives(spark):
+    """Against brute force: pairs around the threshold, big families below it, shared boilerplate."""
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(10**9)}" for _ in range(rng.choice([7, 60, 150, 400]))] for _ in range(120)]
+    rows_in, line = [], sentence(77, 12)
+    for text in base:  # two members each, at Jaccard 0.7 to 0.95
+        copy = list(text)
+        for _ in range(rng.randint(0, max(1, len(text) // 40))):
+            copy[rng.randrange(len(copy))] = f"v{rng.randrange(10**9)}"
+        rows_in += [" ".join(text + [line]), " ".join([line] + copy) if rng.random() < 0.3 else " ".join(copy + [line])]
+    template = sentence(90, 160).split()
+    for _ in range(150):  # a family on one template, many pairs just below the threshold
+        member = list(template)
+        for _ in range(rng.randint(1, 6)):
+            member[rng.randrange(len(member))] = f"u{rng.randrange(10**9)}"
+        rows_in += [" ".join(member)]
+    rows_in += ["", None, "one two", "ONE  two", "one two three four five", "one two three four six"]
+    sets = []
+    for text in rows_in:
+        w = lower(text or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 5, 0) + 1)})
+    group, direct = list(range(len(sets))), 0
+    for a in range(len(sets)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common):
+                direct += 1
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    assert direct > 200
+    table = spark.createDataFrame(list(enumerate(rows_in)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table).collect()}
+    assert found == dict(enumerate(group))
+
+
 ITEMS = [(1, sentence(3, 14).upper()), (2, "One, two;THREE"), (3, None), (4, "?!"), (5, sentence(3, 14)), (None, sentence(1, 12)), (6, "é" * 40)]
 
 
