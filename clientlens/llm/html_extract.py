@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from clientlens.llm import dom
 from clientlens.llm.text import smallest_hashes
+from clientlens.session import stage
 
 SAMPLE_PAGES = 360
 COPIES = 3
@@ -219,9 +220,14 @@ def examples(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(pages: DataFrame, html_col: str = "html", most_pages: int = SAMPLE_PAGES) -> Trees | None:
-    """Trees fitted on the ``most_pages`` pages with the smallest hash of their html."""
-    sample = pages.where(F.col(html_col).isNotNull()).select(F.col(html_col).alias("html"))
-    rows = smallest_hashes(sample, ["html"], most_pages).collect()
+    """Trees fitted on ``most_pages`` distinct pages with an article or main tag, those with the
+    smallest hash of their html. Copies of a page count once, so they cannot crowd out others."""
+    html = F.col(html_col)
+    draw = F.xxhash64(html)
+    tagged = pages.where(html.rlike(r"(?i)<(article|main)\b[^>]*>"))
+    hashes = stage(tagged.select(draw.alias("draw")).distinct(), "pages")
+    chosen = [r["draw"] for r in smallest_hashes(hashes, ["draw"], most_pages).collect()]
+    rows = tagged.where(draw.isin(chosen)).groupBy(draw.alias("draw")).agg(F.min(html).alias("html")).orderBy("draw").collect()
     return boost(*examples([r["html"] for r in rows]))
 
 

@@ -32,12 +32,15 @@ def smallest_hashes(df: DataFrame, columns: list[str], size: int) -> DataFrame:
     """At most ``size`` rows, those with the smallest hash of ``columns``.
 
     Rows whose hash is surely too large are left out by a threshold first, ten deviations
-    above the wanted number, so tasks together pass on little more than ``size`` rows.
+    above the wanted number, so tasks together pass on little more than ``size`` rows. Copies
+    share their hash, so where too few rows lie below it the threshold is widened.
     """
     rows, top = df.count(), 1 << 31
     wanted = size + 10 * math.sqrt(size)
     cut = top if rows <= wanted else math.ceil(wanted / rows * top)
     draw = F.pmod(F.xxhash64(*columns), F.lit(top))
+    while cut < top and df.where(draw < cut).count() < size:
+        cut = min(top, 4 * cut)
     return df.where(draw < cut).orderBy(draw, *columns).limit(size)
 
 

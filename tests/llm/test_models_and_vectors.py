@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clientlens.llm import ann_tree, html_extract, quality, url_filter
+from clientlens.llm.text import smallest_hashes
 from tests.llm.conftest import DOCS
 
 LARGER = "/root/testdata/sf0.1"
@@ -70,6 +71,19 @@ def test_articles_of_all_pages(pages, trees):
     assert right >= 0.99 * len(found)
 
 
+def test_copies_do_not_empty_the_sample(spark, pages):
+    """One page 10,000 times, few pages 300 times, and many pages without an article."""
+    few = [r["html"] for r in pages.select("html").distinct().limit(12).collect()]
+    rows = [(p,) for p in few for _ in range(300)] + [(few[0],)] * 10_000 + [(f"<div><p>Note {i}</p></div>",) for i in range(3000)]
+    table = spark.createDataFrame(rows, "html string").repartition(8)
+    trees = html_extract.train(table, most_pages=10)
+    assert trees is not None
+    once = html_extract.train(spark.createDataFrame([(p,) for p in few], "html string"), most_pages=10)
+    assert np.array_equal(trees.leaves, once.leaves)
+    same = spark.createDataFrame([("x",)], "html string").crossJoin(spark.range(5000))
+    assert all(smallest_hashes(same.withColumn("html", F.lit(f"y{i}")), ["html"], 20).count() == 20 for i in range(4))
+
+
 def test_other_frames(trees):
     prose = " ".join(f"Word{i} and more of it, said plainly." for i in range(12))
     page = (
