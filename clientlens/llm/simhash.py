@@ -357,7 +357,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Rows with one set of distinct shingles are one node; two nodes are linked if the Jaccard
     similarity of their sets reaches ``similarity``, without exception. The grid of
-    fingerprints comes first: it proposes nearest nodes of each cell, which joins most
+    fingerprints comes first: it proposes the nearest node of each one, which joins most
     members of large groups. The exact way follows: nodes that share one of the rarest
     shingles of both (prefix filter) and are not joined yet are all compared, in tiles.
     Nodes whose rows have no id take part; a component of only such rows has a null one.
@@ -394,9 +394,13 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # first pass: one node stands for each fingerprint
     cells = stage(nodes.groupBy("fingerprint").agg(F.min("node").alias("first")), "cells")
     near = links(cells.select("fingerprint"), radius, TILE_ROWS, blocks, agree, nearest=True)
+    near = near.groupBy("u").agg(F.min_by("v", F.bit_count(F.col("u").bitwiseXOR(F.col("v")))).alias("v"))
     named = near.join(cells.toDF("u", "a"), "u").join(cells.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     same = nodes.join(cells, "fingerprint").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    held = _confirmed(stage(named.unionByName(same), "pairs"), texts, shingle_words, similarity)
+    large, small = (nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}")) for c in "uv")
+    sized = named.unionByName(same).join(large, "u").join(small, "v").where(
+        F.least("size_u", "size_v") + 1e-9 >= similarity * F.greatest("size_u", "size_v")).select("u", "v")
+    held = _confirmed(stage(sized, "pairs"), texts, shingle_words, similarity)
     roots = smallest_reachable(held)
 
     # the exact way for the rest

@@ -156,6 +156,21 @@ def test_no_similar_pair_survives(spark):
     assert found == dict(enumerate(group))
 
 
+def test_a_copy_behind_closer_siblings_is_found(spark, monkeypatch):
+    """The first pass may propose anything, or nothing: the result is the same. Tiles of any size too."""
+    template = sentence(60, 200).split()
+    texts = [" ".join(template[:i] + ["q%d" % i] + template[i + 1 :]) for i in range(0, 200, 4)]
+    far = [" ".join(w if k % 12 else f"z{j}x{k}" for k, w in enumerate(template)) for j in range(40)]
+    table = spark.createDataFrame(list(enumerate(texts + far)), "doc_id long, text string")
+    wanted = {i: 0 for i in range(len(texts))} | {len(texts) + j: len(texts) + j for j in range(len(far))}
+    none = lambda nodes, *_, **__: spark.createDataFrame([], "u long, v long")
+    for change in ((), ("links", none), ("TILE_ROWS", 4)):
+        if change:
+            monkeypatch.setattr(simhash, *change)
+        found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table).collect()}
+        assert found == wanted
+
+
 ITEMS = [(1, sentence(3, 14).upper()), (2, "One, two;THREE"), (3, None), (4, "?!"), (5, sentence(3, 14)), (None, sentence(1, 12)), (6, "é" * 40)]
 
 
