@@ -6,7 +6,7 @@ Every stage works on all rows the stage before it kept, and returns the columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientlens.llm import decontaminate, mixing, quality, simhash, substring_dedup
@@ -15,8 +15,15 @@ from clientlens.session import stage
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _key() -> Column:
-    return F.coalesce("doc_id", F.xxhash64("text"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The columns of documents and ``_key``: what tells rows apart is id and text together.
+
+    Rows equal in both are one document; unlike texts under one id, and rows without an id,
+    are not. Keys are ordered by id, missing ids last.
+    """
+    told = F.concat(F.when(F.col("text").isNull(), "0").otherwise("1"), F.coalesce("text", F.lit("")))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.md5(told).alias("text_md5"))
+    return docs.select(*COLUMNS, key.alias("_key"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +36,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id.
 
-    Near duplicates share four fifths of their five-word shingles. Rows that repeat an id are
-    one document; a row without an id goes by a hash of its text. Documents without words
-    are one group.
+    Groups are those of the SimHash operator: three-word shingles, two differing bits at most.
+    Documents without words are one group.
     """
-    keyed = docs.withColumn("_key", _key())
-    groups = simhash.similar_documents(keyed, id_col="_key")
-    first = groups.where("_key = component_id").select("_key").distinct()
+    keyed = _keyed(docs)
+    groups = simhash.near_duplicates(keyed, id_col="_key")
+    first = groups.where(F.col("_key") == F.col("component_id")).select("_key").distinct()
     kept = keyed.join(stage(first, "first"), "_key", "left_semi")
     return kept.dropDuplicates(["_key"]).select(*COLUMNS)  # partitioned by the key already
 
@@ -54,10 +60,15 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the mix takes, with ``size`` in words, ``copies`` and ``taken`` words."""
-    keyed = docs.withColumn("_key", _key())
-    plan = mixing.mix(keyed, id_col="_key").where("copies > 0").select("_key", "size", "copies", "taken")
-    joined = keyed.join(plan.dropDuplicates(["_key"]), "_key")
+    """Documents the mix takes, with ``size`` in words, ``copies`` and ``taken`` words.
+
+    Rows equal in id and text become one row with the copies of all of them.
+    """
+    keyed = _keyed(docs)
+    taken = mixing.mix(keyed, id_col="_key").where("copies > 0")
+    plan = taken.groupBy("_key").agg(
+        F.min("size").alias("size"), F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
+    joined = keyed.join(plan, "_key").dropDuplicates(["_key"])
     return joined.select(*COLUMNS, "size", "copies", "taken")
 
 
