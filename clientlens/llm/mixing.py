@@ -82,9 +82,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """(id, source, size, source_size, target, copies, taken) of every row.
 
     size is the number of words, null texts have none; copies is how often the mix takes the
-    row, taken its words. Rows without words take the whole copies of their source. The
-    draws depend on ids, sources and sizes only, so reruns agree; equal rows may exchange
-    their draws. An empty table gives an empty result, other columns are not read.
+    row, taken its words. Rows without words take the whole copies of their source. Ids are of
+    any type and may be null; rows are drawn in the order of a hash of the id. The draws
+    depend on ids, sources and sizes only, so reruns agree; equal rows may exchange their
+    draws. An empty table gives an empty result, other columns are not read.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
@@ -97,15 +98,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     rows = rows.select(
         "doc_id", "source", "size", "source_size", "target", F.floor("rate").alias("copies"),
         F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0).alias("part"),
-        F.pmod(F.xxhash64("doc_id", "size"), blocks).alias("block"),
+        F.pmod(F.xxhash64("doc_id", "size"), blocks).alias("block"), F.xxhash64("doc_id").alias("turn"),
     )
     most_blocks = planned.agg(F.max(F.ceil(F.col("n") / block_rows))).first()[0] or 1
     schema: T.StructType = rows.schema
 
     def level(number: int):
         def run(table: pa.Table) -> pa.Table:
-            order = np.lexsort([np.nan_to_num(table.column(c).to_numpy().astype(float)) for c in ("size", "doc_id")])
-            table = table.take(order)
+            table = table.take(np.lexsort([table.column(c).to_numpy() for c in ("size", "turn")]))
             part = table.column("part").to_numpy()
             words = table.column("size").to_numpy().astype(float)
             open_rows = np.flatnonzero((part > _WHOLE) & (part < 1 - _WHOLE))
