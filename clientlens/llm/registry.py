@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from clientlens.llm import ann_tree, brown_lm, decontaminate, html_extract, mixing, quality, simhash, substring_dedup, token_counts, url_filter
+from clientlens.llm import (
+    ann_tree, brown_lm, decontaminate, hard_negatives, html_extract, importance, jaccard_join, mixing, quality, simhash, substring_dedup,
+    token_counts, url_filter,
+)
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -15,9 +18,14 @@ QUERIES = {
     "op7_ann_tree": ann_tree.op7_ann_tree,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_simhash": simhash.op10_simhash,
+    "op11_jaccard_join": jaccard_join.op11_jaccard_join,
+    "op12_importance": importance.op12_importance,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.SQL,
     "op6_decontaminate": decontaminate.SQL,
+    "op11_jaccard_join": jaccard_join.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
