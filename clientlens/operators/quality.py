@@ -1,5 +1,5 @@
-"""Quality of clusterings: Davies-Bouldin, Calinski-Harabasz, squared Euclidean silhouette,
-nearest centroid, adjusted Rand index. Several labelings are judged in one go."""
+"""Quality of clusterings: Davies-Bouldin, Calinski-Harabasz, silhouettes by Euclidean distance
+and by its square, nearest centroid, adjusted Rand index. Several labelings are judged in one go."""
 
 from __future__ import annotations
 
@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientlens.functions.expressions import squared_distance
+from clientlens.operators import silhouette
 from clientlens.operators.ranking import with_row_number
 from clientlens.session import stage
 
 CENTRES_PER_PASS = 1_000  # centres one row is compared with at a time
+BOUND = 1e-3  # how far a row's silhouette may be off where labelings are only compared
 INVALID = {"silhouette": -1.0, "davies_bouldin": 999.0, "calinski_harabasz": 0.0}
 
 
@@ -164,13 +166,14 @@ def silhouette_profile(rows: DataFrame, id_col: str, points: int = 100) -> DataF
 
 
 def evaluate(
-    df: DataFrame, id_col: str, vec_col: str, label_cols: list[str], invalid: dict[str, float] = INVALID,
+    df: DataFrame, id_col: str, vec_col: str, label_cols: list[str], invalid: dict[str, float] = INVALID, bound: float = BOUND,
 ) -> DataFrame:
     """ML-13/14/16: one row per labeling, unrounded; a labeling with fewer than two
-    clusters, or no more valid rows than clusters, takes the ``invalid`` values."""
+    clusters, or no more valid rows than clusters, takes the ``invalid`` values. Silhouettes
+    are Euclidean, each within ``bound`` of the exact value; a bound of zero is exact."""
     geometry = geometry_scores(cluster_geometry(df, vec_col, label_cols))
     silhouettes = (
-        silhouette_rows(df, id_col, vec_col, label_cols)
+        silhouette.euclidean_rows(df, id_col, vec_col, label_cols, bound)
         .groupBy("run").agg(F.avg("silhouette").alias("silhouette"))
     )
     noise = df.agg(*[F.count_if(F.col(c) == -1).alias(c) for c in label_cols]).select(

@@ -188,7 +188,7 @@ db AS (SELECT run, avg(worst) AS db FROM (SELECT a.run, a.l, max((a.s + b.s) / l
 md AS (SELECT run, list(m ORDER BY i) AS m FROM (SELECT run, i, avg(x[i]) AS m FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM pt) GROUP BY 1, 2) GROUP BY 1),
 ch AS (SELECT run, count(*) AS k, sum(n) AS n, (sum(n * list_distance(c, m) ** 2) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))) AS ch
   FROM bg JOIN md USING (run) GROUP BY 1),
-dp AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.x, b.x) ** 2 AS d FROM vec a, vec b WHERE a.vec_id <> b.vec_id),
+dp AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.x, b.x) AS d FROM vec a, vec b WHERE a.vec_id <> b.vec_id),
 mp AS (SELECT la.run, dp.a, la.l AS la, lb.l AS lb, avg(d) AS m FROM dp JOIN lab la ON la.vec_id = dp.a
   JOIN lab lb ON lb.vec_id = dp.b AND lb.run = la.run GROUP BY 1, 2, 3, 4),
 si AS (SELECT run, avg(CASE WHEN a0 IS NULL THEN 0e0 ELSE (b0 - a0) / greatest(a0, b0) END) AS sil FROM
@@ -196,8 +196,11 @@ si AS (SELECT run, avg(CASE WHEN a0 IS NULL THEN 0e0 ELSE (b0 - a0) / greatest(a
 bm AS (SELECT run, k, (SELECT count(*) FROM vec) - n AS noise, round_even(sil, 4) AS sil, round_even(db, 4) AS db, round_even(ch, 2) AS ch
   FROM ch JOIN db USING (run) JOIN si USING (run))"""
 
-_SIL = _VEC + """,
-pair AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sum(list_distance(a.x, b.x) ** 2) AS s, count(*) AS n
+
+def _silhouettes(power: int) -> str:
+    """By Euclidean distance (power 1) or its square, pair by pair."""
+    return _VEC + f""",
+pair AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sum(list_distance(a.x, b.x) ** {power}) AS s, count(*) AS n
   FROM vec a, vec b WHERE a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
 ab AS (SELECT vec_id, la, max(CASE WHEN la = lb THEN s / n END) AS a, min(CASE WHEN la <> lb THEN s / n END) AS b
   FROM pair GROUP BY 1, 2),
@@ -586,8 +589,9 @@ SELECT round_even(avg(worst), 6) AS davies_bouldin FROM r"""
     sql["calinski_harabasz"] = f"""WITH {_GEO},
 mid AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(v) AS m FROM dims GROUP BY 1))
 SELECT CAST(count(*) AS INTEGER) AS n_clusters, round_even((sum(n * list_distance(c, m) ** 2) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))), 6) AS calinski_harabasz FROM geo, mid"""
-    sql["silhouette_squared_euclidean"] = f"WITH {_SIL} SELECT round_even(avg(s), 6) AS silhouette_squared_euclidean FROM sil"
-    sql["silhouette_samples"] = f"""WITH {_SIL},
+    sql["silhouette_euclidean"] = f"WITH {_silhouettes(1)} SELECT round_even(avg(s), 6) AS silhouette_euclidean FROM sil"
+    sql["silhouette_squared_euclidean"] = f"WITH {_silhouettes(2)} SELECT round_even(avg(s), 6) AS silhouette_squared_euclidean FROM sil"
+    sql["silhouette_samples"] = f"""WITH {_silhouettes(1)},
 p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s, vec_id) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY label) // 10) AS step FROM sil)
 SELECT label, CAST(i // step AS INTEGER) AS place, round_even(s, 6) AS silhouette FROM p WHERE i % step = 0"""
     sql["clustering_benchmark"] = f"""WITH {_BENCH} SELECT CASE run WHEN 'label' THEN 'given' WHEN 'partly' THEN 'partly noise' ELSE run END AS algorithm,

@@ -34,6 +34,7 @@ from clientlens.operators import (
     scoring,
     selection,
     severity,
+    silhouette,
     stability,
     supervised,
     ward,
@@ -474,7 +475,7 @@ def answer_table(spark, folder):
 def _benchmark_rows(spark, folder):
     """Two labelings of the vectors as a benchmark table, rounded to what is reported."""
     vectors = _with_nearest(spark, folder)
-    scored = quality.evaluate(vectors, "vec_id", "x", ["label", "nearest"])
+    scored = quality.evaluate(vectors, "vec_id", "x", ["label", "nearest"], bound=0.0)
     return scored.select(
         F.col("run").alias("algorithm"), rounded("silhouette", 4).alias("silhouette_score"),
         rounded("davies_bouldin", 4).alias("davies_bouldin"),
@@ -540,16 +541,19 @@ def calinski_harabasz(spark, folder):
     )
 
 
-def _silhouettes(spark, folder):
-    return quality.silhouette_rows(_vectors(spark, folder), "vec_id", "x", ["label"])
+def silhouette_euclidean(spark, folder):
+    rows = silhouette.euclidean_rows(_vectors(spark, folder), "vec_id", "x", ["label"])
+    return rows.agg(rounded(F.avg("silhouette"), 6).alias("silhouette_euclidean"))
 
 
 def silhouette_squared_euclidean(spark, folder):
-    return _silhouettes(spark, folder).agg(rounded(F.avg("silhouette"), 6).alias("silhouette_squared_euclidean"))
+    rows = quality.silhouette_rows(_vectors(spark, folder), "vec_id", "x", ["label"])
+    return rows.agg(rounded(F.avg("silhouette"), 6).alias("silhouette_squared_euclidean"))
 
 
 def silhouette_samples(spark, folder):
-    profile = quality.silhouette_profile(_silhouettes(spark, folder), "vec_id", points=10)
+    rows = silhouette.euclidean_rows(_vectors(spark, folder), "vec_id", "x", ["label"])
+    profile = quality.silhouette_profile(rows, "vec_id", points=10)
     return profile.select("label", "place", rounded("silhouette", 6).alias("silhouette"))
 
 
@@ -560,7 +564,7 @@ def clustering_benchmark(spark, folder):
         "partly", F.when(F.col("label") >= 8, F.lit(-1)).otherwise(F.col("label"))
     )
     return selection.benchmark(
-        vectors, "vec_id", {"given": "label", "nearest": "nearest", "partly noise": "partly"}, "x"
+        vectors, "vec_id", {"given": "label", "nearest": "nearest", "partly noise": "partly"}, "x", bound=0.0
     )
 
 
@@ -890,6 +894,7 @@ EXACT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nearest_within": nearest_within,
     "davies_bouldin": davies_bouldin,
     "calinski_harabasz": calinski_harabasz,
+    "silhouette_euclidean": silhouette_euclidean,
     "silhouette_squared_euclidean": silhouette_squared_euclidean,
     "silhouette_samples": silhouette_samples,
     "clustering_benchmark": clustering_benchmark,

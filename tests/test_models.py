@@ -18,6 +18,7 @@ from clientlens.operators import (
     quality,
     scoring,
     selection,
+    silhouette,
     stability,
     supervised,
     ward,
@@ -187,11 +188,11 @@ def test_constant_table_has_no_anomaly(spark):
     assert {(r["Is_Anomaly"], r["Anomaly_Score"]) for r in flagged.collect()} == {(False, 0.0)}
 
 
-def brute_silhouette(x, labels):
-    """By squared Euclidean distance, pair by pair."""
+def brute_silhouette(x, labels, power=1):
+    """By Euclidean distance or its square, pair by pair."""
     out = []
     for i in range(len(x)):
-        d = ((x - x[i]) ** 2).sum(axis=1)
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1)) ** power
         mine = labels == labels[i]
         if mine.sum() == 1:
             out.append(0.0)
@@ -213,13 +214,51 @@ def test_quality_scores_against_numpy(spark):
     )
     keep = labels != -1
     wanted = brute_silhouette(x[keep], labels[keep])
-    row = quality.evaluate(df, "id", "x", ["c"]).first()
+    row = quality.evaluate(df, "id", "x", ["c"], bound=0.0).first()
     assert row["silhouette"] == pytest.approx(wanted.mean())
+    squared = quality.silhouette_rows(df, "id", "x", ["c"]).agg({"silhouette": "avg"}).first()[0]
+    assert squared == pytest.approx(brute_silhouette(x[keep], labels[keep], 2).mean())
     assert (row["n_clusters"], row["n_noise"]) == (4, 1)
     one = quality.evaluate(df.withColumn("c", F.lit(0)), "id", "x", ["c"]).first()
     assert (one["silhouette"], one["davies_bouldin"], one["calinski_harabasz"]) == (-1.0, 999.0, 0.0)
 
 
+@pytest.mark.parametrize("bound", [0.0, 0.01, 0.2])
+def test_euclidean_silhouettes_keep_their_bound(spark, bound):
+    """Copies of a point, noise, a cluster of one and a labeling that cuts across space."""
+    rng = np.random.default_rng(0)
+    x = np.round(rng.normal(size=(900, 4)) + rng.integers(0, 3, (900, 1)) * 3, 3)
+    x[:150] = x[0]
+    blobs, mixed = (x.sum(axis=1) > 10).astype(int) + (x.sum(axis=1) > 20), rng.integers(-1, 4, 900)
+    mixed[7] = 9
+    df = spark.createDataFrame(
+        [(f"r{i}", [float(v) for v in p], int(a), int(b), 1) for i, (p, a, b) in enumerate(zip(x, blobs, mixed))],
+        "id string, x array<double>, a int, b int, cell int").repartition(3)
+    found = silhouette.euclidean_rows(df, "id", "x", ["a", "b"], bound, cell_rows=16).toPandas()
+    for run, labels in (("a", blobs), ("b", mixed)):
+        keep = np.flatnonzero(labels != -1)
+        own = found[found.run == run].set_index("id").loc[[f"r{i}" for i in keep]]
+        assert (own.label.to_numpy() == labels[keep]).all() and len(found[found.run == run]) == len(keep)
+        wanted = brute_silhouette(x[keep], labels[keep])
+        assert np.abs(own.silhouette.to_numpy() - wanted).max() <= max(bound, 1e-9)
+    assert silhouette.euclidean_rows(df.where("false"), "id", "x", ["a"]).count() == 0
+    assert silhouette.euclidean_rows(df.where("a = 1"), "id", "x", ["a"]).where("silhouette <> 0").count() == 0
+
+
+def test_far_clusters_are_never_opened():
+    """With well separated clusters, most cells stay closed for a small bound."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 3)) * 0.05 + np.repeat(rng.normal(size=(40, 3)) * 20, 100, axis=0)
+    tree = silhouette.fit_tree(x, 64)
+    cell, label = tree.cells_of(x), np.repeat(np.arange(40), 100)
+    pairs, place = np.unique(np.stack([label, cell]), axis=1, return_inverse=True)
+    mean = np.array([x[place == i].mean(axis=0) for i in range(pairs.shape[1])])
+    spread = np.array([((x[place == i] - mean[i]) ** 2).sum(axis=1).mean() for i in range(len(mean))])
+    told = silhouette.Summary(pairs[0], pairs[1], np.bincount(place), mean, spread)
+    *_, row, _, opened = silhouette._needed(told, label, x, 0.01)
+    assert len(opened) < 0.05 * len(x) * len(mean)
+
+
 def test_silhouette_of_more_rows_than_any_sample(spark):
     """10,001 rows, and many clusters in several passes, against the closed form in numpy."""
     rng = np.random.default_rng(5)
