@@ -15,6 +15,7 @@ the value is exact. Several labelings share the tree, the shuffle and the distan
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -151,7 +152,7 @@ def euclidean_rows(df: DataFrame, id_col: str, vec_col: str, label_cols: list[st
         "label int, silhouette double").fields])
     if not sample.num_rows:
         return spark.createDataFrame([], kinds)
-    tree = fit_tree(_matrix(sample.column("x").combine_chunks()), min(most_cells, -(-count // cell_rows)))
+    tree = fit_tree(_matrix(sample.column("x").combine_chunks()), min(most_cells, -(-count // (cell_rows * math.isqrt(len(label_cols))))))
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -730,9 +730,9 @@ def gmm_bic(spark, folder):
 
 def gmm_memberships(spark, folder):
     matrix, k = _fixed(spark, folder)[1], _grid(spark, folder)[2]
-    fit = _fitted(spark, folder, "mixture", lambda: clustering.fit_mixture(matrix, k))
+    fit = _fitted(spark, folder, "mixture", lambda: clustering.fit_mixture(matrix, k, id_col="Customer_ID"))
     soft = fit.transform(matrix, probability="p")
-    return soft.select("Customer_ID", "GMM_Cluster", quality.as_array(soft, "p").alias("memberships"))
+    return soft.select("Customer_ID", "GMM_Cluster", F.col("p").alias("memberships"))
 
 
 def ward_labels(spark, folder):
@@ -808,7 +808,7 @@ def churn_probability(spark, folder):
 def _scoring_models(spark, folder):
     model, matrix = _fixed(spark, folder)
     grid, _, k = _grid(spark, folder)
-    kmeans = _fitted(spark, folder, "kmeans", lambda: clustering.fit_kmeans(matrix, k))
+    kmeans = _fitted(spark, folder, "kmeans", lambda: clustering.fit_kmeans(matrix, k, id_col="Customer_ID"))
     labelled = stage(kmeans.transform(matrix), "labelled")
     df = customers(spark, folder).join(labelled, "Customer_ID")
     return scoring.ScoringModels(

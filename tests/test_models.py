@@ -87,8 +87,71 @@ def test_mixture_criteria(matrix):
     d = dense(matrix).shape[1]
     assert fit.parameters == 2 * d + 2 * d * (d + 1) // 2 + 1
     assert fit.bic - fit.aic == pytest.approx(fit.parameters * (math.log(400) - 2))
-    soft = fit.transform(matrix, probability="p").first()["p"].toArray()
-    assert soft.sum() == pytest.approx(1.0)
+    soft = fit.transform(matrix, probability="p").first()
+    assert sum(soft["p"]) == pytest.approx(1.0) and soft["GMM_Cluster"] == int(np.argmax(soft["p"]))
+
+
+def plain_mixture(x, centres, rounds):
+    """Expectation-maximisation in numpy from hard labels; log-likelihood after each round."""
+    label = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    shares, trail = np.eye(len(centres))[label], []
+    for _ in range(rounds + 1):
+        mass = shares.sum(axis=0)
+        means = shares.T @ x / mass[:, None]
+        covs = [(x - m).T @ ((x - m) * shares[:, [c]]) / mass[c] + clustering.REGULAR * np.eye(x.shape[1]) for c, m in enumerate(means)]
+        logs = np.stack([
+            np.log(mass[c] / len(x)) - 0.5 * (np.linalg.slogdet(2 * np.pi * covs[c])[1]
+            + ((x - means[c]) @ np.linalg.inv(covs[c]) * (x - means[c])).sum(axis=1)) for c in range(len(mass))], axis=1)
+        total = np.logaddexp.reduce(logs, axis=1)
+        trail.append(total.sum())
+        shares = np.exp(logs - total[:, None])
+    return trail, shares
+
+
+def test_mixtures_of_all_sizes_equal_numpy_and_the_library(spark):
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(300, 3)) @ rng.normal(size=(3, 3)) + m for m in ([0, 0, 0], [7, 1, 0], [0, 8, 5])])
+    points = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, x array<double>").repartition(3)
+    starts = {k: x[rng.permutation(len(x))[:k]] for k in (2, 3, 5)}
+    found = clustering.fit_mixtures(points.select("x"), starts, rounds=6, settled=-1.0)
+    for k, fit in found.items():
+        trail, shares = plain_mixture(x, starts[k], 6)
+        assert trail == sorted(trail) and fit.log_likelihood == pytest.approx(trail[-1], rel=1e-9)
+        assert np.allclose(np.sort(fit.weights), np.sort(shares.mean(axis=0)), atol=0.05)
+    done = clustering.fit_mixtures(points.select("x"), {3: starts[3]})[3]
+    vectors = points.select("id", array_to_vector("x").alias("features"))
+    library = GaussianMixture(k=3, seed=1, maxIter=100, tol=1e-4).fit(vectors)
+    assert done.log_likelihood == pytest.approx(library.summary.logLikelihood, rel=1e-4)
+    soft = done.transform(vectors, probability="p").collect()
+    _, means, _ = done.factors()
+    assert means.shape == (3, 3) and all(abs(sum(r["p"]) - 1) < 1e-9 for r in soft)
+
+
+def test_starts_do_not_fall_on_copies(spark):
+    """20,000 copies of a point and a few others: every k is reached, at the best cost."""
+    others = [[5.0, 0.0], [0.0, 7.0], [9.0, 9.0], [-6.0, 2.0]]
+    rows = [(i, [1.0, 1.0]) for i in range(20_000)] + [(20_000 + i, others[i % 4]) for i in range(12)]
+    table = spark.createDataFrame(rows, "id long, features array<double>").repartition(4)
+    for k in (2, 3, 5):
+        fit = clustering.fit_kmeans(table, k, starts=3, id_col="id")
+        assert fit.k == k and fit.transform(table).select("KMeans_Cluster").distinct().count() == k
+    assert fit.cost == pytest.approx(0.0, abs=1e-6) and fit.order[0] >= 0
+    again = clustering.fit_kmeans(table.repartition(7), 5, starts=3, id_col="id")
+    assert np.allclose(again.centres, fit.centres)
+
+
+def test_fits_on_parts_of_the_rows_equal_fits_on_those_rows(spark, matrix):
+    points = clustering.sized_points(matrix, ID)
+    whole = clustering.fit_many(points, [clustering.Start(3, 5, (11, 0, 70)), clustering.Start(3, 6)])
+    rows = points.collect()
+    keys, x = np.array([r["key"] for r in rows]), np.array([r["x"] for r in rows])
+    part = clustering._taking_part(keys, clustering.Start(3, 5, (11, 0, 70)))
+    assert 0.55 * len(x) < part.sum() < 0.85 * len(x) and whole[0].sizes.sum() == part.sum()
+    label, apart = clustering._nearest(x[part], whole[0].centres)
+    assert whole[0].cost == pytest.approx(apart.sum()) and whole[1].sizes.sum() == len(x)
 
 
 def test_projection_equals_singular_vectors(matrix):
@@ -357,8 +420,25 @@ def test_ward_merges_by_least_variance():
     assert labels[0] == labels[1] != labels[2] == labels[3]
 
 
+def test_ward_is_exact_on_few_rows_and_close_beyond(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(80, 3)) + m for m in ([0, 0, 0], [6, 0, 0], [0, 6, 0])]).round(2)
+    table = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, features array<double>").repartition(6)
+    exact = ward.merge_ward([1] * len(x), x.tolist(), 3)
+    groups = lambda labels: sorted(tuple(np.flatnonzero(np.array(labels) == c)) for c in set(labels))
+    found = [r["HAC_Cluster"] for r in ward.ward_labels(table, "id", 3, leaves=400).orderBy("id").collect()]
+    assert groups(found) == groups(exact)
+    summary = ward.summarised(table.select(F.col("features").alias("x")), leaves=40, fan_in=2)
+    assert summary.n.sum() == len(x) and len(summary.n) <= 40 and summary.threshold > 0
+    assert np.allclose(summary.sums.sum(axis=0), x.sum(axis=0)) and summary.squares.sum() == pytest.approx((x * x).sum())
+    close = [r["HAC_Cluster"] for r in ward.ward_labels(table, "id", 3, leaves=40).orderBy("id").collect()]
+    pairs = spark.createDataFrame(list(zip(exact, close)), "a int, b int")
+    assert quality.adjusted_rand(pairs, "a", "b").first()[0] > 0.9
+    assert ward.ward_labels(table.where("false"), "id", 3).count() == 0
+
+
 def test_ward_on_micro_clusters(matrix):
-    rows = ward.ward_labels(matrix, ID, 3, micro=60).collect()
+    rows = ward.ward_labels(matrix, ID, 3, leaves=60).collect()
     assert len(rows) == 400 and {r["HAC_Cluster"] for r in rows} == {0, 1, 2}
 
 
