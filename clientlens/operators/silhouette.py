@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from clientlens.session import stage
 
-CELL_ROWS = 128
+CELL_ROWS = 512
 MOST_CELLS = 4096
 SAMPLE_ROWS = 65_536
 BLOCK_ROWS = 4096
@@ -234,7 +234,7 @@ def euclidean_rows(df: DataFrame, id_col: str, vec_col: str, label_cols: list[st
     right = rows.join(blocks, "cell").withColumn("a", part("row_blocks")).withColumn("b", each("asker_blocks")).select(
         "cell", "a", "b", "x", "labels")
     opened = left.groupBy("cell", "a", "b").cogroup(right.groupBy("cell", "a", "b")).applyInArrow(
-        _compared, T.StructType([id_field, *T.StructType.fromDDL("run int, label int, distance double").fields]))
+        lambda asking, held: _compared(asking, held, bound == 0), T.StructType([id_field, *T.StructType.fromDDL("run int, label int, distance double").fields]))
     sums = opened.groupBy("id", "run", "label").agg(F.sum("distance").alias("distance"))
     known = base.join(sums, ["id", "run", "label"], "left").withColumn("total", F.col("closed") + F.coalesce("distance", F.lit(0.0)))
     per_row = known.groupBy("id", "run").agg(
@@ -248,9 +248,9 @@ def euclidean_rows(df: DataFrame, id_col: str, vec_col: str, label_cols: list[st
     return per_row.select(names.alias("run"), F.col("id").alias(id_col), "label", F.coalesce(score, F.lit(0.0)).alias("silhouette"))
 
 
-def _compared(left: pa.Table, right: pa.Table) -> pa.Table:
+def _compared(left: pa.Table, right: pa.Table, exact: bool) -> pa.Table:
     """(id, run, label, distance): sums of distances from each asking row to the rows of the labels it
-    asks for."""
+    asks for. ``exact`` takes differences, so that near rows keep all their digits."""
     names = ["id", "run", "label", "distance"]
     if not left.num_rows or not right.num_rows:
         return pa.table([left.column("id").slice(0, 0), *(pa.array([], k) for k in (pa.int32(), pa.int32(), pa.float64()))], names=names)
@@ -262,9 +262,16 @@ def _compared(left: pa.Table, right: pa.Table) -> pa.Table:
     run, label, out = code >> 32, code & 0xFFFFFFFF, np.zeros(len(code))
     step = max(1, (1 << 22) // len(b))
     for at in range(0, len(a), step):
-        squares = np.zeros((min(step, len(a) - at), len(b)))
-        for axis in range(a.shape[1]):  # differences, so that near rows keep their digits
-            squares += (a[at : at + step, axis][:, None] - b[None, :, axis]) ** 2
+        own = a[at : at + step]
+        if exact:
+            squares = np.zeros((len(own), len(b)))
+            for axis in range(a.shape[1]):
+                squares += (own[:, axis][:, None] - b[None, :, axis]) ** 2
+        else:
+            squares = own @ (-2 * b.T)
+            squares += (own * own).sum(axis=1)[:, None]
+            squares += (b * b).sum(axis=1)
+            np.maximum(squares, 0, out=squares)
         distance = np.sqrt(squares, out=squares)
         here = (row >= at) & (row < at + step)
         for number in np.unique(run[here]):
