@@ -5,17 +5,22 @@ The search needs, for a node, all nodes that occur on at least T of the inverted
 its shingles: the short lists are merged, and only nodes that reach T less the number of
 long lists are looked up in the long ones by binary search.
 
-What may link is brought together first, without loss. Sets are filed by size, and the
-hash values of shingles are cut into so many segments that alike sets of a size class have
-one equal, not empty segment at least: each differing shingle spoils one segment. A common
-line or passage therefore joins nobody; only sets that agree in a whole segment meet. Those
-few sets with so many empty segments that this argument fails share one of their smallest
-shingles instead. Nodes that meet, directly or in chains, form a neighbourhood.
-
-A neighbourhood of bounded size is searched by one task. A larger one is cut into tiles:
-each tile is searched, then one node stands for everything joined so far, and at last the
-nodes outside the largest part are searched against all tiles. Pairs that are joined already
-are never compared again and no pair is ever written, so groups of copies cost their size.
+What may link is brought together first, without loss. Linked sets have a fair part of
+their shingles with the smallest hashes in common; a node that holds too few of its own
+ones together with any other node has no link and is left out, however common a line or
+passage of it is. The sets that remain are filed by size, and the hash values of shingles
+are cut into so many segments that alike sets of a size class have one equal, not empty
+segment at least: each differing shingle spoils one segment. Those few sets with so many
+empty segments that this argument fails share one of their smallest shingles instead.
+Nodes that meet, directly or in chains, form a neighbourhood.
+
+A neighbourhood of bounded size is searched by one task. A larger one is first parted by its
+nodes' rarest shingles, with exact counts of how many of its nodes hold each: linked nodes
+share one of those. What is still larger is cut into tiles: each tile is searched, then one
+node stands for everything joined so far, and at last the nodes outside the largest part are
+searched against all tiles. Pairs that are joined already are never compared again and no
+pair is ever written, so groups of copies cost their size. Large families of texts that are
+almost alike enough, but are not, cost comparisons that grow with the square of the family.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,13 +41,17 @@ from clientlens.session import stage
 SHINGLE_WORDS = 5
 #: Links need LIKE[1] * intersection >= LIKE[0] * union.
 LIKE = (80, 100)
-#: Signatures a task holds before it passes them on, and those a receiving task holds.
-HELD_SIGNATURES = 1 << 20
+#: Shingles or signatures a task holds before it passes them on, and about those a receiving task holds.
+HELD_ENTRIES = 1 << 20
 #: Shingles and nodes of a tile.
 TILE_SHINGLES = 1 << 20
 TILE_NODES = 4096
+#: Rows up to which the list of wanted texts is broadcast (about 100 bytes each); texts are shuffled beyond.
+BROADCAST_ROWS = 1_000_000
 #: Texts a task remembers to skip their copies.
 REMEMBERED = 1 << 20
+#: Shingles that linked sets share among their smallest ones, as a share of all.
+SHARED_PART = (1, 10)
 #: Share of the extra segments that make up for empty ones.
 SPARE = 0.08
 _MU = 0.01  # weight of the long lists' cost in the split
@@ -155,31 +164,32 @@ def _lists(part: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list
     return parts, [pa.ListArray.from_arrays(offsets, pa.array(v[order].view(np.int64))) for v in values]
 
 
-def neighbours(texts: DataFrame, shingles: int, width: int, like: tuple[int, int], seed: int) -> DataFrame:
-    """(u, v): links whose components hold all linked nodes of the column ``text``.
+def _by_part(frame: DataFrame, entries, send, receive, parts: int) -> DataFrame:
+    """(part, a, b): pairs of lists, those of a row belonging to one of ``parts`` by their first value.
 
-    Signatures go to parts of bounded size, as arrays. A task passes on one node for each
-    signature it has collected, and links the others to it on the spot.
+    Entries (key, node) are collected from the batches of ``frame`` by ``entries`` and brought down
+    by ``send`` to (keys, nodes) to pass on and a finished pair of arrays. What is passed on goes as
+    arrays to parts of bounded size, where ``receive`` makes finished pairs of it.
     """
-    parts = max(1, -(-shingles // HELD_SIGNATURES))
+
+    def listed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+        return _lists((mixed(a >> np.uint64(1)) % np.uint64(parts)).astype(np.int64), [a, b])
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def told() -> Iterator[pa.RecordBatch]:
-            signature, first, u, v = _stars(*map(np.concatenate, zip(*held)))
-            for edge, a, b in ((False, signature, first), (True, u, v)):
+            key, node, u, v = send(*map(np.concatenate, zip(*held)))
+            for done, a, b in ((False, key, node), (True, u, v)):
                 if len(a):
-                    numbers, lists = _lists((mixed(a) % np.uint64(parts)).astype(np.int64), [a, b])
+                    numbers, lists = listed(a, b)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(numbers), pa.array(np.full(len(numbers), edge)), *lists], names=["part", "edge", "a", "b"])
+                        [pa.array(numbers), pa.array(np.full(len(numbers), done)), *lists], names=["part", "done", "a", "b"])
 
-        for given in _unseen(batches):
-            tokens, sizes = shingle_sets(given, width, seed)
-            signature, owner = signatures(tokens, sizes, like)
-            held.append((signature, set_keys(tokens, sizes)[0][owner]))
-            size += len(signature)
-            if size > HELD_SIGNATURES:
+        for found in entries(batches):
+            held.append(found)
+            size += len(found[0])
+            if size > HELD_ENTRIES:
                 yield from told()
                 held, size = [], 0
         if held:
@@ -188,16 +198,20 @@ def neighbours(texts: DataFrame, shingles: int, width: int, like: tuple[int, int
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
 
+        def finished(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(a):
+                numbers, lists = listed(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), *lists], names=["part", "a", "b"])
+
         def told() -> Iterator[pa.RecordBatch]:
             if held:
-                _, _, u, v = _stars(*map(np.concatenate, zip(*held)))
-                yield _pairs(u, v)
+                yield from finished(*receive(*map(np.concatenate, zip(*held))))
 
         for batch in batches:
             for row in range(batch.num_rows):
                 a, b = (batch.column(c)[row].values.to_numpy().view(np.uint64) for c in ("a", "b"))
-                if batch.column("edge")[row].as_py():
-                    yield _pairs(a, b)
+                if batch.column("done")[row].as_py():
+                    yield from finished(a, b)
                     continue
                 if batch.column("part")[row].as_py() != at:
                     yield from told()
@@ -205,8 +219,93 @@ def neighbours(texts: DataFrame, shingles: int, width: int, like: tuple[int, int
                 held.append((a.copy(), b.copy()))
         yield from told()
 
-    dealt = texts.select("text").mapInArrow(sent, "part long, edge boolean, a array<long>, b array<long>")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(met, "u long, v long").distinct()
+    dealt = frame.mapInArrow(sent, "part long, done boolean, a array<long>, b array<long>")
+    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(met, "part long, a array<long>, b array<long>")
+
+
+def _shared_locally(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One node for each key, the lowest bit of the key telling whether others share it here; and
+    (node, number of its keys that are shared here)."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    ends = np.append(begins[1:], len(key)) - 1
+    shared = node[begins] != node[ends]
+    counted, times = np.unique(node[np.repeat(shared, ends - begins + 1)], return_counts=True)
+    return key[begins] | shared.astype(np.uint64), node[begins], counted, times.astype(np.uint64)
+
+
+def _shared_across(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, number of its keys that nodes of other tasks share), without those told already."""
+    flag, key = key & np.uint64(1), key >> np.uint64(1)
+    order = np.lexsort((node, key))
+    key, node, flag = key[order], node[order], flag[order]
+    begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    ends = np.append(begins[1:], len(key)) - 1
+    shared = np.repeat(node[begins] != node[ends], ends - begins + 1)
+    counted, times = np.unique(node[shared & (flag == 0)], return_counts=True)
+    return counted, times.astype(np.uint64)
+
+
+def sharers(texts: DataFrame, nodes: DataFrame, shingles: int, width: int, like: tuple[int, int], seed: int) -> DataFrame:
+    """The rows of ``nodes`` (node, n, ...) that hold enough of their smallest shingles together with
+    other nodes to have a link.
+
+    Of n shingles in the order of their hashes the first n - ceil(n * like) + k are looked at, k
+    being ``SHARED_PART`` of n, rounded up. Two linked sets have as many of those in common as the
+    smaller of their k, and the smaller set has like * n shingles at least.
+    """
+    parts = max(1, -(-shingles * (like[1] - like[0]) // like[1] // HELD_ENTRIES))
+    tenth = lambda n: -(-n * SHARED_PART[0] // SHARED_PART[1])
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for given in _unseen(batches):
+            tokens, sizes = shingle_sets(given, width, seed)
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            looked_at = place < np.repeat(sizes - -(-sizes * like[0] // like[1]) + tenth(sizes), sizes)
+            owner = np.repeat(set_keys(tokens, sizes)[0], sizes)
+            yield tokens[looked_at] & ~np.uint64(1), owner[looked_at]
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if held:
+                node, times = map(np.concatenate, zip(*held))
+                different, place = np.unique(node, return_inverse=True)
+                sums = np.bincount(place, times).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(different), pa.array(sums)], names=["node", "times"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                if batch.column("part")[row].as_py() != at:
+                    yield from told()
+                    at, held = batch.column("part")[row].as_py(), []
+                held.append(tuple(batch.column(c)[row].values.to_numpy().copy() for c in ("a", "b")))
+        yield from told()
+
+    counts = _by_part(texts.select("text"), entries, _shared_locally, _shared_across, parts)
+    counts = counts.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(added, "node long, times long")
+    smaller = F.ceil(F.col("n") * like[0] / like[1] - 1e-9)
+    need = F.ceil(smaller * SHARED_PART[0] / SHARED_PART[1] - 1e-9)
+    return nodes.join(counts, "node").where(F.col("times") >= need).drop("times")
+
+
+def neighbours(texts: _Texts, wanted: DataFrame, shingles: int, like: tuple[int, int]) -> DataFrame:
+    """(u, v): links whose components hold all linked nodes of ``wanted`` (text_key, node).
+
+    A task passes on one node for each signature it has collected, and links the others to it
+    on the spot.
+    """
+    parts, width, seed = max(1, -(-shingles // HELD_ENTRIES)), texts.width, texts.seed
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part, given in _fresh(batches):
+            signature, owner = signatures(*shingle_sets(given, width, seed), like)
+            yield signature, part.column("node").to_numpy().view(np.uint64)[owner]
+
+    found = _by_part(texts.rows(wanted, []), entries, _stars, lambda *x: _stars(*x)[2:], parts)
+    return found.select(F.inline(F.arrays_zip(F.col("a").alias("u"), F.col("b").alias("v")))).distinct()
 
 
 def _pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -297,10 +396,10 @@ def linked(sets: list[np.ndarray], root: np.ndarray, tile: np.ndarray | None, li
 def _searched(units: DataFrame, like: tuple[int, int], compared: bool) -> DataFrame:
     """(u, v) found among the rows (unit, node, root, tile, shingles) of each unit.
 
-    ``compared`` says that rows of one tile have been compared with each other. Small units
+    A node may come more than once, from copies of its text. ``compared`` says that rows of one tile have been compared with each other. Small units
     are searched together; what links across them is a link all the same.
     """
-    ordered = units.repartition("unit").sortWithinPartitions("unit")
+    ordered = units.repartition("unit").sortWithinPartitions("unit", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -318,11 +417,13 @@ def _searched(units: DataFrame, like: tuple[int, int], compared: bool) -> DataFr
             lists = batch.column("shingles")
             flat, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
             for unit, node, root, tile, a, b in zip(*columns, offsets, offsets[1:]):
-                if unit != last and size > TILE_SHINGLES // 4:
+                if (unit, node) == last:
+                    continue
+                if last and unit != last[0] and size > TILE_SHINGLES // 4:
                     yield told(rows)
                     rows, size = [], 0
                 rows.append((node, root, tile, flat[a:b].copy()))
-                last, size = unit, size + b - a
+                last, size = (unit, node), size + b - a
         if rows:
             yield told(rows)
 
@@ -365,11 +466,16 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         seed += 1
     nodes = stage(full.groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.min("text_key").alias("text_key")), "nodes")
-    shingles = nodes.agg(F.sum("n")).first()[0] or 0
-    near = smallest_reachable(stage(neighbours(source, shingles, width, like, seed), "neighbours"))
-    placed = nodes.join(near.withColumnRenamed("root", "group"), "node").select("node", "n", "text_key", "group")
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    close = stage(sharers(source, nodes, nodes.agg(total).first()[0], width, like, seed), "sharers")
+    texts = _Texts(source, width, seed)
+    near = stage(neighbours(texts, close, close.agg(total).first()[0], like), "neighbours")
+    placed = close.join(smallest_reachable(near).withColumnRenamed("root", "group"), "node").select("node", "n", "text_key", "group")
     held = stage(_tiled(stage(placed, "placed")), "tiled")
-    links = stage(_search_rounds(source, held, width, like, seed), "links")
+    if held.where("tiles > 1").take(1):
+        parted = _parted(texts, held.where("tiles > 1").drop("tiles", "tile"), like)
+        held = stage(held.where("tiles = 1").unionByName(_tiled(parted), allowMissingColumns=True), "tiled")
+    links = stage(_search_rounds(texts, held, like), "links")
     found = nodes.select("node", "first_id").join(smallest_reachable(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = found.groupBy("root").agg(F.min("first_id").alias("component_id"))
     components = stage(found.join(lowest, "root").select("node", "component_id"), "components")
@@ -388,53 +494,99 @@ def _described(source: DataFrame, width: int, seed: int) -> DataFrame:
             for a, b in chunks(texts):
                 tokens, sizes = shingle_sets(texts[a:b], width, seed)
                 out.append(np.stack([sizes, *(k.view(np.int64) for k in set_keys(tokens, sizes))]))
-            keys = pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())
             columns = [pa.array(c) for c in np.concatenate(out, axis=1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, keys], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, batch.column("text_key")], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.withColumn("text_key", _text_key()).mapInArrow(run, schema)
 
 
-def _search_rounds(source: DataFrame, held: DataFrame, width: int, like: tuple[int, int], seed: int) -> DataFrame:
-    """(u, v): links that join all linked nodes of ``held`` (node, n, text_key, group, tiles, tile)."""
+def _text_key() -> Column:
+    return F.unhex(F.md5("text"))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for given in _unseen(batches):
-            keys = [xxhash.xxh3_128_digest(t) for t in given]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(given, pa.binary())], names=["text_key", "text"])
 
-    def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = byte_values(batch.column("text"))
-            for a, b in chunks(texts):
-                tokens, sizes = shingle_sets(texts[a:b], width, seed)
+class _Texts:
+    """Gives the shingles of wanted nodes, from the texts."""
+
+    def __init__(self, source: DataFrame, width: int, seed: int) -> None:
+        self.source, self.width, self.seed = source, width, seed
+
+    def of(self, wanted: DataFrame, carry: list[str]) -> DataFrame:
+        """``carry`` columns and ``shingles`` for the rows of ``wanted`` (text_key, node, ...), a written
+        table; a row comes again from every task that reads a copy of its text."""
+        width, seed = self.width, self.seed
+        schema = T.StructType([*(wanted.schema[c] for c in carry), *T.StructType.fromDDL("shingles array<long>").fields])
+
+        def with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, given in _fresh(batches):
+                tokens, sizes = shingle_sets(given, width, seed)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
                 sets = pa.ListArray.from_arrays(offsets, pa.array(tokens.view(np.int64)))
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in _PLACED), sets], names=[*_PLACED, "shingles"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), sets], names=[*carry, "shingles"])
+
+        return self.rows(wanted, carry).mapInArrow(with_set, schema)
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        texts = source.select("text").mapInArrow(keyed, "text_key binary, text binary")
-        chosen = texts.join(wanted.select("text_key", *_PLACED), "text_key").dropDuplicates(["text_key"])
-        return chosen.mapInArrow(with_set, "node long, group long, tile int, tiles int, shingles array<long>")
+    def rows(self, wanted: DataFrame, carry: list[str]) -> DataFrame:
+        """(text, node, ``carry``): the texts that are wanted, with all their copies."""
+        asked = wanted.select("text_key", "node", *[c for c in carry if c != "node"])
+        texts = self.source.select("text", _text_key().alias("text_key"))
+        joined = texts.join(F.broadcast(asked) if wanted.count() <= BROADCAST_ROWS else asked, "text_key")
+        return joined.drop("text_key")
 
+
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches (text, node, ...) of about 1 MB of text, without nodes the task has just
+    seen."""
+    seen: set[int] = set()
+    for batch in batches:
+        kept = [i for i, node in enumerate(batch.column("node").to_pylist()) if not (node in seen or seen.add(node))]
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        part = batch.take(pa.array(kept, pa.int32()))
+        texts = byte_values(part.column("text"))
+        for a, b in chunks(texts):
+            yield part.slice(a, b - a), texts[a:b]
+
+
+def _parted(texts: _Texts, rows: DataFrame, like: tuple[int, int]) -> DataFrame:
+    """``rows`` (node, n, text_key, group) that share one of the rarest shingles of both with another
+    one, under a group of those that do, directly or in chains.
+
+    Of ``n`` shingles, ordered by the number of nodes that hold them, the first
+    n - ceil(n * like) + 1 are looked at; a linked node has one of them among its own first ones.
+    """
+    rows = stage(rows, "large")
+    held = stage(texts.of(rows, ["node", "n"]).select("node", "n", F.explode("shingles").alias("shingle")), "shingles")
+    counts = held.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    per_node = held.join(counts, "shingle").groupBy("node").agg(
+        F.first("n").alias("n"), F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")  # these come first
+    looked_at = F.greatest(F.col("n") - F.ceil(F.col("n") * like[0] / like[1] - 1e-9) + 1 - alone, F.lit(0)).cast("int")
+    kept = stage(per_node.select("node", F.explode(F.slice("shared", F.lit(1), looked_at)["shingle"]).alias("shingle")), "kept")
+    first = kept.groupBy("shingle").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last").drop("last")
+    links = kept.join(first, "shingle").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    roots = smallest_reachable(links).withColumnRenamed("root", "group")
+    return stage(rows.drop("group").join(roots, "node"), "parted")
+
+
+def _search_rounds(texts: _Texts, held: DataFrame, like: tuple[int, int]) -> DataFrame:
+    """(u, v): links that join all linked nodes of ``held`` (node, n, text_key, group, tiles, tile)."""
     unit = lambda *parts: F.xxhash64("group", *parts).alias("unit")
     columns = ["node", F.col("node").alias("root"), "tile", "shingles"]
-    small = _searched(sets_of(held.where("tiles = 1")).select(unit("tile"), *columns), like, False)
+    placed = ["node", "group", "tile", "tiles"]
+    small = _searched(texts.of(held.where("tiles = 1"), placed).select(unit("tile"), *columns), like, False)
     if not held.where("tiles > 1").take(1):
         return small
-    large = stage(sets_of(held.where("tiles > 1")), "sets")
+    large = stage(texts.of(held.where("tiles > 1"), placed), "sets")
     links = stage(_searched(large.select(unit("tile"), *columns), like, False), "links")
 
     # one node for all that is joined so far
-    placed = held.where("tiles > 1").select("node", "n", "group")
-    first = _tiled(stage(_joined_by(links, placed).where("node = root").drop("root"), "first"))
+    members = held.where("tiles > 1").select("node", "n", "group")
+    first = _tiled(stage(_joined_by(links, members).where("node = root").drop("root"), "first"))
     again = large.select("node", "group", "shingles").join(stage(first.select("node", "tile"), "first"), "node")
     links = stage(links.unionByName(_searched(again.select(unit("tile"), *columns), like, False)), "links")
 
     # what is outside the largest part of its group asks all tiles
-    rooted = stage(_joined_by(links, placed), "rooted")
+    rooted = stage(_joined_by(links, members), "rooted")
     parts = rooted.groupBy("group", "root").agg(F.count("*").alias("rows")).groupBy("group").agg(
         F.max_by("root", F.struct("rows", "root")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     left = stage(rooted.join(stage(parts, "parts"), "group").withColumn("asks", F.col("root") != F.col("largest")), "left")
@@ -451,9 +603,6 @@ def _search_rounds(source: DataFrame, held: DataFrame, width: int, like: tuple[i
     return small.unionByName(links).unionByName(last)
 
 
-_PLACED = ["node", "group", "tile", "tiles"]
-
-
 def op11_jaccard_join(spark, folder: str) -> DataFrame:
     """Set size and component of every document."""
     return join_similar(spark.read.parquet(f"{folder}/documents.parquet"))

@@ -98,6 +98,20 @@ def test_every_linked_pair_shares_a_signature():
                     assert held[i] & held[j]
 
 
+def test_nodes_without_enough_shared_shingles_have_no_link(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    rows = jaccard_join._described(docs, 5, 0).where("n_shingles > 0")
+    nodes = rows.groupBy("node").agg(F.min("n_shingles").alias("n"), F.min("text_key").alias("text_key"))
+    left = jaccard_join.sharers(docs, nodes, 400_000, 5, (80, 100), 0).select("node")
+    out = {r["doc_id"] for r in rows.join(left, "node", "left_anti").collect()}
+    assert len(out) > 0.3 * rows.count()
+    groups = jaccard_join.join_similar(docs)
+    sets = {r["doc_id"]: five_word_set(r["text"]) for r in docs.collect() if r["doc_id"] in out}
+    for a in sorted(sets)[:60]:
+        assert all(sets[a] == s or 100 * len(sets[a] & s) < 80 * len(sets[a] | s) for s in sets.values())
+    assert groups.where(~F.col("doc_id").isin(list(out))).count() == docs.count() - len(out)
+
+
 def test_occurrence_search_skips_long_lists():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.choice(60, rng.integers(3, 40))) for _ in range(80)]
