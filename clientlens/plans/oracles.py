@@ -424,6 +424,22 @@ _RECORD_DEFAULTS = ", ".join(
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
     sql["customer_table"] = f"{_CUST} SELECT * FROM cust"
+    named = [("Customer_ID", "Account ID"), ("Recency_Days", "Days Since Last Order"), ("Frequency_Orders", "Order Count"), ("Monetary_Spend", "Total-Spend")]
+    held = {"Engagement_Score", "Discount_Ratio", "Preferred_Channel"}
+    told = [("rename", c, f"column '{s}' read as {c}") for c, s in named]
+    told += [("default", c, f"column was absent and holds {v}") for c, v in catalog.OPTIONAL_DEFAULTS.items() if c not in held]
+    told += [("derived", "Avg_Order_Value", "computed from spend and orders"),
+             ("derived", "Churn_Risk_Index", "computed from recency, orders, engagement and tickets")]
+    quoted = lambda t: "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in t) + ")"
+    medians = {"Recency_Days": "r", "Frequency_Orders": "f", "Monetary_Spend": "m", "Engagement_Score": "e", "Discount_Ratio": "d"}
+    sql["conform_warnings"] = f"""WITH {_RAW} SELECT * FROM (VALUES {', '.join(map(quoted, told))}) t(rule, "column", message)""" + "".join(
+        f" UNION ALL SELECT 'impute', '{c}', 'missing values hold ' || CAST(median({e}) AS VARCHAR) FROM raw HAVING count(*) > count({e})"
+        for c, e in medians.items())
+    sql["upload_lines"] = """WITH k AS (SELECT c_custkey AS id, c_custkey % 10 AS r, c_nationkey AS n, c_mktsegment AS s FROM customer)
+SELECT CASE WHEN r NOT IN (1, 2, 3, 4) THEN CAST(id AS BIGINT) END AS customer_id, CASE WHEN r NOT IN (1, 2, 3, 4, 5) THEN CAST(n AS INTEGER) END AS nation,
+  CASE WHEN r = 5 THEN s || ', Inc' WHEN r NOT IN (1, 2, 3, 4) THEN s END AS segment,
+  CASE r WHEN 1 THEN id || ',' || n WHEN 2 THEN id || ',' || n || ',' || s || ',more' WHEN 3 THEN id || ',"' || n || ',' || s WHEN 4 THEN id || ',n/a,' || s END AS line,
+  CASE r WHEN 1 THEN 'too few fields' WHEN 2 THEN 'too many fields' WHEN 3 THEN 'open quote' WHEN 4 THEN 'unreadable value' END AS reason FROM k"""
     sql["conform_clip"] = f"""WITH {_RAW},
 med AS (SELECT median(r) AS r, median(f) AS f, median(e) AS e FROM raw),
 fil AS (SELECT Customer_ID, coalesce(raw.r, med.r) AS r, coalesce(raw.f, med.f) AS f, m, coalesce(raw.e, med.e) AS e, d, ch FROM raw, med),

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clientlens.functions.expressions import rounded
 from clientlens.functions import catalog, churn
@@ -132,6 +133,25 @@ def conform_warnings(spark, folder):
     return conform.conform(_raw_extract(spark, folder)).warning_table()
 
 
+def upload_lines(spark, folder):
+    """A customer export some of whose lines are broken; each line is read or rejected."""
+    key = F.col("c_custkey")
+    line = F.concat_ws(",", key, "c_nationkey", "c_mktsegment")
+    broken = (
+        F.when(key % 10 == 1, F.concat_ws(",", key, "c_nationkey")).when(key % 10 == 2, F.concat(line, F.lit(",more")))
+        .when(key % 10 == 3, F.concat(key.cast("string"), F.lit(',"'), F.col("c_nationkey").cast("string"), F.lit(","), F.col("c_mktsegment")))
+        .when(key % 10 == 4, F.concat(key.cast("string"), F.lit(",n/a,"), F.col("c_mktsegment")))
+        .when(key % 10 == 5, F.concat(key.cast("string"), F.lit(",,"), F.lit('"'), F.col("c_mktsegment"), F.lit(', Inc"'))).otherwise(line)
+    )
+    path = new_path(spark, "export")
+    tables.table(spark, folder, "customer").select(broken.alias("value")).write.text(path)
+    schema = T.StructType.fromDDL("customer_id long, nation int, segment string")
+    rows, rejected = uploads.read_checked(spark, path, schema, header=False)
+    none = lambda kind: F.lit(None).cast(kind)
+    return rows.select("*", none("string").alias("line"), none("string").alias("reason")).unionByName(
+        rejected.select(none("long").alias("customer_id"), none("int").alias("nation"), none("string").alias("segment"), "line", "reason"))
+
+
 def arrival_ids(spark, folder):
     """Generated ids; the row order of a file is not a SQL notion, so only counts are shown."""
     numbered = conform.with_arrival_ids(tables.table(spark, folder, "customer").select("c_custkey"))
@@ -739,8 +759,18 @@ def ward_labels(spark, folder):
     return ward.ward_labels(_fixed(spark, folder)[1], "Customer_ID", _grid(spark, folder)[2])
 
 
+def _density_grid(spark, folder):
+    return _fitted(spark, folder, "density", lambda: stage(
+        dbscan.tune(_fixed(spark, folder)[1], "Customer_ID", "features"), "density"))
+
+
 def dbscan_tune(spark, folder):
-    return dbscan.tune(_fixed(spark, folder)[1], "Customer_ID", "features")
+    return _density_grid(spark, folder)
+
+
+def answer_density_tuned(spark, folder):
+    """AGG-15 with the best setting of the tuning grid."""
+    return answers.density_answer(segmented(spark, folder), "Density_Label", _density_grid(spark, folder))
 
 
 def kmeans_stability(spark, folder):
@@ -917,11 +947,13 @@ EXACT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # results that depend on learned models or on text without a SQL counterpart
 ROWS_ONLY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "conform_warnings": conform_warnings,
+    "upload_lines": upload_lines,
     "kmeans_grid": kmeans_grid,
     "gmm_bic": gmm_bic,
     "gmm_memberships": gmm_memberships,
     "ward_labels": ward_labels,
     "dbscan_tune": dbscan_tune,
+    "answer_density_tuned": answer_density_tuned,
     "kmeans_stability": kmeans_stability,
     "automl_board": automl_board,
     "pca3": pca3,

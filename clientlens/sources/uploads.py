@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clientlens.functions import catalog
-from clientlens.session import path_exists, small_table
+from clientlens.session import path_exists, small_table, stage
 
 MIN_UPLOAD_ROWS = 5
 
@@ -24,6 +25,32 @@ def read_upload(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return df
 
 
+def read_checked(spark: SparkSession, path: str, schema: T.StructType, separator: str = ",", header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected): a CSV of known columns, with every line in one of the two.
+
+    Lines that do not give a value for each column - too few or too many fields, an open
+    quote, text where a number belongs - are rejected with their ``line`` and the ``reason``.
+    An empty field is a null, no reason to reject. Blank lines hold no record.
+    """
+    lost = "_corrupt_record"
+    full = T.StructType([*schema.fields, T.StructField(lost, T.StringType())])
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    if header:
+        named = lines.first()  # every file of an upload begins with it
+        lines = lines.where(F.col("value") != F.lit(named["value"])) if named else lines
+    options = {"sep": separator, "escape": "\"", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": lost}
+    read = stage(lines.select("value", F.from_csv("value", full.toDDL(), options).alias("r")), "upload")
+    line, count = F.col("value"), lambda text, part: F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))
+    open_quote = count(line, '"') % 2 == 1  # the parser would take the rest of the line for the field
+    fields = count(F.regexp_replace(line, '"[^"]*"', ""), separator) + 1
+    reason = (
+        F.when(open_quote, "open quote").when(fields < len(schema), "too few fields")
+        .when(fields > len(schema), "too many fields").otherwise("unreadable value")
+    )
+    broken = open_quote | F.col(f"r.{lost}").isNotNull()
+    return read.where(~broken).select("r.*").drop(lost), read.where(broken).select(line.alias("line"), reason.alias("reason"))
+
+
 def upload_schema(spark: SparkSession) -> DataFrame:
     """Required and optional columns with their ranges and defaults."""
     names = sorted(catalog.CORE_COLUMNS) + ["Customer_ID"] + list(catalog.OPTIONAL_DEFAULTS)

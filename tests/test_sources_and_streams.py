@@ -144,3 +144,19 @@ def test_training_run(spark, nine):
         assert uploads.model_info(sinks.current_run(spark, folder)).first()["production_model"] == model
     with pytest.raises(ValueError):
         training.train(nine.drop("Monetary_Spend"), folder=new_path(spark, "bad"))
+
+
+def test_no_line_of_an_upload_is_lost(spark):
+    """Short, long, badly quoted and unreadable lines; quoted separators, blanks and empty fields are fine."""
+    from pyspark.sql import types as T
+
+    good = ["1,2.5,ann", '2,,"b, c"', "3,1e3,", '4,7,"say ""so"""']
+    bad = {"5,1": "too few fields", "6,1,x,y": "too many fields", '7,1,"open': "open quote", "eight,1,x": "unreadable value",
+           "9": "too few fields", '"a,b",1,x,y': "too many fields"}
+    path = new_path(spark, "lines")
+    spark.createDataFrame([(x,) for x in [*good, "", *bad]], "value string").coalesce(1).write.text(path)
+    schema = T.StructType.fromDDL("id long, spend double, name string")
+    rows, rejected = uploads.read_checked(spark, path, schema, header=False)
+    assert {r["line"]: r["reason"] for r in rejected.collect()} == bad
+    assert sorted(map(tuple, rows.collect())) == [(1, 2.5, "ann"), (2, None, "b, c"), (3, 1000.0, None), (4, 7.0, 'say "so"')]
+    assert rows.columns == ["id", "spend", "name"]
