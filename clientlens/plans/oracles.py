@@ -650,5 +650,6 @@ SELECT *, round_even(least(greatest(0.45e0 * least(Recency_Days / 365e0, 1e0) +
   '{{"customer_id":"' || Customer_ID || '","recency_days":' || Recency_Days || '}}' AS details, First_Order_Month AS created_at
   FROM cust WHERE Churn_Risk_Index > 0.7e0 OR Support_Tickets >= 3)
 SELECT {_digest('alert_', 'alert_type', 'customer_id', 'tenant_id', 'created_at', 'details')} AS id, * FROM a"""
-    sql["ingest_log_stream"] = sql["transaction_log"]
+    sql["ingest_log_stream"] = sql["ingest_once_stream"] = sql["transaction_log"]
+    sql["alert_once_stream"] = sql["alert_stream"]
     return sql

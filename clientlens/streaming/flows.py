@@ -1,7 +1,8 @@
-"""Ingest, scoring and alerts as stateless streams.
+"""Ingest, scoring and alerts as streams.
 
 Each transformation is the batch operator itself, so a stream yields what a batch over the
-same records yields. Sinks append; checkpoints go to the shared folder.
+same records yields; ``once`` adds the state that keeps repeats out. Sinks append;
+checkpoints go to the shared folder.
 """
 
 from __future__ import annotations
@@ -71,6 +72,26 @@ def alerts(df: DataFrame, created_at: Column, tenant: Column | None = None) -> D
     )
 
 
+def once(df: DataFrame, keys: list[str], within: str = "7 days") -> DataFrame:
+    """Of rows with equal ``keys`` that arrive ``within`` that time the first one only.
+
+    Time is that of arrival, so no row is ever late, however old the record is; the state
+    forgets a key when the time has passed.
+    """
+    timed = df.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", within)
+    return timed.dropDuplicatesWithinWatermark(keys).drop("_arrived")
+
+
+def transactions_once(df: DataFrame) -> DataFrame:
+    """ST-1: log rows of which a record sent again adds none."""
+    return once(transactions(df), ["id"])
+
+
+def alerts_once(df: DataFrame, created_at: Column, tenant: Column | None = None) -> DataFrame:
+    """ST-3: one alert for each tenant, customer and kind within the time of ``once``."""
+    return once(alerts(df, created_at, tenant), ["tenant_id", "customer_id", "alert_type"])
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, partition_by: str | None = None):
     """Append everything available to a Parquet table, then stop."""
     writer = (
@@ -85,12 +106,13 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, partition_by: s
 
 
 def replay(
-    spark: SparkSession, records: DataFrame, transform: Callable[[DataFrame], DataFrame], name: str
+    spark: SparkSession, records: DataFrame, transform: Callable[[DataFrame], DataFrame], name: str, sent: int = 1
 ) -> DataFrame:
-    """Write ``records`` as files, stream them through ``transform``, read the sink."""
-    source, sink = new_path(spark, f"{name}-in"), new_path(spark, f"{name}-out")
-    records.write.parquet(source)
-    stream = spark.readStream.schema(records.schema).parquet(source)
-    out = transform(stream)
-    run_available(out, sink, new_path(spark, f"{name}-state"))
+    """Write ``records`` as files, stream them through ``transform``, read the sink. With ``sent`` the
+    records come so often, each time in a run of its own that goes on from the state of the last."""
+    source, sink, state = (new_path(spark, f"{name}-{part}") for part in ("in", "out", "state"))
+    for _ in range(sent):
+        records.write.mode("append").parquet(source)
+        out = transform(spark.readStream.schema(records.schema).parquet(source))
+        run_available(out, sink, state)
     return spark.read.schema(out.schema).parquet(sink)

@@ -160,3 +160,20 @@ def test_no_line_of_an_upload_is_lost(spark):
     assert {r["line"]: r["reason"] for r in rejected.collect()} == bad
     assert sorted(map(tuple, rows.collect())) == [(1, 2.5, "ann"), (2, None, "b, c"), (3, 1000.0, None), (4, 7.0, 'say "so"')]
     assert rows.columns == ["id", "spend", "name"]
+
+
+def test_a_record_sent_again_adds_nothing_and_old_records_are_not_late(spark):
+    record = lambda i, month: (str(i), 10 * i, 3, 50.0, month, None)
+    first = spark.createDataFrame([record(i, "2024-05") for i in range(6)], flows.INGEST_SCHEMA)
+    source, sink, state = (new_path(spark, f"again-{part}") for part in ("in", "out", "state"))
+
+    def run(records):
+        records.write.mode("append").parquet(source)
+        flows.run_available(flows.transactions_once(spark.readStream.schema(flows.INGEST_SCHEMA).parquet(source)), sink, state)
+        return {r["customer_id"]: r["created_at"] for r in spark.read.parquet(sink).collect()}, spark.read.parquet(sink).count()
+
+    assert run(first.unionByName(first))[1] == 6
+    assert run(first)[1] == 6
+    old = spark.createDataFrame([record(7, "1990-01"), record(2, "2024-05")], flows.INGEST_SCHEMA)
+    found, count = run(old)
+    assert count == 7 and found["7"] == "1990-01"
