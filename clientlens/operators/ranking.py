@@ -323,20 +323,39 @@ def with_percent_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Average-tie percentile rank of each column as ``<column>_pct``.
 
     Ranks are worked out once per distinct value and joined back, so a value shared by a
-    third of all rows is one row while ranking. The ranked values are written first: their
-    known size decides whether the join back broadcasts them or shuffles and splits.
+    third of all rows is one row while ranking. All columns are counted in one shuffle as
+    (column, value, n); totals of fixed ranges of values, and a window inside each range,
+    give the rows before a value. The ranked values are written: their known size decides
+    whether a join back broadcasts them or shuffles and splits.
     """
+    if not columns:
+        return df
+    values = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)])
+    counts = stage(
+        df.select(F.inline(values)).where(F.col("_v").isNotNull()).groupBy("_i", "_v").agg(F.count("*").alias("_c")), "values"
+    )
+    own = lambda i: F.col("_i") == i
+    piece, last = F.lit(None).cast("int"), []
+    distinct = {r["_i"]: r["n"] for r in counts.groupBy("_i").agg(F.count("*").alias("n")).collect()}  # one row a column
+    for i in range(len(columns)):
+        few = distinct.get(i, 0) <= SORT_ROWS
+        cuts = [] if few else _split_points(counts.where(own(i)), "_v")
+        piece = F.when(own(i), range_piece(F.col("_v"), cuts, len(last))).otherwise(piece)
+        last += [i] * (len(cuts) + 1)
+    ranged = counts.withColumn("_p", piece)
+    totals = {r["_p"]: r["t"] for r in ranged.groupBy("_p").agg(F.sum("_c").alias("t")).collect()}  # one row a range
+    before, rows = [], [0] * len(columns)
+    for number, i in enumerate(last):
+        before.append(rows[i])
+        rows[i] += totals.get(number, 0)
+    at = lambda numbers, place: F.element_at(F.array(*[F.lit(n).cast("long") for n in numbers]), place + 1)
+    earlier = F.coalesce(F.sum("_c").over(Window.partitionBy("_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = (at(before, F.col("_p")) + earlier + (F.col("_c") + 1) / 2) / at(rows, F.col("_i"))
+    ranked = stage(ranged.select("_i", "_v", share.alias("_share")), "ranked")
     out = df
-    for column in columns:
-        present = df.where(F.col(column).isNotNull())
-        rows = df.agg(F.count(column))
-        counts = present.groupBy(column).agg(F.count("*").alias("_c"))
-        ranked = with_running_total(counts, column, F.col("_c"), "_b").select(
-            F.col(column).alias("_key"),
-            ((F.col("_b") + (F.col("_c") + 1) / 2) / rows.scalar()).alias(f"{column}_pct"),
-        )
-        ranked = stage(ranked, "ranked")
-        out = out.join(ranked, out[column] == ranked["_key"], "left").drop("_key")
+    for i, column in enumerate(columns):
+        found = ranked.where(own(i)).select(F.col("_v").alias("_key"), F.col("_share").alias(f"{column}_pct"))
+        out = out.join(found, out[column].cast("double") == found["_key"], "left").drop("_key")
     return out
 
 
