@@ -12,6 +12,7 @@ whole and no task holds more than one bounded automaton.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -133,7 +134,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     out = docs.drop(*_FOUND)
     for block in range(blocks):
         rows = numbered.where(F.col("block") == block).orderBy("window").collect()  # about block_windows rows
-        name = f"{docs.sparkSession.sparkContext.applicationId}-{id(held)}-{block}"
+        name = uuid.uuid4().hex  # workers keep the automaton built under it
         out = _scan(stage(out, "scanned") if block else out, name, rows, text_col, block > 0)
     return out
 

@@ -12,19 +12,17 @@ copies is expanded into pairs, and no link is lost.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clientlens.llm.components import smallest_reachable
-from clientlens.llm.text import byte_values, chunks, mixed, word_hashes
+from clientlens.llm.text import byte_values, chunks
 from clientlens.session import stage
 
 SHINGLE_WORDS = 3
@@ -32,16 +30,6 @@ RADIUS = 2
 SEED = 42
 BLOCKS = 4
 TILE_ROWS = 256
-#: Of the similarity search: bits that may differ, blocks of bits, how many of them agree (all for
-#: its first pass), similarity.
-WIDE_RADIUS = 12
-WIDE_BLOCKS = 8
-WIDE_AGREE = 2
-SIMILARITY = 0.8
-#: Rows of the sample that tells which shingles are frequent, and how many of those are noted.
-ORDER_ROWS = 5_000
-ORDER_SHINGLES = 50_000
-_FOLD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _fingerprints_of(texts: list[bytes], shingle_words: int, seed: int) -> np.ndarray:
@@ -145,22 +133,11 @@ def _forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return prints[moved], prints[roots[moved]]
 
 
-def _nearest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each fingerprint the closest one before it, if within the radius."""
-    apart = np.bitwise_count(prints[:, None] ^ prints[None, :]).astype(np.int64)
-    apart[np.triu_indices(len(prints))] = 65
-    best = apart.argmin(axis=1)
-    near = np.flatnonzero(apart[np.arange(len(prints)), best] <= radius)
-    return prints[near], prints[best[near]]
-
-
 def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, blocks: int = BLOCKS,
-          agree: int = BLOCKS - RADIUS, nearest: bool = False) -> DataFrame:
+          agree: int = BLOCKS - RADIUS) -> DataFrame:
     """(u, v): links that join all distinct fingerprints within ``radius`` bits, if ``agree``
-    is ``blocks - radius`` at most. With ``nearest``, links are pairs within the radius:
-    each fingerprint with the closest smaller one of every pair of tiles it is in."""
+    is ``blocks - radius`` at most."""
     units = _units(nodes, radius, tile_rows, blocks, agree)
-    joined = _nearest if nearest else _forest
     ordered = units.repartition("unit").sortWithinPartitions("unit", "fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +156,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, bl
                 a = a[np.bitwise_count(fp[a] ^ fp[a + step]) <= radius]
                 us.append(fp[a + step]), vs.append(fp[a])
             for at, size in zip(begins[sizes > 16], sizes[sizes > 16]):
-                for found, into in zip(joined(fp[at : at + size], radius), (us, vs)):
+                for found, into in zip(_forest(fp[at : at + size], radius), (us, vs)):
                     into.append(found)
             columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)]
             return pa.RecordBatch.from_arrays(columns, names=["u", "v"])
@@ -214,210 +191,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _named(prints, nodes, smallest_reachable(found), id_col)
 
 
-def _shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
-    """Sorted distinct hashes of the runs of ``width`` words; a shorter text is one run."""
-    for first, last in chunks(texts):
-        codes, counts = word_hashes([t.lower() for t in texts[first:last]])
-        runs = max(len(codes) - width + 1, 0)
-        folded = _folded([codes[k : k + runs] for k in range(width)])
-        at = 0
-        for count in counts.tolist():
-            if count >= width:
-                yield np.unique(folded[at : at + count - width + 1])
-            else:
-                yield _folded([codes[at + k : at + k + 1] for k in range(count)] or [np.zeros(1, np.uint64)])
-            at += count
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches of about 1 MB of text, with their texts."""
-    for batch in batches:
-        texts = byte_values(batch.column("text"))
-        for a, b in chunks(texts):
-            yield batch.slice(a, b - a), texts[a:b]
-
-
-def _node(found: np.ndarray) -> int:
-    """The hash of a sorted set, as a signed number."""
-    return (xxhash.xxh64_intdigest(found.tobytes(), SEED) ^ (1 << 63)) - (1 << 63)
-
-
-def _folded(parts: list[np.ndarray]) -> np.ndarray:
-    out = parts[0]
-    for part in parts[1:]:
-        out = mixed(out * _FOLD + part)
-    return out
-
-
-def _common_shingles(source: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, counts) of shingles frequent in a sample; they only order prefixes."""
-    rows, top = source.count(), 1 << 31
-    cut = math.ceil(min(1.0, ORDER_ROWS / max(rows, 1)) * top)
-    sample = source.where(F.pmod(F.xxhash64("text"), F.lit(top)) < cut).select("text").distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, given in _pieces(batches):
-            for found in _shingle_sets(given, width):
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
-
-    counts = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    found = counts.orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).toArrow()
-    hashes = found.column("shingle").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], found.column("n").to_numpy()[order]
-
-
-def _prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The rarest shingles of a set, so many that similar sets share one of them."""
-    hashes, counts = common
-    weight = np.zeros(len(found), dtype=np.int64)
-    if len(hashes):
-        place = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-        weight = np.where(hashes[place] == found, counts[place], 0)
-    size = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1
-    return found[np.lexsort((found, weight))[:size]]
-
-
-def _candidates(postings: DataFrame, similarity: float, tile_rows: int) -> DataFrame:
-    """(u, v): all pairs of nodes that share a prefix shingle, are not known to be joined
-    and whose sizes and places of the shingle leave room for ``similarity``."""
-    own_list = Window.partitionBy("shingle")  # one shuffle; a list is as long as a shingle is frequent in prefixes
-    placed = postings.select(
-        "*", F.ceil(F.count("*").over(own_list) / tile_rows).cast("int").alias("tiles"),
-        F.min("root").over(own_list).alias("low"), F.max("root").over(own_list).alias("high"),
-    ).where("low <> high").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    # short lists are one unit; else one unit for each pair of tiles
-    pair = F.when(F.col("tiles") <= 2, F.array(F.array(F.lit(-1), F.lit(-1)))).otherwise(F.transform(
-        F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.array(F.least(j, "own"), F.greatest(j, "own"))))
-    units = placed.select("shingle", "node", "root", "size", "pos", "own", F.explode(pair).alias("pair"))
-    # rows of one tile are compared in the unit of that tile alone
-    tile = F.when(F.col("pair")[0] == F.col("pair")[1], -1).otherwise(F.col("own"))
-    columns = ["unit", "node", "root", "size", "pos", "tile"]
-    units = units.withColumn("unit", F.xxhash64("shingle", "pair")).withColumn("tile", tile.cast("long")).select(*columns)
-    ordered = units.repartition("unit").sortWithinPartitions("unit")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-
-        def pairs(part: np.ndarray) -> Iterator[pa.RecordBatch]:
-            begins = np.flatnonzero(np.concatenate(([True], part[0, 1:] != part[0, :-1])))
-            us, vs, held = [], [], 0
-            for at, end in zip(begins, np.append(begins[1:], part.shape[1])):
-                _, node, root, size, pos, tile = part[:, at:end]
-                apart = (tile[:, None] != tile[None, :]) | (tile < 0)
-                i, j = np.nonzero(apart & (root[:, None] != root[None, :]) & (node[:, None] > node[None, :]))
-                # common shingles at most: those before this one, and those from it on
-                most = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
-                fits = (most + 1e-9) * (1 + similarity) >= similarity * (size[i] + size[j])
-                us.append(node[i[fits]]), vs.append(node[j[fits]])
-                held += int(fits.sum())
-                if held > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], names=["u", "v"])
-                    us, vs, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs)], names=["u", "v"])
-
-        for batch in batches:
-            part = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
-            part = part if rest is None else np.concatenate([rest, part], axis=1)
-            cut = int(np.searchsorted(part[0], part[0, -1])) if part.shape[1] else 0
-            rest = part[:, cut:]
-            if cut:
-                yield from pairs(part[:, :cut])
-        if rest is not None and rest.shape[1]:
-            yield from pairs(rest)
-
-    return ordered.mapInArrow(run, "u long, v long").distinct()
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs of nodes whose sets of shingles reach ``similarity``; ``texts`` (node, text)."""
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, given in _pieces(batches):
-            sets = [x.view(np.int64) for x in _shingle_sets(given, width)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"]
-            )
-
-    found = texts.join(asked, "node", "left_semi").dropDuplicates(["node"])
-    sets = stage(found.select("node", "text").mapInArrow(run, "node long, shingles array<long>"), "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(
-        sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v"
-    )
-    common = F.size(F.array_intersect("a", "b"))
-    return stage(both.where(common + 1e-9 >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"), "held")
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
-                      similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, blocks: int = WIDE_BLOCKS,
-                      agree: int = WIDE_AGREE, seed: int = SEED) -> DataFrame:
-    """(id, fingerprint, component_id) as ``near_duplicates``, for texts alike in their shingles.
-
-    Rows with one set of distinct shingles are one node; two nodes are linked if the Jaccard
-    similarity of their sets reaches ``similarity``, without exception. The grid of
-    fingerprints comes first: it proposes the nearest node of each one, which joins most
-    members of large groups. The exact way follows: nodes that share one of the rarest
-    shingles of both (prefix filter) and are not joined yet are all compared, in tiles.
-    Nodes whose rows have no id take part; a component of only such rows has a null one.
-    """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    common = docs.sparkSession.sparkContext.broadcast(_common_shingles(source, shingle_words))
-
-    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, given in _pieces(batches):
-            prints = _fingerprints_of(given, SHINGLE_WORDS, seed).view(np.int64)
-            nodes, sizes, prefixes = [], [], []
-            for found in _shingle_sets(given, shingle_words):
-                nodes.append(_node(found)), sizes.append(len(found))
-                prefixes.append(_prefix(found, common.value, similarity).view(np.int64))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            columns = [pa.array(x, kind) for x, kind in zip((nodes, sizes, prefixes), kinds)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(prints), *columns], names=["doc_id", "fingerprint", "node", "size", "prefix"]
-            )
-
-    def with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, given in _pieces(batches):
-            nodes = pa.array([_node(x) for x in _shingle_sets(given, shingle_words)], pa.int64())
-            yield pa.RecordBatch.from_arrays([nodes, part.column("text")], names=["node", "text"])
-
-    schema = T.StructType([source.schema["doc_id"], *T.StructType.fromDDL(
-        "fingerprint long, node long, size long, prefix array<long>").fields])
-    rows = stage(source.mapInArrow(described, schema), "described")
-    texts = source.select("text").mapInArrow(with_node, "node long, text string")
-    nodes = stage(rows.groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.min("fingerprint").alias("fingerprint"), F.min("size").alias("size"),
-        F.first("prefix").alias("prefix")), "nodes")
-
-    # first pass: one node stands for each fingerprint
-    cells = stage(nodes.groupBy("fingerprint").agg(F.min("node").alias("first")), "cells")
-    near = links(cells.select("fingerprint"), radius, TILE_ROWS, blocks, agree, nearest=True)
-    near = near.groupBy("u").agg(F.min_by("v", F.bit_count(F.col("u").bitwiseXOR(F.col("v")))).alias("v"))
-    named = near.join(cells.toDF("u", "a"), "u").join(cells.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    same = nodes.join(cells, "fingerprint").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    large, small = (nodes.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}")) for c in "uv")
-    sized = named.unionByName(same).join(large, "u").join(small, "v").where(
-        F.least("size_u", "size_v") + 1e-9 >= similarity * F.greatest("size_u", "size_v")).select("u", "v")
-    held = _confirmed(stage(sized, "pairs"), texts, shingle_words, similarity)
-    roots = smallest_reachable(held)
-
-    # the exact way for the rest
-    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    postings = placed.select("node", "root", "size", F.posexplode("prefix").alias("pos", "shingle"))
-    postings = postings.withColumn("pos", F.col("pos").cast("long"))
-    rest = stage(_candidates(postings, similarity, TILE_ROWS), "pairs")
-    more = _confirmed(rest, texts, shingle_words, similarity)
-    found = smallest_reachable(held.unionByName(more))
-
-    ends = nodes.select("node", "first_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = ends.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    components = stage(ends.join(lowest, "root").select("node", "component_id"), "components")
-    return rows.select("doc_id", "fingerprint", "node").join(components, "node").select(
-        F.col("doc_id").alias(id_col), "fingerprint", "component_id")
-
-
 def _named(prints: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
     named = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     named = named.withColumn("root", F.coalesce("root", "fingerprint"))

@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -114,63 +115,6 @@ def test_tiles_lose_no_link(spark):
     assert {v: found.get(v, v) for v in values} == {v: top(v) for v in values}
 
 
-def test_similar_documents_share_a_component(spark):
-    base = sentence(20, 200).split()
-    near = [" ".join(base[:i] + ["other"] + base[i + 1 :]) for i in (20, 90, 150)]
-    rows_in = [(1, " ".join(base))] + [(2 + i, t) for i, t in enumerate(near)] + [(9, sentence(40, 200)), (10, None)]
-    found = simhash.similar_documents(spark.createDataFrame(rows_in, "doc_id long, text string"))
-    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9, 10: 10}
-
-
-def test_no_similar_pair_survives(spark):
-    """Against brute force: pairs around the threshold, big families below it, shared boilerplate."""
-    rng = random.Random(5)
-    base = [[f"w{rng.randrange(10**9)}" for _ in range(rng.choice([7, 60, 150, 400]))] for _ in range(120)]
-    rows_in, line = [], sentence(77, 12)
-    for text in base:  # two members each, at Jaccard 0.7 to 0.95
-        copy = list(text)
-        for _ in range(rng.randint(0, max(1, len(text) // 40))):
-            copy[rng.randrange(len(copy))] = f"v{rng.randrange(10**9)}"
-        rows_in += [" ".join(text + [line]), " ".join([line] + copy) if rng.random() < 0.3 else " ".join(copy + [line])]
-    template = sentence(90, 160).split()
-    for _ in range(150):  # a family on one template, many pairs just below the threshold
-        member = list(template)
-        for _ in range(rng.randint(1, 6)):
-            member[rng.randrange(len(member))] = f"u{rng.randrange(10**9)}"
-        rows_in += [" ".join(member)]
-    rows_in += ["", None, "one two", "ONE  two", "one two three four five", "one two three four six"]
-    sets = []
-    for text in rows_in:
-        w = lower(text or "").split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 5, 0) + 1)})
-    group, direct = list(range(len(sets))), 0
-    for a in range(len(sets)):
-        for b in range(a):
-            common = len(sets[a] & sets[b])
-            if 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common):
-                direct += 1
-                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
-    assert direct > 200
-    table = spark.createDataFrame(list(enumerate(rows_in)), "doc_id long, text string").repartition(4)
-    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table).collect()}
-    assert found == dict(enumerate(group))
-
-
-def test_a_copy_behind_closer_siblings_is_found(spark, monkeypatch):
-    """The first pass may propose anything, or nothing: the result is the same. Tiles of any size too."""
-    template = sentence(60, 200).split()
-    texts = [" ".join(template[:i] + ["q%d" % i] + template[i + 1 :]) for i in range(0, 200, 4)]
-    far = [" ".join(w if k % 12 else f"z{j}x{k}" for k, w in enumerate(template)) for j in range(40)]
-    table = spark.createDataFrame(list(enumerate(texts + far)), "doc_id long, text string")
-    wanted = {i: 0 for i in range(len(texts))} | {len(texts) + j: len(texts) + j for j in range(len(far))}
-    none = lambda nodes, *_, **__: spark.createDataFrame([], "u long, v long")
-    for change in ((), ("links", none), ("TILE_ROWS", 4)):
-        if change:
-            monkeypatch.setattr(simhash, *change)
-        found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table).collect()}
-        assert found == wanted
-
-
 ITEMS = [(1, sentence(3, 14).upper()), (2, "One, two;THREE"), (3, None), (4, "?!"), (5, sentence(3, 14)), (None, sentence(1, 12)), (6, "é" * 40)]
 
 
@@ -246,12 +190,74 @@ def test_class_model_is_a_distribution_and_beats_unigrams(spark, folder):
     counts = brown_lm.word_counts(texts, brown_lm.split_words)
     model = brown_lm.train(texts, counts)
     for previous in ("a", "b", None):
-        before = model.classes[brown_lm._END if previous is None else model.words[previous.encode()]]
-        ids = [*model.words.values(), brown_lm._END]
+        before = model.classes[model.numbers.end if previous is None else model.numbers.words[previous.encode()]]
+        ids = [*model.numbers.words.values(), model.numbers.end]
         total = sum((model.counts[i] + 1) * model.factor[before, model.classes[i]] for i in ids)
         assert 0.2 < total < 1  # the rest is left to unseen words
 
 
+def test_every_training_word_is_exchanged(spark):
+    """Few frequent words, so that most words are far ones: likelihood, gains and scores by brute force."""
+    rng = random.Random(2)
+    kinds = [[f"{'xyzv'[k]}{i}" for i in range(60)] for k in range(4)]
+    texts = [" ".join(rng.choice(kinds[(start + i) % 4]) for i in range(50)) for start in range(80)]
+    table = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    known = {w: i for i, (w, _) in enumerate(collections.Counter(w.encode() for t in texts for w in t.split()).most_common(40))}
+    numbers = brown_lm.Numbering(known, 40, 16)
+    share = spark.sparkContext.broadcast
+    near = brown_lm.stage(brown_lm.contexts(table, share(numbers)), "contexts")
+    _, _, trail = brown_lm.exchange(near, numbers.count, classes=6)
+    assert trail == sorted(trail) and trail[-1] > trail[0]
+    own, (_, before), _ = brown_lm.exchange(near, numbers.count)
+
+    far = brown_lm.stage(brown_lm.far_contexts(table, share(numbers), share(own)), "far")
+    rest = np.zeros((65, 65))
+    kept = np.append(np.arange(40), 56)
+    np.add.at(rest.T, own[kept], before[kept])
+    steps, follow, rises = brown_lm.exchange_far(far, numbers, own, rest, passes=4)
+    assert rises == sorted(rises) and rises[-1] > rises[0] and steps
+    number = lambda w: numbers.of([w])[0]
+    batch = far.toArrow().combine_chunks().to_batches()[0]
+    entries = {r["word"].encode(): {e["history"]: e["n"] for e in r["contexts"]} for r in far.collect()}
+    assert set(entries) == {w.encode() for t in texts for w in t.split()} - set(known)
+
+    def counted(class_of):
+        out = np.zeros((65, 65))
+        for text in texts:
+            previous = 56
+            for w in [*text.encode().split(), None]:
+                out[own[previous], own[56] if w is None else own[known[w]] if w in known else class_of[w]] += 1
+                previous = 56 if w is None else number(w)
+        return out
+
+    names = [w.encode() for w in batch.column("word").to_pylist()]
+    for done in (steps[:0], steps):
+        found, (row, history, n) = brown_lm._settled(batch, numbers, own, done)
+        class_of = dict(zip(names, found.tolist()))
+        assert np.array_equal(counted(class_of), follow if done else steps[0].follow)
+        gains = brown_lm._gains(counted(class_of), row, history, n, found)
+        for at in range(0, len(names), 37):
+            for to in (0, 17, 63):
+                moved = brown_lm.likelihood(counted({**class_of, names[at]: to})) - brown_lm.likelihood(counted(class_of))
+                assert math.isclose(gains[at, to], moved, abs_tol=1e-6)
+
+    counts = brown_lm.stage(brown_lm.word_counts(table, brown_lm.split_words), "counts")
+    model = brown_lm.train(table, counts, 40, 16)
+    placed = {r["word"].encode(): (r["n"], r["class"]) for r in model.far.collect()}
+    asked = [*texts[:3], "x1 unseen y2 x59 unseen", ""]
+    table = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    scored = [r for near in (0, 30, 1000) for r in brown_lm.score(table, model, ["doc_id"], near_words=near).collect()]
+    assert len(scored) == 3 * len(asked)
+    for r in scored:
+        previous, total = 56, 0.0
+        for w in [*asked[r["doc_id"]].encode().split(), None]:
+            at = 56 if w is None else model.numbers.of([w])[0]
+            n, c = placed.get(w, (0, model.classes[at])) if 40 <= at < 56 else (model.counts[at], model.classes[at])
+            total += math.log10((n + 1) * model.factor[model.classes[previous], c])
+            previous = at
+        assert math.isclose(r["score"], total, abs_tol=1e-8)
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
@@ -287,7 +293,7 @@ def test_bounded_choices_are_exact(spark):
 def test_empty_tables(spark, no_docs, vocabulary):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     results = (
-        substring_dedup.remove_repeats(no_docs), simhash.near_duplicates(no_docs), simhash.similar_documents(no_docs),
+        substring_dedup.remove_repeats(no_docs), simhash.near_duplicates(no_docs),
         decontaminate.mark(no_docs, bench), mixing.mix(no_docs), brown_lm.score_corpus(no_docs),
         token_counts.count_tokens(no_docs, vocabulary),
     )
