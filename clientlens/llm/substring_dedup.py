@@ -10,7 +10,8 @@ context the seed has to be extended over. Documents are joined on seeds:
   both sides: the hash of every passage of ``min_words`` around the seed is compared.
 
 What is joined, grouped or counted is one row a seed, or one row a passage for the few
-stretches that differ; never pairs of documents. Adjoining matches merge into the maximal
+stretches that differ; never pairs of documents. Stretches of a hot seed are summed before
+any shuffle. Adjoining matches merge into the maximal
 repeats of a document. Passages are compared by 128 bits of hash.
 """
 
@@ -29,6 +30,8 @@ from clientlens.session import stage
 
 MIN_WORDS = 35
 SEED_WORDS = 8
+#: A key with more than one row in this many is joined by broadcast; there are fewer such keys than that.
+HOT_SHARE = 1024
 _SEED_BASE, _BODY_BASE, _WIDE_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
 
@@ -115,6 +118,16 @@ def _passages(docs: DataFrame, kinds: DataFrame, min_words: int) -> DataFrame:
     return docs.select("key", "text").join(wanted, "key").mapInArrow(run, "key long, at int, low long, high long, n long")
 
 
+def _by_weight(found: DataFrame, told: DataFrame, keys: list[str], total: int) -> tuple[DataFrame, DataFrame]:
+    """``found`` joined with ``told`` (one row a key, ``n`` of them in ``found``), in two parts: the
+    hot keys, whose rows stay where they lie, and all others, which are shuffled by key.
+
+    The hot keys are fewer than ``HOT_SHARE``, since their rows add up to ``total`` at most."""
+    hot = told.where(F.col("n") * HOT_SHARE > total)
+    others = found.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return found.join(F.broadcast(hot.drop("n")), keys), others.join(told.where(F.col("n") * HOT_SHARE <= total).drop("n"), keys)
+
+
 def _repeats(docs: DataFrame, min_words: int, seed_words: int, keep_first: bool) -> DataFrame:
     """(key, start, windows): runs of repeated passages, not yet merged."""
     found = stage(stretches(docs, min_words, seed_words), "stretches")
@@ -123,17 +136,19 @@ def _repeats(docs: DataFrame, min_words: int, seed_words: int, keep_first: bool)
         *([F.min(F.struct("key", "start")).alias("first")] if keep_first else []),
     ).where("n > 1")
     seeds = stage(seeds, "seeds")
-    differing = found.join(seeds.where("low <> high").select("seed"), "seed")
-    kinds = stage(
-        differing.groupBy("seed", "body").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "windows")).alias("first")),
-        "kinds",
+    total = found.count()
+    hot, others = (
+        part.groupBy("seed", "body").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "windows")).alias("first"))
+        for part in _by_weight(found, seeds.where("low <> high").select("seed", "n"), ["seed"], total)
     )
+    kinds = stage(hot.unionByName(others), "kinds")
     # stretches that occur as a whole again, of seeds with one kind of stretch and with several
     first = [F.struct("first.key", "first.start").alias("first")] if keep_first else []
-    repeated = seeds.where("low = high").select("seed", F.col("low").alias("body"), *first).unionByName(
-        kinds.where("n > 1").select("seed", "body", *first)
+    repeated = seeds.where("low = high").select("seed", F.col("low").alias("body"), "n", *first).unionByName(
+        kinds.where("n > 1").select("seed", "body", "n", *first)
     )
-    whole = found.join(stage(repeated, "repeated"), ["seed", "body"])
+    hot, others = _by_weight(found, stage(repeated, "repeated"), ["seed", "body"], total)
+    whole = hot.unionByName(others)
     if keep_first:
         whole = whole.where(F.struct("key", "start") != F.col("first"))
     whole = whole.select("key", "start", "windows")
