@@ -542,6 +542,15 @@ st AS (SELECT cluster_id, 'Marked by: ' || string_agg(replace(feature, '_', ' ')
 SELECT rk.cluster_id, n AS sample_size, CAST(k AS INTEGER) AS driver_rank, feature, direction, round_even(abs(z), 3) AS strength,
   round_even(cm, 3) AS cluster_average, round_even(gm, 3) AS global_average, plain_english FROM rk JOIN st USING (cluster_id) WHERE k <= 4"""
     sql["campaign_priority"] = f"{_SEG}, {_profile('Segment')}, {_PRIORITY} SELECT * FROM prio"
+    sql["imported_drivers"], sql["imported_campaigns"] = sql["segment_drivers"], sql["campaign_priority"]
+    sql["imported_runs"] = """WITH sold AS (SELECT c_nationkey AS nation, c_nationkey || '/' || c_mktsegment AS run_id, o_orderpriority AS p
+  FROM customer JOIN orders ON o_custkey = c_custkey),
+runs AS (SELECT nation, run_id, count(*) AS total_samples, CAST(count(DISTINCT p) AS INTEGER) AS optimal_k FROM sold GROUP BY 1, 2),
+lists AS (SELECT run_id, CAST(left(p, 1) AS INTEGER) AS cluster_id, max(p) AS persona_title, count(*) AS estimated_audience FROM sold GROUP BY 1, 2)
+SELECT run_id, total_samples, optimal_k, cluster_id, persona_title, estimated_audience, CAST(NULL AS VARCHAR) AS reason
+FROM runs JOIN lists USING (run_id) WHERE nation % 5 IN (0, 4)
+UNION ALL SELECT run_id, NULL, NULL, NULL, NULL, NULL, CASE WHEN nation % 5 = 2 THEN 'unreadable value' ELSE 'not a run document' END
+FROM runs WHERE nation % 5 NOT IN (0, 4)"""
     sql["campaign_copy"] = f"""{_SEG}, {_profile('Segment')},
 w AS (SELECT cluster_id, CASE WHEN persona_key = 'GENERAL' THEN 'LOYALIST' ELSE persona_key END AS copy_key FROM per)
 SELECT cluster_id, copy_key, copy_title, email_subject, sms_text, call_to_action, discount_offer FROM w JOIN {_COPY} ON copy_key = k"""

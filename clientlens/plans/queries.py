@@ -41,7 +41,7 @@ from clientlens.operators import (
     ward,
 )
 from clientlens.session import new_path, small_table, stage
-from clientlens.sources import sinks, tables, uploads
+from clientlens.sources import run_documents, sinks, tables, uploads
 from clientlens.plans import training
 from clientlens.streaming import flows
 
@@ -228,6 +228,62 @@ def model_info(spark, folder):
     )
 
 
+def _imported(spark, documents):
+    """Run documents written to a folder, one a line, and read back."""
+    path = new_path(spark, "documents")
+    documents.select("document").write.text(path)
+    return run_documents.read_documents(spark, path, one_a_line=True)
+
+
+def _whole_run(spark, folder):
+    """The run over all customers as a document: its row, drivers and campaigns."""
+    rows = segmented(spark, folder)
+    named = lambda df: df.withColumn("run_id", F.lit("all"))
+    run = rows.agg(F.count("*").alias("total_samples"), F.countDistinct("Segment").cast("int").alias("optimal_k"))
+    return _imported(spark, run_documents.documents_of(named(run), {
+        "segment_explanations": named(drivers.segment_drivers(rows, "Segment")),
+        "campaign_recommendations": named(personas.campaign_priority(persona_rows(spark, folder))),
+    }))[0]
+
+
+def imported_drivers(spark, folder):
+    """Drivers of the segments as a nested run document gives them."""
+    return drivers.driver_rows(run_documents.segment_drivers(_whole_run(spark, folder)))
+
+
+def imported_campaigns(spark, folder):
+    """Campaigns as a nested run document gives them."""
+    return run_documents.run_tables(_whole_run(spark, folder))["campaigns"].drop("run_id")
+
+
+def imported_runs(spark, folder):
+    """A run document for every nation and market segment, some of them damaged; each is imported or rejected.
+    Its campaigns stand for the account balances: audience and sum by order priority."""
+    sold = tables.table(spark, folder, "customer").join(
+        tables.table(spark, folder, "orders").select("o_custkey", "o_orderpriority"), F.col("o_custkey") == F.col("c_custkey"))
+    run = F.concat_ws("/", "c_nationkey", "c_mktsegment").alias("run_id")
+    size = F.count("*")
+    runs = sold.groupBy(run).agg(size.alias("total_samples"), F.countDistinct("o_orderpriority").cast("int").alias("optimal_k"))
+    lists = sold.groupBy(run, F.substring("o_orderpriority", 1, 1).cast("int").alias("cluster_id")).agg(
+        F.max("o_orderpriority").alias("persona_title"), size.alias("estimated_audience"))
+    made = run_documents.documents_of(runs, {"campaign_recommendations": lists})
+    nation = F.substring_index("run_id", "/", 1).cast("int")
+    damaged = (
+        F.when(nation % 5 == 1, F.expr("left(document, length(document) - 1)"))
+        .when(nation % 5 == 2, F.replace("document", F.lit('"optimal_k":'), F.lit('"optimal_k":"many","was":')))
+        .when(nation % 5 == 3, F.concat(F.lit("["), "document", F.lit("]"))).otherwise(F.col("document"))
+    )
+    found, rejected = _imported(spark, made.select(damaged.alias("document")))
+    told = run_documents.run_tables(found)
+    rows = told["run"].select("run_id", "total_samples", "optimal_k").join(
+        told["campaigns"].select("run_id", "cluster_id", "persona_title", "estimated_audience"), "run_id")
+    none = lambda kind: F.lit(None).cast(kind)
+    return rows.select("*", none("string").alias("reason")).unionByName(rejected.select(
+        F.regexp_extract("document", r'"run_id":"([^"]*)"', 1).alias("run_id"), none("long").alias("total_samples"),
+        none("int").alias("optimal_k"), none("int").alias("cluster_id"), none("string").alias("persona_title"),
+        none("long").alias("estimated_audience"), "reason"))
+
+
 def _extract_as(spark, folder, names):
     """The order history as an upload with the given names for recency, orders and spend."""
     orders = tables.table(spark, folder, "orders")
@@ -896,6 +952,11 @@ EXACT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tenant_partition": tenant_partition,
     "dataset_status": dataset_status,
     "model_info": model_info,
+    "conform_warnings": conform_warnings,
+    "upload_lines": upload_lines,
+    "imported_drivers": imported_drivers,
+    "imported_campaigns": imported_campaigns,
+    "imported_runs": imported_runs,
     "arrival_ids": arrival_ids,
     "churn_rfm": _churn(churn.churn_rfm),
     "churn_gen": _churn(churn.churn_generated),
@@ -962,8 +1023,6 @@ EXACT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 # results that depend on learned models or on text without a SQL counterpart
 ROWS_ONLY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "conform_warnings": conform_warnings,
-    "upload_lines": upload_lines,
     "kmeans_grid": kmeans_grid,
     "gmm_bic": gmm_bic,
     "gmm_memberships": gmm_memberships,

@@ -177,3 +177,90 @@ def test_a_record_sent_again_adds_nothing_and_old_records_are_not_late(spark):
     old = spark.createDataFrame([record(7, "1990-01"), record(2, "2024-05")], flows.INGEST_SCHEMA)
     found, count = run(old)
     assert count == 7 and found["7"] == "1990-01"
+
+
+def test_run_documents_give_the_tables_they_were_made_of(spark):
+    """Round trip of nested tables, names of files, missing parts, and what cannot be read."""
+    import json
+
+    from clientlens.sources import run_documents
+
+    whole = {
+        "data_source": "uploaded_csv:a.csv", "total_samples": 9, "optimal_k": 2, "validation_warnings": ["one", "two"], "other": {"x": [1]},
+        "classifier_metrics": {"accuracy": 0.5, "weighted_f1_score": 0.25, "report": {
+            "0": {"precision": 1.0, "recall": 0.5, "f1-score": 0.6667, "support": 2.0}, "accuracy": 0.5}},
+        "k_search_grid": [{"k": 2, "inertia": 9.76, "silhouette_score": 0.5384, "is_minibatch": False}, {"k": 3, "inertia": 5}],
+        "kmeans_centroids": [[0.5, -1.0], [2, 3]],
+        "pca_metadata": {"variance_explained_per_component": [0.75, 0.25], "total_variance_explained": 1.0},
+        "benchmark_comparison": [{"Algorithm": "K-Means", "Clusters": 2, "Outliers/Noise": 0, "Silhouette_Score": 0.5}],
+        "persona_summary": {"total_revenue": 45.0, "clusters": [{"cluster_id": 1, "persona_key": "A", "metrics": {"customer_count": 6, "share": 66.67}}]},
+        "segment_explanations": [{"cluster_id": 0, "sample_size": 6, "plain_english": "x", "top_drivers": [
+            {"feature": "f", "direction": "above average", "strength": 0.5}, {"feature": "g", "strength": 0.25}]}],
+        "stability_report": {"mean_adjusted_rand_index": 0.5149},
+    }
+    path = new_path(spark, "run-documents")
+    texts = {"full": json.dumps(whole, indent=2), "bare": "{}", "blank": " \n", "cut": json.dumps(whole)[:-5], "number": "7",
+             "list": "[{}]", "twice": "{} {}", "wrong": '{"optimal_k": "many"}'}
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name, text in texts.items():
+        out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.json"))
+        out.write(bytearray(text.encode()))
+        out.close()
+    documents, rejected = run_documents.read_documents(spark, path)
+    assert {r["file"]: r["reason"] for r in rejected.collect()} == {
+        "cut.json": "not a run document", "number.json": "not a run document", "list.json": "not a run document",
+        "twice.json": "not a run document", "wrong.json": "unreadable value"}
+    got = {name: sorted((r.asDict(True) for r in df.collect()), key=str) for name, df in run_documents.run_tables(documents).items()}
+    bare, full = sorted(got["run"], key=lambda r: r["run_id"])
+    assert (full["run_id"], full["total_samples"], full["stability_mean"], full["classifier_accuracy"]) == ("full", 9, 0.5149, 0.5)
+    assert bare["run_id"] == "bare" and set(bare.values()) == {"bare", None}
+    assert {(r["position"], r["warning"]) for r in got["warnings"]} == {(0, "one"), (1, "two")}
+    assert got["classifier_report"] == [{"run_id": "full", "class": "0", "precision": 1.0, "recall": 0.5, "f1_score": 0.6667, "support": 2}]
+    assert [(r["k"], r["inertia"], r["silhouette_score"]) for r in got["k_grid"]] == [(2, 9.76, 0.5384), (3, 5.0, None)]
+    assert got["centres"] == [{"run_id": "full", "cluster_id": 0, "centre": [0.5, -1.0]}, {"run_id": "full", "cluster_id": 1, "centre": [2.0, 3.0]}]
+    assert [(r["component"], r["ratio"]) for r in got["pca"]] == [(1, 0.75), (2, 0.25)]
+    assert [(r["algorithm"], r["noise"], r["silhouette_score"], r["davies_bouldin"]) for r in got["benchmark"]] == [("K-Means", 0, 0.5, None)]
+    assert got["personas"][0]["metrics"] == {"customer_count": 6.0, "share": 66.67}
+    assert [d["feature"] for d in got["segment_drivers"][0]["top_drivers"]] == ["f", "g"]
+    assert got["anomalies"] == got["campaigns"] == []
+
+    tables = run_documents.run_tables(documents)
+    made = run_documents.documents_of(tables["run"].withColumn("mine", F.lit(1)), {
+        "benchmark_comparison": tables["benchmark"], "k_search_grid": tables["k_grid"], "segment_explanations": tables["segment_drivers"]})
+    lines = new_path(spark, "run-lines")
+    made.select("document").write.text(lines)
+    again, none = run_documents.read_documents(spark, lines, one_a_line=True)
+    assert none.count() == 0 and again.count() == 2
+    for name in ("benchmark", "k_grid", "segment_drivers"):
+        assert sorted(map(str, run_documents.run_tables(again)[name].collect())) == sorted(map(str, tables[name].collect()))
+    empty, lost = run_documents.read_documents(spark, lines + "/_SUCCESS*", one_a_line=True)
+    assert empty.count() == lost.count() == 0
+
+
+def test_tables_are_replaced_as_a_whole(spark):
+    """A write that fails half-way changes nothing; choices count in order; writers do not undo each other."""
+    from clientlens.sources import versions
+
+    folder = new_path(spark, "versions")
+    rows = lambda name: sorted(r["id"] for r in versions.newest(spark, folder).read(spark, name).collect())
+    assert versions.newest(spark, folder) is None and versions.discard_old(spark, folder) == 0
+    versions.commit(spark, folder, {"a": spark.range(3), "b": spark.range(2)})
+    breaking = spark.range(0, 100, 1, 4).select(F.when(F.col("id") < 90, F.col("id")).otherwise(F.raise_error(F.lit("broken"))).cast("long").alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        versions.commit(spark, folder, {"a": spark.range(9), "b": breaking})
+    assert rows("a") == [0, 1, 2] and rows("b") == [0, 1]
+    versions.commit(spark, folder, {"a": versions.newest(spark, folder).read(spark, "a").where("id > 0")}, {"x": "1"})
+    assert rows("a") == [1, 2] and rows("b") == [0, 1]
+    # a number that is taken is not taken twice
+    assert not versions._publish(spark, folder, 2, "{}")
+    assert versions.newest(spark, folder).number == 2 and versions.newest(spark, folder).values == {"x": "1"}
+    assert versions.discard_old(spark, folder) == 4  # two of the failed write, the first a, the first manifest
+    assert rows("a") == [1, 2] and rows("b") == [0, 1]
+
+    tenants = new_path(spark, "tenants")
+    assert sinks.tenant_rows(spark, tenants, "t/1") is None
+    sinks.replace_tenant(spark.range(5), tenants, "t/1")
+    with pytest.raises(Exception, match="broken"):
+        sinks.replace_tenant(breaking, tenants, "t/1")
+    sinks.replace_tenant(spark.range(1), tenants, "t")
+    assert sinks.tenant_rows(spark, tenants, "t/1").count() == 5 and sinks.tenant_rows(spark, tenants, "t").count() == 1
