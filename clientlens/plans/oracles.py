@@ -461,6 +461,8 @@ SELECT customer_id, reasons, CASE WHEN reasons = '' THEN r END AS Recency_Days,
 FROM chk"""
     sql["csv_round_trip"] = f"{_CUST} SELECT Customer_ID, Recency_Days, Monetary_Spend, Preferred_Channel, Region FROM cust"
     sql["tenant_partition"] = f"""{_CUST} SELECT 'ASIA' AS asked_by, Customer_ID, Monetary_Spend, Region FROM cust WHERE Region = 'ASIA'
+UNION ALL SELECT 'NOBODY', Customer_ID, Monetary_Spend, Region FROM cust"""
+    sql["tenant_replaced"] = f"""{_CUST} SELECT 'ASIA' AS asked_by, Customer_ID, Monetary_Spend * 2 AS Monetary_Spend, Region FROM cust WHERE Region = 'ASIA'
 UNION ALL SELECT 'NOBODY', Customer_ID, Monetary_Spend, Region FROM cust"""
     sql["dataset_status"] = f"""{_CUST} SELECT 'uploaded_csv:customers.csv' AS data_source, 'User File: customers.csv' AS display_name,
   true AS is_custom, count(*) AS total_samples FROM cust"""

@@ -202,6 +202,17 @@ def tenant_partition(spark, folder):
     return found("ASIA").unionByName(found("NOBODY"))
 
 
+def tenant_replaced(spark, folder):
+    """A tenant's rows replaced by rows made of them, beside a tenant that has none."""
+    replaced, shared = new_path(spark, "replaced"), new_path(spark, "shared")
+    df = customers(spark, folder).select("Customer_ID", "Monetary_Spend", "Region")
+    sinks.write_customers(df, shared)
+    found = lambda name: uploads.resolve_dataset(spark, name, shared, replaced=replaced)
+    sinks.replace_tenant(df.where("Region in ('ASIA', 'EUROPE')"), replaced, "ASIA")
+    sinks.replace_tenant(found("ASIA").where("Region = 'ASIA'").withColumn("Monetary_Spend", F.col("Monetary_Spend") * 2), replaced, "ASIA")
+    return found("ASIA").withColumn("asked_by", F.lit("ASIA")).unionByName(found("NOBODY").withColumn("asked_by", F.lit("NOBODY")))
+
+
 def _run_folder(spark, folder):
     """Tables of a run over the customers, written as a training job writes them."""
     path = new_path(spark, "run")
@@ -950,6 +961,7 @@ EXACT: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "input_validation": input_validation,
     "csv_round_trip": csv_round_trip,
     "tenant_partition": tenant_partition,
+    "tenant_replaced": tenant_replaced,
     "dataset_status": dataset_status,
     "model_info": model_info,
     "conform_warnings": conform_warnings,

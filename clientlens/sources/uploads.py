@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from clientlens.functions import catalog
 from clientlens.session import path_exists, small_table, stage
+from clientlens.sources import sinks
 
 MIN_UPLOAD_ROWS = 5
 
@@ -71,11 +72,16 @@ def upload_schema(spark: SparkSession) -> DataFrame:
 
 
 def resolve_dataset(spark: SparkSession, tenant_id: str | None, shared: str,
-                    tenants: str | None = None, packaged: str | None = None) -> DataFrame:
+                    tenants: str | None = None, packaged: str | None = None, replaced: str | None = None) -> DataFrame:
     """The tenant's rows if there are any, else the shared table, else the packaged one.
 
-    Tenant tables are partitioned by ``tenant_id``; the filter prunes to one partition.
+    Tenant tables are partitioned by ``tenant_id``; the filter prunes to one partition. Rows that
+    ``sinks.replace_tenant`` wrote below ``replaced`` come first.
     """
+    if tenant_id and replaced:
+        own = sinks.tenant_rows(spark, replaced, tenant_id)
+        if own is not None and own.take(1):
+            return own
     if tenant_id and tenants and path_exists(spark, tenants):
         own = spark.read.parquet(tenants).where(F.col("tenant_id") == tenant_id).drop("tenant_id")
         if own.take(1):
