@@ -61,10 +61,13 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
 
 
 class Segmenter:
-    """Most probable words of a run of letters under a unigram model."""
+    """Most probable words of a run of letters under a unigram model.
 
-    def __init__(self, counts: list[tuple[str, int]]) -> None:
-        self.total = sum(n for _, n in counts) + len(counts) + 1
+    ``mass`` is what the words of the whole corpus weigh, each its count and one; by default
+    ``counts`` are all of them."""
+
+    def __init__(self, counts: list[tuple[str, int]], mass: int | None = None) -> None:
+        self.total = (sum(n + 1 for _, n in counts) if mass is None else mass) + 1
         self.cost = {w: -math.log10((n + 1) / self.total) for w, n in counts if len(w) <= LETTERS}
         self.known: dict[str, list[str]] = {}
 
@@ -113,14 +116,14 @@ def _whole(word: bytes) -> bool:
         return False
 
 
-def with_tokens(pages: DataFrame, words: list[tuple[str, int]]) -> DataFrame:
+def with_tokens(pages: DataFrame, words: list[tuple[str, int]], mass: int | None = None) -> DataFrame:
     """``pages`` (with host and path) and ``tokens``, and ``buckets``, the hashes of those."""
-    held = pages.sparkSession.sparkContext.broadcast(words)
+    held = pages.sparkSession.sparkContext.broadcast((words, mass))
     carried = pages.columns
     schema = T.StructType(pages.schema.fields + T.StructType.fromDDL("tokens array<string>, buckets array<int>").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(held.value)
+        segmenter = Segmenter(*held.value)
         for batch in batches:
             found = [segmenter.tokens(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())]
             buckets = [[zlib.crc32(t.encode("utf-8", "replace")) % BUCKETS for t in tokens] for tokens in found]
@@ -156,12 +159,13 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url_col: s
     gives an empty result.
     """
     counts = word_counts(pages.select(F.col(html_col).alias("text")), spelled_words)
-    words = most_frequent(stage(counts, "words"), WORDS)
+    counts = stage(counts, "words")
+    words, mass = most_frequent(counts, WORDS), counts.agg(F.sum(F.col("n") + 1)).first()[0] or 0
     host, path = host_and_path(F.col(url_col))
     source = pages.select(*[F.col(c) for c in carry], host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     source = source.withColumn("rule", rule).withColumn("verdict", verdict)
-    tokens = stage(with_tokens(source, words), "tokens")
+    tokens = stage(with_tokens(source, words, mass), "tokens")
     held = pages.sparkSession.sparkContext.broadcast(bayes(tokens.where("rule is not null")))
     carried = [*carry, "host", "path", "rule", "verdict"]
     schema = T.StructType([tokens.schema[c] for c in carried] + T.StructType.fromDDL("log_odds double, tokens array<string>").fields)

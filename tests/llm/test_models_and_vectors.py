@@ -152,6 +152,8 @@ def test_segmentation_and_bayes(spark):
     cutter = url_filter.Segmenter([("free", 50), ("bets", 40), ("news", 60), ("paper", 30), ("fr", 3), ("eebets", 1)])
     assert cutter.tokens("freebets.com", "/newspaper/2024") == ["h:free", "h:bets", "h:com", "p:news", "p:paper", "p#4"]
     assert cutter.words("x" * 200) and "".join(cutter.words("qfreeq")) == "qfreeq"
+    part = url_filter.Segmenter([("free", 50), ("bets", 40)], 1000)  # words of a larger corpus
+    assert {w: round(10 ** -c * 1001) for w, c in part.cost.items()} == {"free": 51, "bets": 41}
     pages_in = [(i, f"http://freebets{i}.com/de/", "<p>free bets news paper free bets news paper</p>") for i in range(6)]
     pages_in += [(10 + i, f"http://newspaper{i}.com/fr/", "") for i in range(6)] + [(20, "http://freebets.net/x", ""), (21, "http://newspaper.net/x", "")]
     found = url_filter.judge(spark.createDataFrame(pages_in, "page_id long, url string, html string"))
