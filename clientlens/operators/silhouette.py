@@ -11,6 +11,11 @@ are needed to bring the value inside the wanted bound, the widest intervals firs
 
 With a bound of zero every cell of those clusters is opened that is not a single point, and
 the value is exact. Several labelings share the tree, the shuffle and the distances.
+
+Where data are crowded or of many dimensions, a row asks for most cells, and writing its
+requests would cost far more than the distances. A sample tells: beyond a few requests a
+row, groups of near rows meet all rows of the clusters they want in one stream instead,
+tile by tile, and no request is written. That costs every pair of those rows and clusters.
 """
 
 from __future__ import annotations
@@ -35,6 +40,13 @@ SAMPLE_ROWS = 65_536
 BLOCK_ROWS = 4096
 #: Rows whose intervals a task holds at a time.
 PASS_CELLS = 1 << 21
+#: Requests of a row, on average, up to which cells are opened one by one, and rows of the sample that tell.
+FEW_REQUESTS = 16
+PROBES = 256
+#: Groups of rows that meet all rows: their number for a middling table, and their rows at most.
+GROUPS = 12
+GROUP_ROWS = 131_072
+TILE_ROWS, TILE_COLUMNS = 512, 1024
 
 
 @dataclass(frozen=True)
@@ -89,6 +101,14 @@ class Summary:
     mean: np.ndarray
     spread: np.ndarray
 
+    def by_label(self) -> Summary:
+        """One summary for all cells of a label."""
+        begins = np.flatnonzero(np.concatenate(([True], self.label[1:] != self.label[:-1])))
+        n = np.add.reduceat(self.n, begins)
+        mean = np.add.reduceat(self.mean * self.n[:, None], begins) / n[:, None]
+        squares = np.add.reduceat((self.spread + (self.mean * self.mean).sum(axis=1)) * self.n, begins) / n
+        return Summary(self.label[begins], self.cell[begins], n, mean, np.maximum(squares - (mean * mean).sum(axis=1), 0) + 1e-12 * (1 + squares))
+
     def intervals(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """[row, summary]: bounds of the sum of distances to the rows of each summary."""
         squares = (rows * rows).sum(axis=1)[:, None] + (self.mean * self.mean).sum(axis=1)[None, :] - 2 * rows @ self.mean.T
@@ -97,9 +117,10 @@ class Summary:
         return low, np.sqrt(np.maximum(squares + slack, 0) + self.spread) * self.n
 
 
-def _needed(told: Summary, own: np.ndarray, rows: np.ndarray, bound: float) -> tuple[np.ndarray, ...]:
-    """Requests of the rows of one labeling: (row, label place, closed sum) and (row, label place,
-    cell) of the cells to open. ``own`` is the place of each row's label."""
+def _wanted(told: Summary, own: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the rows of one labeling: bounds for each summary, the first summary and the size of each
+    label, [row, label place] of the own and the possibly nearest other labels, and a lower bound of
+    the larger of both mean distances. ``own`` is the place of each row's label."""
     begins = np.flatnonzero(np.concatenate(([True], told.label[1:] != told.label[:-1])))
     sizes = np.add.reduceat(told.n, begins)
     low, high = told.intervals(rows)
@@ -112,7 +133,16 @@ def _needed(told: Summary, own: np.ndarray, rows: np.ndarray, bound: float) -> t
     reach = np.where(mine, np.inf, most / sizes).min(axis=1, initial=np.inf)
     wanted = mine | (apart_low <= reach[:, None])
     scale = np.maximum(least[every, own] / others, apart_low.min(axis=1, initial=np.inf))
-    room = np.where(np.isfinite(scale), scale, 0.0)[:, None] * bound * np.where(mine, others[:, None], sizes[None, :])
+    return low, high, begins, sizes, wanted, np.where(np.isfinite(scale), scale, 0.0)
+
+
+def _needed(told: Summary, own: np.ndarray, rows: np.ndarray, bound: float) -> tuple[np.ndarray, ...]:
+    """Requests of the rows of one labeling: (row, label place, closed sum) and (row, label place,
+    cell) of the cells to open. ``own`` is the place of each row's label."""
+    low, high, begins, sizes, wanted, scale = _wanted(told, own, rows)
+    mine = np.arange(len(begins)) == own[:, None]
+    others = np.maximum(sizes - 1, 1)[own]
+    room = scale[:, None] * bound * np.where(mine, others[:, None], sizes[None, :])
 
     place = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(told.label))))
     width = np.where(wanted[:, place], high - low, 0.0)
@@ -147,7 +177,7 @@ def euclidean_rows(df: DataFrame, id_col: str, vec_col: str, label_cols: list[st
     id_field = points.schema["id"]
     count = points.count()
     draw, top = F.pmod(F.xxhash64("id"), F.lit(1 << 31)), 1 << 31
-    sample = points.where(draw <= top * min(1.0, SAMPLE_ROWS / max(count, 1))).select("x").limit(2 * SAMPLE_ROWS).toArrow()
+    sample = points.where(draw <= top * min(1.0, SAMPLE_ROWS / max(count, 1))).select("x", "labels").limit(2 * SAMPLE_ROWS).toArrow()
     kinds = T.StructType([T.StructField("run", T.StringType()), T.StructField(id_col, id_field.dataType), *T.StructType.fromDDL(
         "label int, silhouette double").fields])
     if not sample.num_rows:
@@ -175,6 +205,10 @@ def euclidean_rows(df: DataFrame, id_col: str, vec_col: str, label_cols: list[st
             # rounding must not turn a spread cell into a point, nor a single row into a spread one
             summaries[run] = Summary(label, cell, n, mean, np.where(n > 1, np.maximum(spread, 0) + 1e-12 * (1 + squares), 0.0))
     shared = spark.sparkContext.broadcast(summaries)  # at most one row for each cell and label in it
+    names = F.element_at(F.array(*[F.lit(c) for c in label_cols]), F.col("run") + 1)
+    if summaries and _requests(sample, summaries, bound) > FEW_REQUESTS:
+        scored = _met(rows, _telling(sample, summaries), count, id_field, bound)
+        return scored.select(names.alias("run"), F.col("id").alias(id_col), "label", "silhouette")
 
     kinds_asked = T.StructType([id_field, *T.StructType.fromDDL(
         "run int, label int, own boolean, n long, closed double, cell long, x array<double>, codes array<long>").fields])
@@ -244,10 +278,208 @@ def euclidean_rows(df: DataFrame, id_col: str, vec_col: str, label_cols: list[st
     )
     larger = F.greatest("inner", "other")
     score = F.when(F.col("inner").isNotNull() & F.col("other").isNotNull() & (larger > 0), (F.col("other") - F.col("inner")) / larger)
-    names = F.element_at(F.array(*[F.lit(c) for c in label_cols]), F.col("run") + 1)
     return per_row.select(names.alias("run"), F.col("id").alias(id_col), "label", F.coalesce(score, F.lit(0.0)).alias("silhouette"))
 
 
+def _probed(sample: pa.Table, summaries: dict[int, Summary]) -> Iterator[tuple]:
+    """(labeling, its summaries, some rows of the sample, their places in it, their values)."""
+    picked = sample.take(np.unique(np.linspace(0, sample.num_rows - 1, min(PROBES, sample.num_rows)).astype(np.int64)))
+    x, given = (_matrix(picked.column(c).combine_chunks()) for c in ("x", "labels"))
+    for run, told in summaries.items():
+        here = np.flatnonzero(np.nan_to_num(given[:, run], nan=-1) != -1)
+        if len(here):
+            yield run, told, here, np.searchsorted(np.unique(told.label), given[here, run]), x[here]
+
+
+def _requests(sample: pa.Table, summaries: dict[int, Summary], bound: float) -> float:
+    """Cells that a row of the sample asks for, on average."""
+    asked = [np.zeros((2, 0), dtype=np.int64)]
+    for _, told, here, own, x in _probed(sample, summaries):
+        *_, row, _, cell = _needed(told, own, x, bound)
+        asked.append(np.stack([here[row], cell]))
+    return np.unique(np.concatenate(asked, axis=1), axis=1).shape[1] / min(PROBES, sample.num_rows)
+
+
+def _telling(sample: pa.Table, summaries: dict[int, Summary]) -> dict[int, Summary]:
+    """For each labeling its cells, or one summary a label where cells rule out hardly more pairs."""
+    out = dict(summaries)
+    for run, told, _, own, x in _probed(sample, summaries):
+        whole = told.by_label()
+        share = lambda t: (lambda found: (found[4] * found[3]).sum() / len(x) / found[3].sum())(_wanted(t, own, x))
+        out[run] = told if share(told) < 0.9 * share(whole) else whole
+    return out
+
+
+def _met(rows: DataFrame, summaries: dict[int, Summary], count: int, id_field: T.StructField, bound: float) -> DataFrame:
+    """(run, id, label, silhouette): groups of near rows, each beside a stream of all rows.
+
+    Rows are dealt to the groups in the order of their cells, in equal shares, so a crowded cell is
+    parted. The stream is sorted by labels: a tile holds few of them, and is skipped by rows that
+    want none. Tasks hold one group and a batch of the stream.
+    """
+    groups = max(min(GROUPS, -(-count // BLOCK_ROWS)), -(-count // GROUP_ROWS))
+    sizes = rows.groupBy("cell").count().toArrow()  # one row a cell
+    cells, numbers = sizes.column("cell").to_numpy(), sizes.column("count").to_numpy()
+    held = np.zeros(int(cells.max()) + 1)
+    held[cells] = numbers
+    before = np.cumsum(held) - held
+    shared = rows.sparkSession.sparkContext.broadcast(summaries)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, draw = batch.column("cell").to_numpy(), batch.column("draw").to_numpy()
+            group = np.minimum((before[cell] + draw * held[cell]) * groups // count, groups - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group), pa.array(cell - (1 << 40)), *(batch.column(c) for c in ("id", "x", "labels"))], names=["group", "key", "id", "x", "labels"])
+
+    kind = lambda fields: T.StructType([*T.StructType.fromDDL(fields).fields, id_field])
+    valued = rows.where(F.exists("labels", lambda v: ~v.eqNullSafe(F.lit(-1))))
+    draw = F.pmod(F.xxhash64("id", "x"), F.lit(1 << 31)) / float(1 << 31)
+    asking = valued.select("id", "x", "labels", "cell", draw.alias("draw")).mapInArrow(
+        dealt, T.StructType([*T.StructType.fromDDL("group int, key long").fields, id_field, rows.schema["x"], rows.schema["labels"]]))
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+    stream = valued.select(every, F.shiftrightunsigned(F.xxhash64("labels"), 1).alias("key"), F.lit(None).cast(id_field.dataType).alias("id"), "x", "labels")
+    ordered = asking.unionByName(stream).repartitionById(groups, "group").sortWithinPartitions("key").drop("group")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, group = [], None
+        for batch in batches:
+            edge = int(np.searchsorted(batch.column("key").to_numpy(), 0)) if batch.num_rows else 0
+            if edge:
+                own.append(batch.slice(0, edge))
+            if edge < batch.num_rows and own:
+                group = group or Group(pa.Table.from_batches(own), shared.value, bound)
+                group.meet(*(_matrix(batch.column(c).slice(edge)) for c in ("x", "labels")))
+        if group:
+            yield from group.told()
+
+    return ordered.mapInArrow(compared, kind("run int, label int, silhouette double"))
+
+
+class Group:
+    """Rows in tiles with the sums of their distances to the labels that a row of the tile wants.
+
+    Labels of all labelings are numbered one after the other (``place``). Squared distances come from
+    one product of matrices of centred rows; those too small for its rounding are taken anew from the
+    differences. With a bound above zero single precision does, where its rounding is a small share of it.
+    """
+
+    def __init__(self, table: pa.Table, runs: dict[int, Summary], bound: float):
+        x, given = (_matrix(table.column(c).combine_chunks()) for c in ("x", "labels"))
+        once = ~table.select(["id"]).to_pandas().assign(row=[r.tobytes() for r in x]).duplicated().to_numpy()
+        self.ids, x, given = table.column("id").combine_chunks().filter(pa.array(once)), x[once], given.astype(np.int64)[once]
+        self.names = {run: np.unique(told.label).astype(np.int64) for run, told in runs.items()}
+        self.first = dict(zip(runs, np.cumsum([0, *(len(n) for n in self.names.values())])))
+        self.size = np.concatenate([np.add.reduceat(t.n, np.searchsorted(t.label, self.names[r])) for r, t in runs.items()])
+        told = next(iter(runs.values()))
+        self.centre = (told.mean * told.n[:, None]).sum(axis=0) / told.n.sum()
+        self.single, self.bound = bound > 0, bound
+        self.space = np.empty(TILE_ROWS * TILE_COLUMNS, dtype=np.float32 if self.single else float)
+        self.tiles = [self._tile(x[at : at + TILE_ROWS], given[at : at + TILE_ROWS], runs) for at in range(0, len(x), TILE_ROWS)]
+
+    def _tile(self, x: np.ndarray, given: np.ndarray, runs: dict[int, Summary]) -> dict:
+        own = np.full((len(x), len(runs)), -1)
+        wanted, scale = np.zeros((len(x), len(self.size)), dtype=bool), np.inf
+        for number, (run, told) in enumerate(runs.items()):
+            begin, names = self.first[run], self.names[run]
+            here = np.flatnonzero(given[:, run] != -1)
+            step = max(1, PASS_CELLS // len(told.n))
+            for at in range(0, len(here), step):
+                part = here[at : at + step]
+                place = np.searchsorted(names, given[part, run])
+                *_, wants, least = _wanted(told, place, x[part])
+                own[part, number] = begin + place
+                wanted[part, begin : begin + len(names)] = wants
+                scale = min(scale, least.min())
+        used = np.flatnonzero(wanted.any(axis=0))
+        at = np.full(len(self.size) + 1, -1)  # the last one stands for no label
+        at[used] = np.arange(len(used))
+        x = x - self.centre
+        squares = (x * x).sum(axis=1)
+        left = np.concatenate([-2 * x, squares[:, None], np.ones((len(x), 1))], axis=1)
+        return {"x": x, "left": left.astype(np.float32) if self.single else left, "most": squares.max(), "scale": scale, "own": own,
+                "used": used, "at": at, "wanted": wanted[:, used], "sums": np.zeros((len(x), len(used)))}
+
+    def meet(self, x: np.ndarray, labels: np.ndarray) -> None:
+        x = x - self.centre
+        squares = (x * x).sum(axis=1)
+        right = np.concatenate([x, np.ones((len(x), 1)), squares[:, None]], axis=1)
+        right = right.astype(np.float32) if self.single else right
+        changes = np.concatenate(([True], (labels[1:] != labels[:-1]).any(axis=1)))
+        kind, kinds = np.cumsum(changes) - 1, np.full((int(changes.sum()), len(self.names)), len(self.size))
+        for number, (run, names) in enumerate(self.names.items()):
+            label = labels[changes, run]
+            place = np.minimum(np.searchsorted(names, label), len(names) - 1)
+            kinds[:, number] = np.where(names[place] == label, self.first[run] + place, len(self.size))
+        begins = np.append(np.flatnonzero(changes), len(x))
+        at = 0
+        while at < len(x):
+            # whole kinds of equal labels while they fit, or a part of one
+            fits = begins[np.searchsorted(begins, at + TILE_COLUMNS, side="right") - 1]
+            end = int(fits) if fits > at else min(at + TILE_COLUMNS, int(begins[kind[at] + 1]))
+            self._meet(x[at:end], right[at:end].T, squares[at:end].max(), kind[at:end] - kind[at], kinds[kind[at] : kind[end - 1] + 1])
+            at = end
+
+    def _meet(self, x: np.ndarray, right: np.ndarray, most: float, kind: np.ndarray, kinds: np.ndarray) -> None:
+        member = np.zeros((len(x), len(kinds)), dtype=right.dtype)
+        member[np.arange(len(x)), kind] = 1
+        for tile in self.tiles:
+            columns = tile["at"][kinds]
+            of, run = np.nonzero(columns >= 0)
+            if not len(of):
+                continue
+            column = columns[of, run]
+            rows = np.flatnonzero(tile["wanted"][:, np.unique(column)].any(axis=1))
+            if not len(rows):
+                continue
+            rows = slice(None) if len(rows) > 0.8 * len(tile["x"]) else rows
+            distance = self._distances(tile["x"][rows], tile["left"][rows], x, right, tile["most"] + most, tile["scale"])
+            to = np.zeros((len(kinds), len(tile["used"])))
+            to[of, column] = 1
+            tile["sums"][rows] += (distance @ member) @ to
+
+    def _distances(self, a: np.ndarray, left: np.ndarray, b: np.ndarray, right: np.ndarray, most: float, scale: float) -> np.ndarray:
+        squares = np.matmul(left, right, out=self.space[: len(a) * len(b)].reshape(len(a), -1))
+        error = (a.shape[1] + 5) * float(np.finfo(squares.dtype).eps) * most  # of a square at most
+        edge = 1e9 * error
+        if self.single:  # mean distances may be off by half the bound; sums round a little too
+            edge = (error / (0.4 * self.bound * scale)) ** 2 + 3 * error if scale > 0 else np.inf
+        near = np.flatnonzero(squares.min(axis=1) < edge)
+        if len(near):
+            at, column = np.nonzero(squares[near] < edge)
+            if self.single and len(at) > 0.05 * squares.size:
+                exact = a @ (-2 * b.T) + (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)
+                return self._settled(a, b, exact, 1e9 * error * float(np.finfo(float).eps / np.finfo(np.float32).eps))
+            squares[near[at], column] = ((a[near[at]] - b[column]) ** 2).sum(axis=1)
+        return np.sqrt(squares, out=squares)
+
+    @staticmethod
+    def _settled(a: np.ndarray, b: np.ndarray, squares: np.ndarray, edge: float) -> np.ndarray:
+        row, column = np.nonzero(squares < edge)
+        squares[row, column] = ((a[row] - b[column]) ** 2).sum(axis=1)
+        return np.sqrt(squares, out=squares)
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        for number, tile in enumerate(self.tiles):
+            ids = self.ids.slice(number * TILE_ROWS, TILE_ROWS)
+            for place, run in enumerate(self.names):
+                here = np.flatnonzero(tile["own"][:, place] >= 0)
+                if not len(here):
+                    continue
+                own, begin = tile["own"][here, place], self.first[run]
+                inside = np.flatnonzero((tile["used"] >= begin) & (tile["used"] < begin + len(self.names[run])))
+                mean = np.where(tile["wanted"][np.ix_(here, inside)], tile["sums"][np.ix_(here, inside)] / self.size[tile["used"][inside]], np.inf)
+                mean[tile["used"][inside] == own[:, None]] = np.inf
+                other, n = mean.min(axis=1), self.size[own]
+                inner = tile["sums"][here, tile["at"][own]] / np.maximum(n - 1, 1)
+                larger = np.maximum(inner, other)
+                known = (n > 1) & np.isfinite(other) & (larger > 0)
+                score = np.where(known, (other - inner) / np.where(known, larger, 1), 0.0) if known.any() else np.zeros(len(here))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(here), run, np.int32)), pa.array(self.names[run][own - begin].astype(np.int32)), pa.array(score), ids.take(pa.array(here))],
+                    names=["run", "label", "silhouette", "id"])
+
+
 def _compared(left: pa.Table, right: pa.Table, exact: bool) -> pa.Table:
     """(id, run, label, distance): sums of distances from each asking row to the rows of the labels it
     asks for. ``exact`` takes differences, so that near rows keep all their digits."""

@@ -469,3 +469,26 @@ def test_scoring_falls_back(spark, table, model, matrix):
     assert row["predicted_ltv_12m"] == pytest.approx(row["Monetary_Spend"] * 1.4, abs=0.01)
     plain = scoring.score_records(table, scoring.ScoringModels(model, people))
     assert plain.where("predicted_cluster != 0").count() == 0
+
+
+@pytest.mark.parametrize("bound", [0.0, 1e-3])
+def test_silhouettes_in_many_dimensions_write_no_requests(spark, bound, monkeypatch):
+    """Rows that would ask for most cells meet all rows in tiles: several groups, copies, noise, a cluster of one."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 12)) + 100.0
+    x[:40] = x[0]
+    first, second = rng.integers(0, 3, 1500), rng.integers(-1, 6, 1500)
+    second[9] = 8
+    df = spark.createDataFrame(
+        pd.DataFrame({"id": np.arange(1500), "x": x.tolist(), "a": first, "b": second}), "id long, x array<double>, a int, b int")
+    written = []
+    plain = silhouette.stage
+    monkeypatch.setattr(silhouette, "stage", lambda df, name: written.append(name) or plain(df, name))
+    monkeypatch.setattr(silhouette, "BLOCK_ROWS", 400)
+    found = silhouette.euclidean_rows(df, "id", "x", ["a", "b"], bound, cell_rows=16).toPandas()
+    assert "asked" not in written
+    for run, labels in (("a", first), ("b", second)):
+        keep = np.flatnonzero(labels != -1)
+        own = found[found.run == run].set_index("id").loc[keep]
+        assert len(own) == len(keep) == len(found[found.run == run]) and (own.label.to_numpy() == labels[keep]).all()
+        assert np.abs(own.silhouette.to_numpy() - brute_silhouette(x[keep], labels[keep])).max() <= max(bound, 1e-9)
