@@ -500,3 +500,10 @@ def test_shared_passes_name_the_nearest_centre_of_each_fit():
     for centres, (label, apart) in zip(models, clustering._nearest_of_each(rows, models)):
         squares = ((rows[:, None, :] - centres[None]) ** 2).sum(axis=2)
         assert (label == squares.argmin(axis=1)).all() and np.allclose(apart, squares.min(axis=1))
+
+
+def test_rows_are_dealt_to_more_tasks_than_one(spark):
+    rows = spark.range(12_000).withColumnRenamed("id", ID)
+    assert clustering.sized(rows, ID).rdd.getNumPartitions() == 3
+    assert clustering.sized(rows, ID, supervised.BOOSTED_ROWS).rdd.getNumPartitions() == 1
+    assert clustering.sized(rows.union(rows), ID, supervised.BOOSTED_ROWS).rdd.getNumPartitions() == 2
